@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import cotraining, fingerprints, licenses, lines, mixing, packing, quality_rules, secrets, simhash
+from . import cotraining, fingerprints, licenses, lines, mixing, packing, quality_rules, secrets, simhash, suffixes
 
 _MODULES = {
+    "op1_suffix_dedup": suffixes,
     "op2_line_dedup": lines,
     "op3_fingerprints": fingerprints,
     "op4_simhash": simhash,
