@@ -1,10 +1,449 @@
-"""One query and one SQL text for each operator of the library."""
+"""One query for each operator, over its whole table, and SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..dataset import Dataset, quoted
+from ..operators import dedup, distribution, tokens
+from ..operators.transforms import scalar
+from ..pipeline import Pipeline
+from ..registry import apply_operator
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+_MADE: dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]] = {}
+
+
+def _reader(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
+    def read(name: str) -> DataFrame:
+        if name in _MADE:
+            return _MADE[name](read)
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+    return read
+
+
+_MADE["customer_orders"] = lambda t: t("customer").join(t("orders").filter("o_totalprice > 450000"), F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "o_orderkey", "o_totalprice")
+_MADE["words"] = lambda t: t("documents").select("doc_id", F.split("text", r"[ \n]+").alias("words"))
+_MADE["places"] = lambda t: t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.struct(F.col("n_name").alias("name"), F.struct("r_regionkey", "r_name").alias("region")).alias("place"))
+_MADE["talks"] = lambda t: t("conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda x: x["text"]).alias("turns")).select("conv_id", F.struct("turns").alias("conversation"))
+_MADE["graded"] = lambda t: t("documents").join(t("labels"), "doc_id").select("doc_id", "text", "source", "quality", "toxic")
+
+IDS = {"documents": "doc_id", "customer": "c_custkey", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id", "nation": "n_nationkey", "region": "r_regionkey", "supplier": "s_suppkey", "words": "doc_id", "places": "n_nationkey", "talks": "conv_id", "graded": "doc_id"}
+
+
+def dataset(t: Callable[[str], DataFrame], table: str, metadata: tuple[str, ...] = ()) -> Dataset:
+    return Dataset.of(t(table), id=IDS.get(table), metadata=metadata)
+
+
+def add(name: str, table: str, config: Mapping[str, Any], columns: str | list[str | Column], sql: str | None = None, operator: str | None = None, metadata: tuple[str, ...] = (), made: Callable[[], list[Column]] | None = None) -> None:
+    """A query that applies an operator to a table and selects columns (a metadata key by m:key)."""
+    op = operator or name.replace("_", ".", 1)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = apply_operator(dataset(_reader(spark, sf_dir), table, metadata), op, config)
+        chosen = [(quoted(out.meta[c[2:]]).alias(c[2:]) if c.startswith("m:") else F.col(c)) for c in (columns.split() if isinstance(columns, str) else columns)]
+        return out.df.select(*chosen, *(made() if made else []))
+
+    QUERIES[name] = run
+    if sql:
+        SQL[name] = sql
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Callable[[Callable[[str], DataFrame]], DataFrame]], None]:
+    def wrap(run: Callable[[Callable[[str], DataFrame]], DataFrame]) -> None:
+        QUERIES[name] = lambda spark, sf_dir: run(_reader(spark, sf_dir))
+        if sql:
+            SQL[name] = sql
+
+    return wrap
+
+
+# filters
+
+_DEAR = "(select * from orders where o_totalprice > 450000)"
+_CO = f"select c_custkey, o_orderkey from customer left join {_DEAR} on c_custkey = o_custkey"
+add("filter_equals", "documents", {"path": "payload.lang", "equals": "de"}, "doc_id lang", "select doc_id, lang from documents where lang = 'de'")
+add("filter_not_equals", "customer_orders", {"path": "payload.o_orderkey", "equals": 7}, "c_custkey o_orderkey", f"{_CO} where o_orderkey is distinct from 7")
+add("filter_any", "orders", {"paths": ["payload.o_orderstatus", "payload.o_orderpriority"], "equals": "F"}, "o_orderkey o_orderstatus", "select o_orderkey, o_orderstatus from orders where o_orderstatus = 'F' or o_orderpriority = 'F'")
+add("filter_between", "lineitem", {"path": "payload.l_quantity", "min": 10, "max": 30}, "l_orderkey l_linenumber l_quantity", "select l_orderkey, l_linenumber, l_quantity from lineitem where l_quantity between 10 and 30")
+add("filter_less_than", "lineitem", {"path": "payload.l_discount", "threshold": 0.03}, "l_orderkey l_linenumber l_discount", "select l_orderkey, l_linenumber, l_discount from lineitem where l_discount < 0.03::double")
+add("filter_greater_than", "customer", {"path": "payload.c_acctbal", "threshold": 5000}, "c_custkey c_acctbal", "select c_custkey, c_acctbal from customer where c_acctbal > 5000")
+add("filter_range", "events", {"path": "payload.value", "min": 50.5}, "event_id value", "select event_id, value from events where value >= 50.5::double")
+add("filter_is_null", "customer_orders", {"path": "payload.o_orderkey"}, "c_custkey", f"select c_custkey from customer where c_custkey not in (select o_custkey from {_DEAR})")
+add("filter_exists", "customer_orders", {"path": "payload.o_orderkey"}, "c_custkey o_orderkey", f"{_CO} where o_orderkey is not null")
+add("filter_not_exists", "customer_orders", {"path": "payload.o_totalprice"}, "c_custkey", f"select c_custkey from customer where not exists (select 1 from {_DEAR} where o_custkey = c_custkey)")
+add("filter_regex", "documents", {"path": "payload.text", "pattern": "[0-9]{3}"}, "doc_id", "select doc_id from documents where regexp_matches(text, '[0-9]{3}')")
+add("filter_starts_with", "part", {"path": "payload.p_name", "prefix": "red"}, "p_partkey p_name", "select p_partkey, p_name from part where starts_with(p_name, 'red')")
+add("filter_ends_with", "part", {"path": "payload.p_name", "suffix": "ring"}, "p_partkey p_name", "select p_partkey, p_name from part where ends_with(p_name, 'ring')")
+add("filter_in", "documents", {"path": "payload.lang", "values": ["en", "de"]}, "doc_id lang", "select doc_id, lang from documents where lang in ('en', 'de')")
+add("filter_not_in", "customer_orders", {"path": "payload.o_orderkey", "values": [1, 2, 3]}, "c_custkey o_orderkey", f"{_CO} where o_orderkey is null or o_orderkey not in (1, 2, 3)")
+add("filter_contains", "documents", {"path": "payload.text", "contains": "THE", "case_insensitive": True}, "doc_id", "select doc_id from documents where contains(lower(text), 'the')")
+add("filter_contains_all", "documents", {"path": "payload.text", "contains_all": ["the", "and"]}, "doc_id", "select doc_id from documents where contains(text, 'the') and contains(text, 'and')")
+add("filter_contains_any", "documents", {"path": "payload.text", "contains_any": ["License", "license"]}, "doc_id", "select doc_id from documents where contains(text, 'License') or contains(text, 'license')")
+add("filter_contains_none", "documents", {"path": "payload.text", "contains_none": ["the", "der"]}, "doc_id", "select doc_id from documents where not contains(text, 'the') and not contains(text, 'der')")
+add("filter_array_contains", "words", {"path": "payload.words", "element": "the"}, "doc_id", r"select doc_id from documents where list_contains(string_split_regex(text, '[ \n]+'), 'the')")
+add("filter_length_range", "documents", {"path": "payload.text", "min": 500, "max": 3000}, "doc_id", "select doc_id from documents where length(text) between 500 and 3000")
+add("filter_token_range", "documents", {"path": "payload.text", "min": 50}, "doc_id", r"select doc_id from documents where len(regexp_extract_all(text, '\S+')) >= 50")
+
+# metadata
+
+_META = ("lang", "source", "n_chars")
+add("metadata_enrich", "documents", {"entries": {"origin": "crawl", "version": 3}}, "doc_id m:origin m:version", "select doc_id, 'crawl' as origin, 3 as version from documents")
+add("metadata_rename", "documents", {"keys": {"lang": "source", "source": "lang"}}, "doc_id m:lang m:source", "select doc_id, source as lang, lang as source from documents", metadata=_META)
+add("metadata_copy", "documents", {"keys": {"lang": "language"}}, "doc_id m:lang m:language", "select doc_id, lang, lang as language from documents", metadata=_META)
+add("metadata_require", "documents", {"keys": ["lang", "source"]}, "doc_id m:lang m:source", "select doc_id, lang, source from documents", metadata=_META)
+add("metadata_extract", "documents", {"keys": {"payload.text": {"name": "number", "pattern": "([0-9]+)", "capture": 1, "optional": True}, "payload.source": {"name": "site", "default": "none"}}}, "doc_id m:number m:site", "select doc_id, case when regexp_matches(text, '[0-9]+') then regexp_extract(text, '([0-9]+)', 1) end as number, coalesce(source, 'none') as site from documents")
+
+
+def whole(name: str, table: str, op: str, config: Mapping[str, Any], sql: str, metadata: tuple[str, ...] = (), without: tuple[str, ...] = ("text",)) -> None:
+    """A query that shows which columns an operator leaves."""
+
+    @query(name, sql)
+    def run(t: Callable[[str], DataFrame]) -> DataFrame:
+        return apply_operator(dataset(t, table, metadata), op, config).df.drop(*without)
+
+
+whole("metadata_remove", "documents", "metadata.remove", {"keys": ["source"]}, "select doc_id, lang, n_chars from documents", _META)
+whole("metadata_keep", "documents", "metadata.keep", {"keys": ["source"]}, "select doc_id, source from documents", _META)
+add("limit", "documents", {"count": 100}, "doc_id lang", "select doc_id, lang from documents order by doc_id limit 100", operator="limit")
+
+# fields
+
+whole("field_select", "customer", "field.select", {"fields": ["payload.c_custkey", "payload.c_name"]}, "select c_custkey, c_name from customer")
+whole("field_rename", "customer", "field.rename", {"mappings": {"payload.c_name": "payload.name"}}, "select c_custkey, c_name as name, c_nationkey, c_acctbal, c_mktsegment from customer")
+whole("field_drop", "customer", "field.drop", {"fields": ["c_name", "c_acctbal"]}, "select c_custkey, c_nationkey, c_mktsegment from customer")
+_PLACE = "from nation join region on n_regionkey = r_regionkey"
+add("field_copy", "places", {"source": "payload.place.region.r_name", "target": "payload.region"}, "n_nationkey region", f"select n_nationkey, r_name as region {_PLACE}")
+whole("field_move", "customer", "field.move", {"source": "payload.c_mktsegment", "target": "metadata.segment"}, "select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment as segment from customer")
+whole("field_flatten", "places", "field.flatten", {"field": "payload.place"}, f"select n_nationkey, n_name as place_name, r_regionkey as place_region_r_regionkey, r_name as place_region_r_name {_PLACE}")
+add("field_default", "customer_orders", {"field": "payload.o_totalprice", "default_value": 0.0}, "c_custkey o_totalprice", f"select c_custkey, coalesce(o_totalprice, 0.0::double) as o_totalprice from customer left join {_DEAR} on c_custkey = o_custkey")
+add("field_require", "customer_orders", {"fields": ["payload.o_orderkey", "payload.c_custkey"]}, "c_custkey o_orderkey", f"{_CO} where o_orderkey is not null")
+
+# transforms
+
+add("transform_normalize", "documents", {"path": "payload.text", "lowercase": True}, "doc_id text", r"select doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) as text from documents")
+add("transform_map", "part", {"path": "payload.p_name", "transform": {"Replace": {"from": "ring", "to": "band"}}}, "p_partkey p_name", "select p_partkey, replace(p_name, 'ring', 'band') as p_name from part")
+add("transform_chain", "part", {"path": "payload.p_name", "transforms": ["Uppercase", {"Truncate": {"max_length": 6}}, {"Pad": {"length": 8, "char": "-"}}, {"Prefix": {"prefix": "<"}}, {"Suffix": {"suffix": ">"}}]}, "p_partkey p_name", "select p_partkey, '<' || rpad(left(upper(p_name), 6), 8, '-') || '>' as p_name from part")
+add("transform_template", "orders", {"template": "{{payload.o_orderkey}}: {{payload.o_orderstatus}} {{payload.nothing}}", "output_field": "payload.line"}, "o_orderkey line", "select o_orderkey, o_orderkey::varchar || ': ' || o_orderstatus || ' {{payload.nothing}}' as line from orders")
+add("transform_flat_map", "words", {"path": "payload.words", "output_field": "payload.word"}, "doc_id word", r"select doc_id, unnest(string_split_regex(text, '[ \n]+')) as word from documents")
+add("transform_coalesce", "customer_orders", {"paths": ["payload.o_orderkey", "payload.c_custkey"], "output_field": "payload.key"}, "c_custkey key", f"select c_custkey, coalesce(o_orderkey, c_custkey) as key from customer left join {_DEAR} on c_custkey = o_custkey")
+add("transform_conditional", "orders", {"condition_path": "payload.o_orderstatus", "condition_value": "F", "then": {"Suffix": {"suffix": "!"}}, "else": "Lowercase"}, "o_orderkey o_orderstatus", "select o_orderkey, case when o_orderstatus = 'F' then 'F!' else lower(o_orderstatus) end as o_orderstatus from orders")
+
+
+@query("transform_functions", r"""
+select o_orderkey, lower(o_orderpriority) as lowercase, upper(o_orderpriority) as uppercase, trim('  ' || o_orderpriority || ' ') as trim,
+    replace(o_orderpriority, '-', ' ') as replace, regexp_replace(o_orderpriority, '([0-9])-', '\1: ', 'g') as regex_replace, 'p' || o_orderpriority as prefix,
+    o_orderpriority || 's' as suffix, left(o_orderpriority, 3) as truncate, rpad(o_orderpriority, 15, '.') as pad, '"' || o_orderpriority || '"' as json_stringify,
+    try_cast(left(o_orderpriority, 1) as bigint) as to_int, try_cast(left(o_orderpriority, 1) || '.5' as double) as to_float, o_orderstatus <> '' as to_bool,
+    o_orderkey::varchar as to_string, array_to_string(string_split(o_orderpriority, '-'), '+') as split_join from orders""")
+def _(t):
+    p, key = Dataset.of(t("orders")).find("payload.o_orderpriority"), Dataset.of(t("orders")).find("payload.o_orderkey")
+    status = Dataset.of(t("orders")).find("payload.o_orderstatus")
+    padded = scalar(scalar(p, {"Prefix": {"prefix": "  "}}), {"Suffix": {"suffix": " "}})
+    digit = scalar(p, {"Truncate": {"max_length": 1}})
+    made = {
+        "lowercase": scalar(p, "Lowercase"), "uppercase": scalar(p, "Uppercase"), "trim": scalar(padded, "Trim"), "replace": scalar(p, {"Replace": {"from": "-", "to": " "}}),
+        "regex_replace": scalar(p, {"RegexReplace": {"pattern": "([0-9])-", "replacement": "$1: "}}), "prefix": scalar(p, {"Prefix": {"prefix": "p"}}), "suffix": scalar(p, {"Suffix": {"suffix": "s"}}),
+        "truncate": scalar(p, {"Truncate": {"max_length": 3}}), "pad": scalar(p, {"Pad": {"length": 15, "char": "."}}), "json_stringify": scalar(p, "JsonStringify"), "to_int": scalar(digit, "ToInt"),
+        "to_float": scalar(scalar(digit, {"Suffix": {"suffix": ".5"}}), "ToFloat"), "to_bool": scalar(status, "ToBool"), "to_string": scalar(key, "ToString"),
+        "split_join": scalar(scalar(p, {"Split": {"separator": "-"}}), {"Join": {"separator": "+"}}),
+    }
+    return t("orders").select("o_orderkey", *(f.column.alias(n) for n, f in made.items()))
+
+
+# languages, quality, personal data
+
+_GRAM = lambda grams: " + ".join(f"len(string_split(low, '{g}')) - 1" for g in grams)
+_LANG = f"""
+t as (select doc_id, trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) as txt from documents),
+c as (select doc_id, lower(txt) as low, length(txt)::double as n, length(regexp_replace(txt, '[^\\x00-\\x7f]', '', 'g'))::double as latin,
+    len(regexp_extract_all(txt, '[一-鿿㐀-䶿豈-﫿]'))::double as cjk, len(regexp_extract_all(txt, '[؀-ۿݐ-ݿࢠ-ࣿ]'))::double as arabic,
+    len(regexp_extract_all(txt, '[Ѐ-ԯ]'))::double as cyrillic, len(regexp_extract_all(txt, '[ऀ-ॿ]'))::double as devanagari from t),
+s as (select doc_id, n, latin / n as r, greatest(length(low) - 2, 1)::double as w, cjk / n * 0.8 as zh, arabic / n * 0.8 as ar, cyrillic / n * 0.8 as ru, devanagari / n * 0.8 as hi,
+    ({_GRAM(["and", "ing", "ion", "ent", "tha"])})::double as e, ({_GRAM([" de", "que", "los", "las"])})::double as p, ({_GRAM([" de", "ent", "ion", "que"])})::double as f from c),
+b as (select *, e / w + r * 0.8 as en, p / w + r * 0.8 as es, f / w + r * 0.8 as fr from s),
+g as (select *, greatest(en, zh, ar, ru, es, fr, hi) as best from b)"""
+add("lang_detect", "documents", {"path": "payload.text"}, "doc_id m:lang_pred", f"""with {_LANG}
+select doc_id, case when n = 0 then 'und' when best <= 0.15 then case when r > 0.9 then 'en' else 'und' end when r > 0.9 and (en + 0.1 >= best or best <= 0.25) then 'en'
+    when en >= best then 'en' when zh >= best then 'zh' when ar >= best then 'ar' when ru >= best then 'ru' when es >= best then 'es' when fr >= best then 'fr' else 'hi' end as lang_pred from g""")
+QUERIES["lang_detect"] = lambda spark, sf_dir: (lambda ds: ds.df.select("doc_id", quoted(ds.meta["lang_pred"]).alias("lang_pred")))(apply_operator(dataset(_reader(spark, sf_dir), "documents"), "lang.detect", {"path": "payload.text", "key": "lang_pred"}))
+add("lang_confidence", "documents", {"path": "payload.text"}, ["doc_id"], """
+select doc_id, round(greatest(length(regexp_replace(text, '[^\\x00-\\x7f]', '', 'g')), len(regexp_extract_all(text, '[一-鿿㐀-䶿豈-﫿]')))::double / length(text), 6) as confidence
+from documents where length(text) > 0""", made=lambda: [F.round("lang_confidence", 6).alias("confidence")])
+
+_WORDS_SQL = r"""
+d as (select doc_id, text, length(text)::double as n from documents),
+ch as (select doc_id, unnest(string_split(text, '')) as c, generate_subscripts(string_split(text, ''), 1) as i from documents),
+fr as (select doc_id, c, count(*)::double as k from ch group by all),
+en as (select doc_id, case when count(*) > 1 then least(greatest(-sum(k / n * ln(k / n)) / ln(count(*)), 0), 1) else 0 end as entropy from fr join d using (doc_id) group by doc_id),
+nx as (select doc_id, i, c, lag(c) over (partition by doc_id order by i) as p from ch),
+bg as (select doc_id, count(*)::double as rep from (select doc_id from nx where p is not null group by doc_id, p, c having count(*) > 1) group by doc_id),
+rn as (select doc_id, max(k) as run from (select doc_id, s, count(*) as k from (select doc_id, sum(case when p is distinct from c then 1 else 0 end) over (partition by doc_id order by i) as s from nx) group by all) group by doc_id),
+tk as (select doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+')) as w from documents),
+ws as (select doc_id, count(*)::double as words, count(distinct w)::double as uniq, sum(length(w))::double as letters, sum(greatest(len(regexp_extract_all(lower(w), '[aeiouy]+')), 1))::double as syl from tk group by doc_id),
+q as (select doc_id, n, length(regexp_replace(text, '[^\x00-\x7f]', '', 'g')) / n as ascii_ratio, entropy, greatest(len(regexp_extract_all(text, '[.!?]')), 1)::double as sent, words, uniq, letters, syl,
+    1 - len(regexp_extract_all(text, '[\x00-\x08\x0b-\x1f]')) / n as nonprint, 1 - least(coalesce(rep, 0) / n, 1) as bigram, greatest(1 - (run - 1) / least(n, 200), 0) as char_run,
+    list_transform(['(', ')', '[', ']', '{', '}'], lambda x: len(string_split(text, x))::double - 1) as br, 1 - len(regexp_extract_all(text, '[^\p{L}\p{M}\p{N}\s,.!?;:\-''"]')) / n as symbol
+    from d join en using (doc_id) join rn using (doc_id) left join bg using (doc_id) left join ws using (doc_id)),
+sc as (select doc_id, 0.2 * ascii_ratio + 0.15 * entropy + 0.15 * coalesce(least(greatest((206.835 - 1.015 * words / sent - 84.6 * syl / words) / 100, 0), 1), 0) + 0.15 * coalesce(uniq / words, 0)
+    + 0.1 * nonprint + 0.08 * bigram + 0.08 * char_run + 0.05 * coalesce(1 - least(letters / words / 20, 1), 0)
+    + 0.03 * case when list_sum(br) > 0 then 1 - (abs(br[1] - br[2]) + abs(br[3] - br[4]) + abs(br[5] - br[6])) / list_sum(br) else 1 end + 0.01 * symbol as quality from q)"""
+add("quality_score", "documents", {"path": "payload.text"}, ["doc_id"], f"with {_WORDS_SQL} select doc_id, round(least(greatest(quality, 0), 1), 6) as quality from sc", made=lambda: [F.round("quality", 6).alias("quality")])
+add("quality_filter", "graded", {"key": "quality", "min": 1}, "doc_id m:quality", "select doc_id, quality from documents join labels using (doc_id) where quality >= 1", metadata=("quality", "toxic"))
+
+_NORM = "regexp_replace(translate(w, '0123456789', 'oizeasgtbg'), '[^a-z0-9]', '', 'g')"
+_NEG = "('not', 'never', 'no', 'without', 'hardly')"
+add("quality_toxicity", "documents", {"path": "payload.text"}, ["doc_id"], rf"""
+with lex(a, b, wt) as (values ('kill', null, 1.0::double), ('hate', null, 0.8), ('abuse', null, 0.8), ('stupid', null, 0.6), ('idiot', null, 0.6), ('violence', null, 0.7), ('shut', 'up', 0.7), ('terrible', 'person', 0.9)),
+l as (select doc_id, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}]+') as ws, regexp_extract_all(text, '\S+') as raw from documents),
+u as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i from l),
+k as (select doc_id, i, {_NORM} as x, lead({_NORM}) over o as y, lag(w) over o as p1, lag(w, 2) over o as p2 from u window o as (partition by doc_id order by i)),
+m as (select doc_id, sum(wt * case when p1 in {_NEG} then 0.4 when p2 in {_NEG} then 0.7 else 1 end) as weight, count(*)::double as hits from k join lex on x = a and (b is null or y = b) group by doc_id),
+e as (select doc_id, len(ws)::double as n, len(list_filter(raw, lambda x: regexp_matches(x, '\p{{L}}') and x = upper(x)))::double / greatest(len(raw), 1) as loud, least(len(string_split(text, '!')) - 1, 6) as bangs from l)
+select doc_id, round(case when n = 0 then 0 else least(1, 0.6 * least(coalesce(weight, 0) / 8, 1) + 0.25 * least(coalesce(hits, 0) / n, 1) + 0.15 * least(0.5 * loud + bangs / 6 * 0.3, 0.8)) end, 6) as toxicity
+from e left join m using (doc_id)""", made=lambda: [F.round("toxicity", 6).alias("toxicity")])
+
+add("pii_redact", "documents", {"path": "payload.text"}, "doc_id text")
+add("pii_redact_custom", "pages", {"path": "payload.url", "custom": [{"tag": "year", "pattern": "page=[0-9]+", "placeholder": "page=<N>"}]}, "page_id url", r"""
+select page_id, regexp_replace(regexp_replace(url, 'https?://[A-Za-z0-9_./?#%=&]+', '<URL>', 'g'), 'page=[0-9]+', 'page=<N>', 'g') as url from pages""", operator="pii.redact")
+
+# augmentation
+
+_U = lambda seed, key, place: f"(('0x' || substr(md5('{seed}:' || {key} || ':' || {place}), 1, 13))::bigint::double + 0.5) / 4503599627370496.0"
+add("augment_synonym", "documents", {"path": "payload.text", "synonyms": [{"word": "the", "replacements": ["this", "that"]}], "seed": 7}, "doc_id text", rf"""
+with w as (select doc_id, unnest(regexp_extract_all(text, '\S+')) as w, generate_subscripts(regexp_extract_all(text, '\S+'), 1) - 1 as i from documents),
+r as (select doc_id, i, case when lower(w) <> 'the' then w when {_U("7:0", "doc_id::varchar", "i::varchar")} * 3 < 1 then 'this' when {_U("7:0", "doc_id::varchar", "i::varchar")} * 3 < 2 then 'that' else w end as w from w)
+select doc_id, coalesce(string_agg(w, ' ' order by i), '') as text from documents left join r using (doc_id) group by doc_id""")
+add("augment_noise", "part", {"path": "payload.p_brand", "intensity": 0.5, "seed": 7}, "p_partkey p_brand", rf"""
+with c as (select p_partkey, unnest(string_split(p_brand, '')) as c, generate_subscripts(string_split(p_brand, ''), 1) - 1 as i from part)
+select p_partkey, string_agg(case when {_U("7", "p_partkey::varchar", "i::varchar")} < 0.5 then case when c between '0' and '9' then ((c::int + 1) % 10)::varchar when c = upper(c) then lower(c) else upper(c) end else c end, '' order by i) as p_brand
+from c group by p_partkey""")
+
+# samples
+
+_KEY = "row_number() over (order by md5('42:' || doc_id), doc_id)"
+
+
+def _ranked(by: str, table: str = "documents", more: str = "") -> str:
+    return f"select *, row_number() over (partition by {by} order by md5('42:' || doc_id), doc_id) - 1 as r, count(*) over (partition by {by}) as g, count(*) over () as n from {table} {more}"
+
+
+_GRADED = "(select d.doc_id, d.source, quality from documents d join labels l on d.doc_id = l.doc_id)"
+add("sample_random", "documents", {"ratio": 0.2, "seed": 42}, "doc_id", f"select doc_id from documents qualify {_KEY} <= round(count(*) over () * 0.2)")
+add("sample_random_weighted", "documents", {"count": 100, "seed": 42, "weight_key": "n_chars"}, "doc_id", """
+select doc_id from documents order by floor((1 - exp(ln((('0x' || substr(md5('42:' || doc_id), 1, 13))::bigint::double + 0.5) / 4503599627370496.0) / case when n_chars > 0 then n_chars else 1 end)) * 4503599627370496.0), doc_id limit 100""", operator="sample.random", metadata=_META)
+add("sample_random_grouped", "documents", {"count": 100, "seed": 42, "group_key": "source", "min_per_group": 2}, "doc_id", f"""
+with a as ({_ranked("source")}), b as (select *, row_number() over (partition by r < 2 order by md5('42:' || doc_id), doc_id) as k, count(*) filter (r < 2) over () as taken from a)
+select doc_id from b where r < 2 or k <= 100 - taken""", operator="sample.random", metadata=_META)
+add("sample_top", "documents", {"key": "n_chars", "count": 50}, "doc_id m:n_chars", "select doc_id, n_chars from documents order by n_chars desc, doc_id limit 50", metadata=_META)
+add("sample_balanced", "graded", {"label_field": "payload.quality", "strategy": "undersample", "seed": 42}, "doc_id quality", f"with a as ({_ranked('quality', _GRADED)}) select doc_id, quality from a where r < (select min(g) from a)")
+_PICK = "floor((('0x' || substr(md5('42:draw:' || quality || ':' || j), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 * g)::bigint"
+add("sample_balanced_over", "graded", {"label_field": "payload.quality", "strategy": "oversample", "seed": 42}, "doc_id quality", f"""
+with a as ({_ranked("quality", _GRADED)}), s as (select distinct quality, g, (select max(g) from a) as most from a), j as (select *, unnest(range(1, most - g + 1)) as j from s),
+k as (select quality, {_PICK} as r from j)
+select doc_id, quality from a union all select doc_id, a.quality from k join a on a.quality = k.quality and a.r = k.r""", operator="sample.balanced")
+_CUT = "order by md5('42:cut:' || doc_id), doc_id limit"
+add("sample_by_distribution", "documents", {"field": "payload.lang", "target_distribution": {"en": 1, "de": 2, "fr": 1}, "total_count": 200, "seed": 42}, "doc_id lang", f"with a as ({_ranked('lang')}) select doc_id, lang from a where r < case lang when 'en' then 50 when 'de' then 100 when 'fr' then 50 else 0 end {_CUT} 200")
+add("sample_by_length", "documents", {"text_field": "payload.text", "min_length": 500, "max_length": 3000, "target_count": 100, "seed": 42}, "doc_id", "select doc_id from documents where length(text) between 500 and 3000 order by md5('42:' || doc_id), doc_id limit 100")
+add("sample_stratified", "documents", {"field": "payload.source", "count": 150, "seed": 42}, "doc_id source", f"with a as ({_ranked('source')}) select doc_id, source from a where r < round(g * (150.0::double / n)) {_CUT} 150")
+
+# prompts
+
+_TOKENS = r"greatest(ceil(len(regexp_extract_all(text, '[一-鿿]')) * 0.6::double + greatest(len(regexp_extract_all(text, '\S+')) - floor(len(regexp_extract_all(text, '[一-鿿]')) / 2), 0) * 1.3::double), 1)::bigint"
+add("llm_token_count", "documents", {}, "doc_id m:token_count", f"select doc_id, {_TOKENS} as token_count from documents")
+_ROUND = f"select doc_id, text, {_TOKENS} as tok, length(text)::double as n from documents"
+add("llm_context_length", "documents", {"min_tokens": 50, "max_tokens": 1000}, "doc_id", f"with a as ({_ROUND}) select doc_id from a where tok between 50 and 1000")
+add("llm_context_truncate", "documents", {"action": {"Truncate": {"max_tokens": 100}}}, "doc_id text", f"with a as ({_ROUND}) select doc_id, case when tok > 100 then left(text, floor(100 * (n / tok))::bigint) else text end as text from a", operator="llm.context_length")
+add("llm_context_split", "documents", {"action": {"Split": {"max_tokens": 200, "overlap": 20}}}, "doc_id text", f"""
+with a as ({_ROUND}), b as (select *, floor(200 * (n / tok))::bigint as size, floor(200 * (n / tok))::bigint - floor(20 * (n / tok))::bigint as step from a),
+c as (select doc_id, text, tok, size, step, unnest(range(0, case when tok > 200 then greatest(ceil((n - size) / step), 0)::bigint else 0 end + 1)) as i from b)
+select doc_id, case when tok > 200 then substr(text, i * step + 1, size) else text end as text from c""", operator="llm.context_length")
+
+
+@query("llm_conversation_format", "select conv_id, (row_number() over w - 1)::bigint as place, case when row_number() over w % 2 = 1 then 'user' else 'assistant' end as role, text as content from conversations window w as (partition by conv_id order by turn, role, text)")
+def _(t):
+    out = apply_operator(dataset(t, "talks"), "llm.conversation_format", {"format": "ChatML"})
+    return out.df.select("conv_id", F.posexplode("messages").alias("place", "m")).select("conv_id", F.col("place").cast("bigint").alias("place"), "m.role", "m.content")
+
+
+@query("llm_qa_extract", r"""
+with a as (select doc_id, regexp_extract_all(text, '[A-Z][a-z]{3,}') as q, regexp_extract_all(text, '[0-9]+') as a from documents),
+b as (select doc_id, unnest(q[:least(len(q), len(a))]) as question, unnest(a[:least(len(q), len(a))]) as answer from a)
+select doc_id, trim(question) as question, trim(answer) as answer from b""")
+def _(t):
+    out = apply_operator(dataset(t, "documents"), "llm.qa_extract", {"pattern": {"Custom": {"question_pattern": "[A-Z][a-z]{3,}", "answer_pattern": "[0-9]+"}}})
+    return out.df.select("doc_id", F.explode("qa_pairs").alias("p")).select("doc_id", "p.question", "p.answer")
+
+
+@query("llm_qa_lines")
+def _(t):
+    out = apply_operator(dataset(t, "documents"), "llm.qa_extract", {"pattern": "Auto"})
+    return out.df.select("doc_id", F.size("qa_pairs").cast("bigint").alias("n_pairs"))
+
+
+add("llm_instruction_format", "orders", {"instruction_field": "payload.o_orderpriority", "input_field": "payload.o_orderstatus", "format": "Alpaca"}, "o_orderkey formatted", "select o_orderkey, '### Instruction:' || chr(10) || o_orderpriority || chr(10) || chr(10) || '### Input:' || chr(10) || o_orderstatus || chr(10) || chr(10) || '### Response:' || chr(10) as formatted from orders")
+
+# merging
+
+
+@query("merge_concat", "select r_regionkey as key, r_name as name, null::int as region from region union all select n_nationkey, n_name, n_regionkey from nation")
+def _(t):
+    a = Dataset.of(t("region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name")), id="key")
+    b = Dataset.of(t("nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")), id="key")
+    return apply_operator(a, "merge.concat", {"inputs": [b]}).df.select("key", "name", "region")
+
+
+@query("merge_batch", "select o_custkey, string_agg(o_orderpriority, ' ' order by o_orderkey) as o_orderpriority, arg_max(o_totalprice, o_orderkey) as o_totalprice from orders group by o_custkey")
+def _(t):
+    ds = Dataset.of(t("orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_totalprice"), id="o_custkey", order="o_orderkey")
+    return apply_operator(ds, "merge.batch", {"conflict_strategy": "Concat"}).df.select("o_custkey", "o_orderpriority", "o_totalprice")
+
+
+add("merge_union", "documents", {"key_field": "payload.text"}, "doc_id", "select min(doc_id) as doc_id from documents group by text")
+add("merge_intersect", "documents", {"key_field": "payload.text"}, "doc_id", "select min(doc_id) as doc_id from documents group by text having count(*) > 1")
+add("merge_difference", "documents", {"key_field": "payload.text"}, "doc_id", "select min(doc_id) as doc_id from documents group by text having count(*) = 1")
+
+
+@query("merge_zip", "select string_agg(n_name, ',' order by n_nationkey) as names, string_agg(n_regionkey::varchar, ',' order by n_nationkey) as regions from nation")
+def _(t):
+    out = apply_operator(dataset(t, "nation"), "merge.zip", {})
+    return out.df.select(F.array_join("n_name", ",").alias("names"), F.array_join(F.col("n_regionkey").cast("array<string>"), ",").alias("regions"))
+
+
+# splits and shuffles
+
+_PARTS = "case when r < round(n * 0.8) then 'train' when r < round(n * 0.8) + round(n * 0.1) then 'dev' else 'test' end as split"
+_SPLIT = {"ratios": [0.8, 0.1, 0.1], "names": ["train", "dev", "test"]}
+add("split_random", "documents", _SPLIT, "doc_id m:split", f"with a as ({_ranked('1')}) select doc_id, {_PARTS} from a")
+add("split_stratified", "documents", {**_SPLIT, "stratify_field": "payload.lang"}, "doc_id lang m:split", f"with a as (select doc_id, lang, r, g as n from ({_ranked('lang')})) select doc_id, lang, {_PARTS} from a")
+add("split_sequential", "documents", _SPLIT, "doc_id m:split", f"with a as (select doc_id, row_number() over (order by doc_id) - 1 as r, count(*) over () as n from documents) select doc_id, {_PARTS} from a")
+add("split_kfold", "documents", {"k": 7}, "doc_id m:fold m:fold_index", f"with a as (select doc_id, (ntile(7) over (order by md5('42:' || doc_id), doc_id) - 1)::bigint as fold_index from documents) select doc_id, 'fold_' || fold_index as fold, fold_index from a")
+add("split_chunk", "documents", {"chunk_size": 64}, "doc_id m:chunk m:total_chunks", "select doc_id, (row_number() over (order by doc_id) - 1) // 64 as chunk, ((count(*) over () + 63) // 64)::bigint as total_chunks from documents")
+
+
+def shuffled(name: str, op: str, config: Mapping[str, Any], sql: str) -> None:
+    @query(name, sql)
+    def run(t: Callable[[str], DataFrame]) -> DataFrame:
+        out = apply_operator(dataset(t, "documents"), op, config)
+        return out.df.select("doc_id", quoted(out.order).alias("position"))
+
+
+_POSITION = "select doc_id, row_number() over (order by md5('42:' || doc_id), doc_id) - 1 as position from documents"
+shuffled("shuffle", "shuffle", {"seed": 42}, _POSITION)
+shuffled("shuffle_deterministic", "shuffle.deterministic", {"seed": 42}, _POSITION)
+_ARRIVED = "select doc_id, source, row_number() over (order by doc_id) - 1 as o from documents"
+shuffled("shuffle_block", "shuffle.block", {"block_size": 50, "seed": 42}, f"select doc_id, row_number() over (order by md5('42:block:' || (o // 50)), md5('42:' || doc_id), doc_id) - 1 as position from ({_ARRIVED})")
+shuffled("shuffle_stratified", "shuffle.stratified", {"field": "payload.source", "seed": 42}, f"with a as ({_ranked('source')}) select doc_id, row_number() over (order by r, md5('42:round:' || r || ':' || source), doc_id) - 1 as position from a")
+shuffled("shuffle_window", "shuffle.window", {"window_size": 20, "seed": 42}, f"select doc_id, row_number() over (order by o + ((('0x' || substr(md5('42:' || doc_id), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 - 0.5) * 20, o) - 1 as position from ({_ARRIVED})")
+
+# tokens and distributions
+
+_WS = r"len(regexp_extract_all(text, '\S+'))"
+add("token_count", "documents", {"tokenizer_type": "Word"}, "doc_id m:token_count", f"select doc_id, ({_WS} + len(regexp_extract_all(text, '[一-鿿]')))::bigint as token_count from documents")
+add("token_filter", "documents", {"min_tokens": 100, "max_tokens": 400}, "doc_id", f"select doc_id from documents where {_WS} between 100 and 400")
+_AT = lambda p: f"s[floor(len(s) * {p}::double)::bigint + 1]"
+
+
+@query("token_stats", f"""
+with a as (select list({_WS}::bigint order by {_WS}) as s from documents)
+select list_sum(s)::bigint as total_tokens, s[1] as min_tokens, s[-1] as max_tokens, round(list_avg(s), 6) as avg_tokens, s[len(s) // 2 + 1]::double as median_tokens,
+    {_AT(0.25)} as p25_tokens, {_AT(0.75)} as p75_tokens, {_AT(0.95)} as p95_tokens, {_AT(0.99)} as p99_tokens, len(s)::bigint as record_count from a""")
+def _(t):
+    return tokens.token_stats(dataset(t, "documents"), {}).withColumn("avg_tokens", F.round("avg_tokens", 6))
+
+
+@query("token_histogram", f"select ({_WS} // 100 * 100) || '-' || ({_WS} // 100 * 100 + 99) as bucket, count(*) as n from documents group by 1")
+def _(t):
+    return tokens.token_histogram(dataset(t, "documents"), {})
+
+
+@query("distribution_analyze", """
+with e as (select min(value) as lo, max(value) as hi, count(*) as total from events),
+b as (select least(floor((value - lo) / ((hi - lo) / 10)), 9)::int as bin from events, e), c as (select bin, count(*) as n from b group by bin)
+select range::int as bin, round(lo + range * ((hi - lo) / 10), 6) as start, round(lo + (range + 1) * ((hi - lo) / 10), 6) as end, coalesce(n, 0) as n, round(coalesce(n, 0) / total * 100, 6) as percentage from e, range(10) left join c on bin = range""")
+def _(t):
+    out = distribution.value_histogram(dataset(t, "events"), "payload.value", 10)
+    return out.select("bin", *(F.round(c, 6).alias(c) for c in ("start", "end")), "n", F.round("percentage", 6).alias("percentage"))
+
+
+@query("distribution_percentiles", "with a as (select list(value order by value) as s from events), p as (select unnest([5, 10, 25, 50, 75, 90, 95, 99]) as p) select p, s[least(floor(len(s) * (p / 100)), len(s) - 1)::bigint + 1] as value from a, p")
+def _(t):
+    return distribution.percentiles(dataset(t, "events"), "payload.value")
+
+
+@query("distribution_top", "select event_type as value, count(*) as n from events group by 1 order by n desc, value limit 3")
+def _(t):
+    return distribution.top_values(dataset(t, "events"), "payload.event_type", 3)
+
+
+@query("distribution_report", """
+select 'payload.event_type' as field, count(*) as total_count, count(*) - count(event_type) as null_count, count(distinct event_type) as unique_count from events
+union all select 'payload.user_id', count(*), count(*) - count(user_id), count(distinct user_id) from events
+union all select 'payload.value', count(*), count(*) - count(value), count(distinct value) from events""")
+def _(t):
+    return distribution.summary(dataset(t, "events"), ["payload.event_type", "payload.user_id", "payload.value"])
+
+
+@query("distribution_correlation", "select 'payload.l_quantity' as field_x, 'payload.l_extendedprice' as field_y, count(*) as n, round(corr(l_quantity, l_extendedprice), 6) as correlation from lineitem")
+def _(t):
+    return distribution.correlation_of(dataset(t, "lineitem"), "payload.l_quantity", "payload.l_extendedprice").withColumn("correlation", F.round("correlation", 6))
+
+
+# near-duplicates
+
+add("dedup_minhash", "documents", {"path": "payload.text", "threshold": 0.8}, "doc_id", r"""
+with toks as (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+')) as tok from documents), dt as (select distinct doc_id, tok from toks),
+vocab as (select tok, list_reduce(list_prepend(14695981039346656037::hugeint, list_transform(range(0, octet_length(encode(tok))), lambda i: ('0x' || substr(hex(encode(tok)), (2 * i + 1)::int, 2))::hugeint)), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616) as h from (select distinct tok from dt)),
+sig as (select doc_id, i, min(xor(h::ubigint, ((11400714785074694791::hugeint + i) % 18446744073709551616)::ubigint)) as s from dt join vocab using (tok), range(64) r(i) group by 1, 2),
+bands as (select doc_id, i // 8 as b, list_reduce(list_prepend(0::hugeint, list(s::hugeint order by i)), lambda a, s: xor((a * 1315423911) % 18446744073709551616, s)) as k from sig group by 1, 2),
+sets as (select doc_id, list(tok) as ts from dt group by 1), cand as (select distinct x.doc_id as i, y.doc_id as j from bands x join bands y on x.b = y.b and x.k = y.k and x.doc_id < y.doc_id),
+dup as (select distinct j from cand join sets a on a.doc_id = i join sets b on b.doc_id = j where len(list_intersect(a.ts, b.ts))::double / len(list_distinct(list_concat(a.ts, b.ts))) >= 0.8)
+select doc_id from documents where doc_id not in (select j from dup)""")
+add("dedup_simhash", "documents", {"path": "payload.text", "threshold": 0.95}, "doc_id")
+add("dedup_semantic", "documents", {"path": "payload.text", "threshold": 0.7}, "doc_id")
+
+
+@query("simhash_signature", r"""
+with toks as (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+')) as tok from documents),
+vocab as (select tok, list_reduce(list_prepend(14695981039346656037::hugeint, list_transform(range(0, octet_length(encode(tok))), lambda i: ('0x' || substr(hex(encode(tok)), (2 * i + 1)::int, 2))::hugeint)), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616)::ubigint as h from (select distinct tok from toks)),
+bits as (select doc_id, i, sum(case when (h >> i) & 1 = 1 then 1 else -1 end) >= 0 as b from toks join vocab using (tok), range(64) r(i) group by all)
+select d.doc_id, coalesce(string_agg(case when b then '1' else '0' end, '' order by i desc), repeat('1', 64)) as signature from documents d left join bits using (doc_id) group by d.doc_id""")
+def _(t):
+    return t("documents").select("doc_id", F.lpad(F.bin(dedup.simhash64(F.col("text"))), 64, "0").alias("signature"))
+
+
+@query("dedup_embeddings", """
+with v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings), n as (select vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) as e from v)
+select a.vec_id as a, b.vec_id as b from n a join n b on a.vec_id < b.vec_id and list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])) >= 0.9""")
+def _(t):
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    v = F.transform("embedding", lambda x, i: F.struct(i.cast("bigint").alias("t"), (x.cast("double") / norm).alias("w")))
+    return dedup.embedding_pairs(t("embeddings").select(F.col("vec_id").alias("o"), v.alias("v")), 0.9).select("a", "b")
+
+
+# the flagship: language, quality, tokens, and a threshold, one lazy plan
+
+FLAGSHIP = [
+    {"operator": "lang.detect", "config": {"path": "payload.text", "key": "lang_pred"}},
+    {"operator": "quality.score", "config": {"path": "payload.text", "key": "quality"}},
+    {"operator": "llm.token_count", "config": {"text_field": "payload.text", "output_field": "metadata.token_count"}},
+    {"operator": "quality.filter", "config": {"key": "quality", "min": 0.84}},
+]
+
+
+@query("flagship", f"""
+with {_WORDS_SQL}, {_LANG.lstrip()}, lg as (select doc_id, case when n = 0 then 'und' when best <= 0.15 then case when r > 0.9 then 'en' else 'und' end when r > 0.9 and (en + 0.1 >= best or best <= 0.25) then 'en'
+    when en >= best then 'en' when zh >= best then 'zh' when ar >= best then 'ar' when ru >= best then 'ru' when es >= best then 'es' when fr >= best then 'fr' else 'hi' end as lang_pred from g)
+select doc_id, lang_pred, round(quality, 6) as quality, {_TOKENS} as token_count from sc join lg using (doc_id) join documents using (doc_id) where quality >= 0.84""")
+def _(t):
+    out = Pipeline(FLAGSHIP).run(dataset(t, "documents"))
+    return out.df.select("doc_id", "lang_pred", F.round("quality", 6).alias("quality"), "token_count")
+
+
