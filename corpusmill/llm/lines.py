@@ -144,7 +144,8 @@ def line_dedup(docs: DataFrame, rare: int = RARE, least_chars: int = LEAST_CHARS
     """
     k, at, ls = fresh(docs, "k", "at", "ls")
     gone = written(found(docs, rare, least_chars).select(F.col("k").alias(k), F.col("at").alias(at)), "lines-gone")
-    out = docs.withColumn(k, row_key()).join(gone, k, "left")
+    # by hashes of the narrow side in every partition, never by a copy of it on every executor: it grows with the documents
+    out = docs.withColumn(k, row_key()).join(gone.hint("shuffle_hash"), k, "left")
     parts = F.split(F.col("text"), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(at))
     out = out.withColumn(ls, F.when(F.col(at).isNotNull(), F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")))
