@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix, slices, table
-from .ngrams import TextModel, fit_dense, fit_sparse, logit, matrix, platt, sigmoid
+from .ngrams import Sparse, TextModel, fit_dense, fit_sparse, logit, matrix, platt, sigmoid
 from .quality_rules import halves, labelled
 
 KEEP, SURE, ROUNDS, A_ROUND = 0.5, 0.97, 3, 100
@@ -26,17 +26,17 @@ META_DIMS = 1 << 12
 META = ("source", "lang", "n_chars")
 
 
-def meta_matrix(source: list, lang: list, n_chars: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The metadata as (row, column, value): hashed source, language, their pair, and the power of two of the length. Null is a value."""
+def meta_matrix(source: list, lang: list, n_chars: list) -> Sparse:
+    """The metadata as features: hashed source, language, their pair, and the power of two of the length. Null is a value."""
     columns = []
-    for i, (s, g, n) in enumerate(zip(source, lang, n_chars, strict=True)):
+    for s, g, n in zip(source, lang, n_chars, strict=True):
         size = "none" if n is None else str(int(max(0, n)).bit_length())
         columns += [f"s:{s}", f"l:{g}", f"sl:{s}:{g}", f"n:{size}"]
     seen: dict[str, int] = {}
     codes = np.array([seen.setdefault(c, len(seen)) for c in columns], np.int64)
     sums = np.array([int.from_bytes(name.encode("utf-8", "surrogatepass")[-64:], "little") % (1 << 61) for name in seen], np.uint64)
-    bucket = (mix(sums) % np.uint64(META_DIMS)).astype(np.int64) if seen else np.zeros(0, np.int64)
-    return np.repeat(np.arange(len(source)), 4), bucket[codes], np.ones(len(codes))
+    bucket = (mix(sums) % np.uint64(META_DIMS)).astype(np.int32) if seen else np.zeros(0, np.int32)
+    return Sparse(np.arange(len(source) + 1) * 4, bucket[codes], np.ones(len(codes), np.float32))
 
 
 @dataclass
@@ -50,8 +50,7 @@ class Views:
 
     def meta_score(self, part) -> np.ndarray:
         source, lang, n_chars = (part.column(c).to_pylist() for c in META)
-        row, column, value = meta_matrix(source, lang, n_chars)
-        return np.bincount(row, value * self.meta[column], len(source)) + self.meta_bias
+        return meta_matrix(source, lang, n_chars).scores(self.meta) + self.meta_bias
 
     def probabilities(self, part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """By the text, by the metadata, by both."""
@@ -61,20 +60,6 @@ class Views:
         return t, m, sigmoid(np.column_stack([logit(t), logit(m)]) @ self.both[:2] + self.both[2])
 
 
-def _stack(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], chosen: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The chosen rows of several sparse matrices, one below the other."""
-    rows, columns, values, at = [], [], [], 0
-    for (row, column, value), pick in zip(parts, chosen, strict=True):
-        new = np.full(int(max(row.max(initial=-1), pick.max(initial=-1))) + 1, -1)
-        new[pick] = at + np.arange(len(pick))
-        on = new[row] >= 0
-        rows.append(new[row[on]])
-        columns.append(column[on])
-        values.append(value[on])
-        at += len(pick)
-    return np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
-
-
 def train(known: pa.Table, pool: pa.Table, rounds: int = ROUNDS, a_round: int = A_ROUND, sure: float = SURE) -> Views | None:
     """The views; None without labelled rows of both classes in both parts."""
     if not known.num_rows:
@@ -87,7 +72,6 @@ def train(known: pa.Table, pool: pa.Table, rounds: int = ROUNDS, a_round: int =
     fit_y, cal_y = y[~held], y[held]
     meta = [meta_matrix(*(x.column(c).to_pylist() for c in META)) for x in (fit, pool)]
     text = [matrix(x.column("text").combine_chunks()) for x in (fit, pool)]
-    every = np.arange(len(fit_y))
     given = {"text": {}, "meta": {}}  # pseudo-labels for each view: row of the pool -> label
     for turn in range(rounds + 1):
         models = {}
@@ -95,7 +79,7 @@ def train(known: pa.Table, pool: pa.Table, rounds: int = ROUNDS, a_round: int =
             rows = np.array(sorted(given[view]), np.int64)
             labels = np.concatenate([fit_y, [given[view][r] for r in rows]])
             last = turn == rounds
-            models[view] = fit_sparse(_stack(x, [every, rows]), labels, **({"dims": dims} if dims else {}), steps=150 if last else 50, decay=1e-6 if view == "text" else 1e-3)
+            models[view] = fit_sparse([x[0], x[1].take(rows)], labels, **({"dims": dims} if dims else {}), steps=150 if last else 50, decay=1e-6 if view == "text" else 1e-3)
         if turn == rounds or not pool.num_rows:
             break
         # a view that labelled rows which it was not fitted on bear out is heard where it is sure
@@ -104,11 +88,9 @@ def train(known: pa.Table, pool: pa.Table, rounds: int = ROUNDS, a_round: int =
             if view == "text":
                 cal_z = TextModel(w, bias).score(cal.column("text").combine_chunks())
             else:
-                row, column, value = meta_matrix(*(cal.column(c).to_pylist() for c in META))
-                cal_z = np.bincount(row, value * w[column], cal.num_rows) + bias
+                cal_z = meta_matrix(*(cal.column(c).to_pylist() for c in META)).scores(w) + bias
             a, b = platt(cal_z, cal_y)
-            row, column, value = x[1]
-            p = sigmoid(a * (np.bincount(row, value * w[column], pool.num_rows) + bias) + b)
+            p = sigmoid(a * (x[1].scores(w) + bias) + b)
             for label, certain in ((1.0, p), (0.0, 1 - p)):
                 order = np.argsort(-certain, kind="stable")
                 fresh_rows = [int(r) for r in order if certain[r] >= sure and r not in given[other]][: a_round // 2]

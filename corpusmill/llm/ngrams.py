@@ -6,12 +6,13 @@ n-grams that fall into each bucket. A word that follows itself makes the pair fe
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-from .common import mix, text_bytes, word_hashes, words
+from .common import mix, slices, text_bytes, word_hashes, words
 
 BUCKET_BITS = 17
 DIMS = 4 << BUCKET_BITS
@@ -45,19 +46,79 @@ def grams(texts: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarra
     return out, n
 
 
-def matrix(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The features as (row, column, value)."""
-    families, n = grams(texts)
-    rows, columns, values = [], [], []
-    for bucket, first, end in families:
-        count = end - first
-        of = np.repeat(np.arange(n), count)
-        take = np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum()))
-        key, times = np.unique(of.astype(np.int64) * DIMS + bucket[take], return_counts=True)
-        rows.append(key // DIMS)
-        columns.append(key % DIMS)
-        values.append(SCALE * times / count[key // DIMS])
-    return np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
+@dataclass
+class Sparse:
+    """Rows of (column, value), one after the other; row i's lie between ends[i] and ends[i + 1]. Eight bytes an entry."""
+
+    ends: np.ndarray
+    columns: np.ndarray
+    values: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def take(self, rows: np.ndarray) -> Sparse:
+        count = self.ends[rows + 1] - self.ends[rows]
+        ends = np.concatenate(([0], np.cumsum(count)))
+        at = np.repeat(self.ends[rows] - ends[:-1], count) + np.arange(ends[-1])
+        return Sparse(ends, self.columns[at], self.values[at])
+
+    def chunks(self, entries: int = 1 << 19) -> Iterator[tuple[int, int]]:
+        """Stretches of rows with about so many entries."""
+        at = 0
+        while at < len(self):
+            to = max(at + 1, int(np.searchsorted(self.ends, self.ends[at] + entries, "right")) - 1)
+            yield at, to
+            at = to
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self))
+        for a, b in self.chunks():
+            low, high = self.ends[a], self.ends[b]
+            some = np.flatnonzero(np.diff(self.ends[a : b + 1]))
+            if len(some):
+                out[a + some] = np.add.reduceat(self.values[low:high] * w[self.columns[low:high]], self.ends[a + some] - low)
+        return out
+
+    def gradient(self, d: np.ndarray, dims: int) -> np.ndarray:
+        """The sum of the rows, each times its d."""
+        out = np.zeros(dims)
+        for a, b in self.chunks():
+            low, high = self.ends[a], self.ends[b]
+            out += np.bincount(self.columns[low:high], self.values[low:high] * np.repeat(d[a:b], np.diff(self.ends[a : b + 1])), dims)
+        return out
+
+    @staticmethod
+    def stacked(parts: list[Sparse]) -> Sparse:
+        sizes = np.concatenate([np.zeros(1, np.int64), *(np.diff(p.ends) for p in parts)])
+        return Sparse(np.cumsum(sizes), np.concatenate([np.zeros(0, np.int32), *(p.columns for p in parts)]), np.concatenate([np.zeros(0, np.float32), *(p.values for p in parts)]))
+
+
+def pieces(texts: pa.Array, limit: int = 1 << 19) -> Iterator[pa.Array]:
+    """The array in parts of at most so many bytes of text, each of one text at least."""
+    for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", limit):
+        yield part.column(0)
+
+
+def matrix(texts: pa.Array) -> Sparse:
+    """The features of each text; texts are taken a few at a time."""
+    out = []
+    for part in pieces(texts):
+        families, n = grams(part)
+        keys, counts = [], []
+        for bucket, first, end in families:
+            count = end - first
+            of = np.repeat(np.arange(n), count)
+            take = np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum()))
+            keys.append(np.unique(of.astype(np.int64) * DIMS + bucket[take], return_counts=True))
+            counts.append(count)
+        key, times = (np.concatenate(x) for x in zip(*keys, strict=True))
+        order = np.argsort(key, kind="stable")
+        key, times = key[order], times[order]
+        row, column = key // DIMS, key % DIMS
+        share = SCALE * times / np.stack(counts)[column >> BUCKET_BITS, row]
+        out.append(Sparse(np.searchsorted(row, np.arange(n + 1)), column.astype(np.int32), share.astype(np.float32)))
+    return Sparse.stacked(out)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -69,23 +130,26 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit_sparse(x: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, dims: int = DIMS, steps: int = 150, rate: float = 0.5, decay: float = 1e-6) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression, by Adam on all rows; the classes count alike."""
-    row, column, value = x
-    used, column = np.unique(column, return_inverse=True)
+def fit_sparse(blocks: list[Sparse], y: np.ndarray, dims: int = DIMS, steps: int = 150, rate: float = 0.5, decay: float = 1e-6) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression on the blocks' rows, by Adam on all of them; the classes count alike."""
     share = np.where(y > 0.5, 0.5 / max(1, (y > 0.5).sum()), 0.5 / max(1, (y <= 0.5).sum()))
-    w = np.zeros(len(used) + 1)
-    m, v = np.zeros_like(w), np.zeros_like(w)
+    edges = np.cumsum([0, *map(len, blocks)])
+    w, m, v = np.zeros(dims), np.zeros(dims), np.zeros(dims)
+    bias = np.zeros(3)  # its value and its two moments
     for t in range(1, steps + 1):
-        z = np.bincount(row, value * w[column], len(y)) + w[-1]
+        z = np.concatenate([x.scores(w) for x in blocks]) + bias[0]
         d = share * (sigmoid(z) - y)
-        g = np.append(np.bincount(column, value * d[row], len(used)) + decay * w[:-1], d.sum())
+        g = decay * w
+        for x, a, b in zip(blocks, edges, edges[1:], strict=False):
+            g += x.gradient(d[a:b], dims)
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
-    out = np.zeros(dims)
-    out[used] = w[:-1]
-    return out, float(w[-1])
+        bias[1] += 0.1 * (d.sum() - bias[1])
+        bias[2] += 0.01 * (d.sum() ** 2 - bias[2])
+        first, second = 1 - 0.9**t, 1 - 0.99**t
+        w -= rate * (m / first) / (np.sqrt(v / second) + 1e-7)
+        bias[0] -= rate * (bias[1] / first) / (np.sqrt(bias[2] / second) + 1e-7)
+    return w, float(bias[0])
 
 
 def fit_dense(x: np.ndarray, y: np.ndarray, decay: float = 1e-2, steps: int = 30) -> np.ndarray:
@@ -122,6 +186,9 @@ class TextModel:
     b: float = 0.0
 
     def score(self, texts: pa.Array) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *map(self._score, pieces(texts))])
+
+    def _score(self, texts: pa.Array) -> np.ndarray:
         families, n = grams(texts)
         z = np.full(n, self.bias)
         for bucket, first, end in families:

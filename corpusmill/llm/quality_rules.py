@@ -44,7 +44,7 @@ def train(rows: pa.Table) -> TextModel | None:
     if any(len(np.unique(y[part])) < 2 for part in (held, ~held)):
         return None
     texts = rows.column("text").combine_chunks()
-    model = TextModel(*fit_sparse(matrix(texts.filter(pa.array(~held))), y[~held]))
+    model = TextModel(*fit_sparse([matrix(texts.filter(pa.array(~held)))], y[~held]))
     model.weights = model.weights.astype(np.float32)
     model.a, model.b = platt(model.score(texts.filter(pa.array(held))), y[held])
     return model
