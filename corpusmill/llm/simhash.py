@@ -229,7 +229,7 @@ def near_dedup(docs: DataFrame, accept: int = ACCEPT) -> DataFrame:
     """
     gone, repeated = duplicates(docs, accept)
     k, h, rn = fresh(docs, "k", "h", "rn")
-    out = docs.withColumn(k, row_key()).join(gone.select(F.col("k").alias(k)).distinct(), k, "left_anti")
+    out = docs.withColumn(k, row_key()).join(gone.select(F.col("k").alias(k)).distinct().hint("shuffle_hash"), k, "left_anti")
     repeated = written(repeated.select(F.col("k").alias(k)), "simhash-repeated")
     if repeated.limit(1).count():
         again = out.join(repeated, k, "left_semi").withColumn(h, F.xxhash64(*[F.col(c) for c in docs.columns]))
