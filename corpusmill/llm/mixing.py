@@ -41,7 +41,7 @@ def mix_sources(docs: DataFrame, total_tokens: int | None = None, targets: dict[
     pass through.
     """
     spark = docs.sparkSession
-    tok, key, cell, th, src, cut, full, n, tie = fresh(docs, "tok", "key", "cell", "th", "src", "cut", "full", "n", "tie")
+    tok, key, cell, last_cell, src, cut, full, n, tie = fresh(docs, "tok", "key", "cell", "last_cell", "src", "cut", "full", "n", "tie")
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     keyed = docs.withColumn(tok, token_count(F.col("text"))).filter(F.col(tok) > 0)
     keyed = keyed.withColumn(key, -F.log(u) / quality_weight(F.col("text"), F.col(tok)))
@@ -69,11 +69,11 @@ def mix_sources(docs: DataFrame, total_tokens: int | None = None, targets: dict[
     last = narrow.join(ends, F.col(src).eqNullSafe(F.col("s")) & (F.col(cell) == F.col("c")))
     last = last.withColumn("sum", F.sum(tok).over(W.partitionBy("s").orderBy(tie).rowsBetween(W.unboundedPreceding, 0)))
     last = last.groupBy("s").agg(F.max(F.when(F.col("sum") <= F.col("rest"), F.col(tie))).alias(cut)).withColumnRenamed("s", "s2")
-    cuts = written(ends.join(last, F.col("s").eqNullSafe(F.col("s2")), "left").select(F.col("s").alias(src), F.col("c"), full, cut), "mix-cuts")
+    cuts = written(ends.join(last, F.col("s").eqNullSafe(F.col("s2")), "left").select(F.col("s").alias(src), F.col("c").alias(last_cell), full, cut), "mix-cuts")
 
     taken = keyed.join(cuts, F.col("source").eqNullSafe(F.col(src)))
     here = F.floor((1 - F.exp(-F.col(key))) * CELLS)
-    partly = (here < F.col("c")) | ((here == F.col("c")) & F.coalesce(order <= F.col(cut), F.lit(False)))
+    partly = (here < F.col(last_cell)) | ((here == F.col(last_cell)) & F.coalesce(order <= F.col(cut), F.lit(False)))
     taken = taken.withColumn(n, F.col(full) + F.when(partly, 1).otherwise(0)).filter(F.col(n) > 0)
     out = taken.withColumn(n, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(n))))
     return out.select(*docs.columns, *([F.col(n).alias(epoch)] if epoch else []), *([F.col(tok).alias(tokens)] if tokens else []))
