@@ -13,10 +13,10 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import row_key, slices, table, written
@@ -104,7 +104,10 @@ def imatch(docs: DataFrame, idf_low: float = 2.0, idf_high: float = 7.0, seed: i
     def hashed(kept):
         return F.when(F.size(kept) >= MIN_TERMS, F.md5(F.array_join(F.transform(kept, lambda t: t["term"]), " ")))
 
-    columns = [hashed(F.col("ts")), *(hashed(F.filter("ts", lambda t, j=j: F.substring(t["d"], j + 1, 1).isin("0", "1"))) for j in range(SUBSETS))]
+    def part(j: int) -> Callable[[Column], Column]:
+        return lambda t: F.substring(t["d"], j + 1, 1).isin("0", "1")
+
+    columns = [hashed(F.col("ts")), *(hashed(F.filter("ts", part(j))) for j in range(SUBSETS))]
     pairs = pairs.select("k", F.size("ts").cast("bigint").alias("n_terms"), *(c.alias(x) for c, x in zip(columns, names, strict=True)))
     return keyed.select("doc_id", "k").join(pairs, "k", "left").select("doc_id", F.coalesce("n_terms", F.lit(0).cast("bigint")).alias("n_terms"), *names)
 
