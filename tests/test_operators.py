@@ -280,6 +280,20 @@ def test_near_duplicates_against_brute_force(spark):
     assert sum(len(x or []) for x in meta(out, "gone")) == len(texts) - len(brute_semantic(texts, 0.8))
 
 
+def test_greedy_in_one_task_and_in_rounds(spark):
+    from corpusmill.operators.dedup import later_of_greedy
+
+    r = random.Random(1)
+    edges = {tuple(sorted(r.sample(range(80), 2))) for _ in range(120)}
+    gone = set()
+    for b in range(80):
+        if any((a, b) in edges and a not in gone for a in range(b)):
+            gone.add(b)
+    df = spark.createDataFrame(sorted(edges), "a long, b long")
+    for most in (0, 1000):
+        assert {x["o"] for x in later_of_greedy(df, most).collect()} == gone
+
+
 def test_streams_take_row_wise_operators_only(spark, tmp_path):
     from corpusmill import Pipeline
     from corpusmill.streaming import apply, window_counts
