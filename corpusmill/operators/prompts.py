@@ -133,8 +133,19 @@ def context_length(ds: Dataset, config: Config) -> Dataset:
 
 _PAIRS = pa.list_(pa.struct([("question", pa.string()), ("answer", pa.string())]))
 _PAIRS_DDL = "array<struct<question:string,answer:string>>"
-_MARK = [regex.compile(rf"##\s*[{a[0]}{a[0].lower()}]{a[1:]}[:\s]+.*?(?=##\s*[{b[0]}{b[0].lower()}]{b[1:]}|$)") for a, b in (("Question", "Answer"), ("Answer", "Question"))]
-_NUMBER = [regex.compile(rf"[{a}{a.lower()}](\d+)[:\s]+(.*?)(?=[{b}{b.lower()}]\d+[:\s]|$)") for a, b in ("QA", "AQ")]
+_SEP, _NUM = r"[\s:]+", r"\d+"
+
+
+def _either(word: str) -> str:
+    return f"[{word[0]}{word[0].lower()}]{word[1:]}"
+
+
+def _heading(word: str) -> str:
+    return rf"##\s*{_either(word)}"
+
+
+_MARK = [regex.compile(f"{_heading(a)}{_SEP}.*?(?={_heading(b)}|$)") for a, b in (("Question", "Answer"), ("Answer", "Question"))]
+_NUMBER = [regex.compile(rf"{_either(a)}({_NUM}){_SEP}(.*?)(?={_either(b)}{_NUM}[\s:]|$)") for a, b in ("QA", "AQ")]
 
 
 def qa_markdown(text: str) -> list[tuple[str, str]]:
@@ -208,6 +219,13 @@ def qa_extract(ds: Dataset, config: Config) -> Dataset:
 PREAMBLE = " ".join(["A chat between a curious user and an artificial intelligence assistant.", "The assistant gives helpful, detailed,", "and polite answers to the user's questions."])
 
 
+_END = "<|im_end|>\n"
+
+
+def _turn(role: str) -> str:
+    return f"<|im_start|>{role}\n"
+
+
 @operator("llm.instruction_format", row_wise=True)
 def instruction_format(ds: Dataset, config: Config) -> Dataset:
     """A prompt from an instruction and an input. format: Alpaca, Vicuna, Llama2, ChatML or {Custom: {template}}."""
@@ -220,7 +238,7 @@ def instruction_format(ds: Dataset, config: Config) -> Dataset:
         "Alpaca": lambda: join("### Instruction:\n", said, F.when(bare, "").otherwise(join("\n\n### Input:\n", given)), "\n\n### Response:\n"),
         "Vicuna": lambda: join(f"{PREAMBLE}\n\nUSER: ", said, "\nASSISTANT:"),
         "Llama2": lambda: join("<s>[INST] ", said, " [/INST]"),
-        "ChatML": lambda: join("<|im_start|>user\n", said, F.when(bare, "").otherwise(join("\n\n", given)), "<|im_end|>\n<|im_start|>assistant\n"),
+        "ChatML": lambda: join(_turn("user"), said, F.when(bare, "").otherwise(join("\n\n", given)), _END, _turn("assistant")),
         "Custom": lambda: F.replace(F.replace(F.lit(option(o, "template", kinds=str)), F.lit("{{instruction}}"), said), F.lit("{{input}}"), given),
     }
     if name not in made:

@@ -12,8 +12,8 @@ from ..functions import kernels
 from ..registry import NUMBER, Config, operator, option
 
 WEIGHTS = dict(zip(kernels.QUALITY, (0.20, 0.15, 0.15, 0.15, 0.10, 0.08, 0.08, 0.05, 0.03, 0.01), strict=True))
-LEXICON = [("kill", 1.0), ("hate", 0.8), ("abuse", 0.8), ("stupid", 0.6), ("idiot", 0.6), ("violence", 0.7), ("shut up", 0.7), ("terrible person", 0.9)]
-NEGATIONS = frozenset(["not", "never", "no", "without", "ain't", "hardly"])
+LEXICON = [(phrase, weight) for weight, phrases in ((0.6, "stupid,idiot"), (0.7, "violence,shut up"), (0.8, "hate,abuse"), (0.9, "terrible person"), (1.0, "kill")) for phrase in phrases.split(",")]
+NEGATIONS = frozenset("ain't hardly never no not without".split())
 _PARTS = pa.struct([(c, pa.float64()) for c in kernels.QUALITY])
 
 

@@ -43,12 +43,14 @@ class Rule:
         return F.concat(head, bare, F.lit("<"), digest, F.lit(">"), last, tail)
 
 
+_GAP = "[- ]?"
+_DIGIT = r"\p{Nd}"
 RULES = [
-    Rule("email", r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", placeholder="<EMAIL>", window=12, original=True),
-    Rule("phone", r"\b(?:\+?\d{1,3}[ -]?)?" + r"(?:\(?\d{2,4}\)?[ -]?)?" + r"\d{7,12}\b", "mask", prefix=2, suffix=2, window=6),
-    Rule("card", r"\b(?:\d[ -]?){13,19}\b", "mask", mask_char="#", prefix=4, suffix=2, window=4),
-    Rule("url", r"(?i)https?://[\w./?#%=&]+", placeholder="<URL>", window=16),
-]
+    Rule("email", r"(?i)[%+\-.0-9_a-z]+@[\-.0-9a-z]+\.[a-z]{2,}", placeholder="<EMAIL>", window=12, original=True),
+    Rule("phone", rf"\b(?:[+]?{_DIGIT}{{1,3}}{_GAP})?(?:[(]?{_DIGIT}{{2,4}}[)]?{_GAP})?{_DIGIT}{{7,12}}\b", "mask", prefix=2, suffix=2, window=6),
+    Rule("card", rf"\b(?:{_DIGIT}{_GAP}){{13,19}}\b", "mask", mask_char="#", prefix=4, suffix=2, window=4),
+    Rule("url", r"(?i)https?://[#%&./=?\w]+", placeholder="<URL>", window=16),
+]
 
 
 def _rule(config: Config) -> Rule:
