@@ -26,6 +26,11 @@ log = logging.getLogger(__name__)
 Step = Mapping[str, Any]
 
 
+def step(operator: str, config: Mapping[str, Any] | None = None) -> Step:
+    """A step as configuration has it."""
+    return {"operator": operator, "config": dict(config or {})}
+
+
 @dataclass(frozen=True)
 class Node:
     kind: str
@@ -169,7 +174,7 @@ class PipelineBuilder:
         return self
 
     def step(self, name: str, config: Mapping[str, Any] | None = None) -> PipelineBuilder:
-        self._steps.append({"operator": name, "config": config or {}})
+        self._steps.append(step(name, config))
         return self
 
     def build(self) -> Pipeline:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..dataset import Dataset, quoted
 from ..operators import dedup, distribution, tokens
 from ..operators.transforms import scalar
-from ..pipeline import Pipeline
+from ..pipeline import Pipeline, step
 from ..registry import apply_operator
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ _MADE["graded"] = lambda t: t("documents").join(t("labels"), "doc_id").select("d
 IDS = {"documents": "doc_id", "customer": "c_custkey", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id", "nation": "n_nationkey", "region": "r_regionkey", "supplier": "s_suppkey", "words": "doc_id", "places": "n_nationkey", "talks": "conv_id", "graded": "doc_id"}
 
 
+def at(field: str) -> dict[str, Any]:
+    return {"path": f"payload.{field}"}
+
+
 def dataset(t: Callable[[str], DataFrame], table: str, metadata: tuple[str, ...] = ()) -> Dataset:
     return Dataset.of(t(table), id=IDS.get(table), metadata=metadata)
 
@@ -69,28 +73,28 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Callable[[st
 
 _DEAR = "(select * from orders where o_totalprice > 450000)"
 _CO = f"select c_custkey, o_orderkey from customer left join {_DEAR} on c_custkey = o_custkey"
-add("filter_equals", "documents", {"path": "payload.lang", "equals": "de"}, "doc_id lang", "select doc_id, lang from documents where lang = 'de'")
-add("filter_not_equals", "customer_orders", {"path": "payload.o_orderkey", "equals": 7}, "c_custkey o_orderkey", f"{_CO} where o_orderkey is distinct from 7")
+add("filter_equals", "documents", at("lang") | {"equals": "de"}, "doc_id lang", "select doc_id, lang from documents where lang = 'de'")
+add("filter_not_equals", "customer_orders", at("o_orderkey") | {"equals": 7}, "c_custkey o_orderkey", f"{_CO} where o_orderkey is distinct from 7")
 add("filter_any", "orders", {"paths": ["payload.o_orderstatus", "payload.o_orderpriority"], "equals": "F"}, "o_orderkey o_orderstatus", "select o_orderkey, o_orderstatus from orders where o_orderstatus = 'F' or o_orderpriority = 'F'")
-add("filter_between", "lineitem", {"path": "payload.l_quantity", "min": 10, "max": 30}, "l_orderkey l_linenumber l_quantity", "select l_orderkey, l_linenumber, l_quantity from lineitem where l_quantity between 10 and 30")
-add("filter_less_than", "lineitem", {"path": "payload.l_discount", "threshold": 0.03}, "l_orderkey l_linenumber l_discount", "select l_orderkey, l_linenumber, l_discount from lineitem where l_discount < 0.03::double")
-add("filter_greater_than", "customer", {"path": "payload.c_acctbal", "threshold": 5000}, "c_custkey c_acctbal", "select c_custkey, c_acctbal from customer where c_acctbal > 5000")
-add("filter_range", "events", {"path": "payload.value", "min": 50.5}, "event_id value", "select event_id, value from events where value >= 50.5::double")
-add("filter_is_null", "customer_orders", {"path": "payload.o_orderkey"}, "c_custkey", f"select c_custkey from customer where c_custkey not in (select o_custkey from {_DEAR})")
-add("filter_exists", "customer_orders", {"path": "payload.o_orderkey"}, "c_custkey o_orderkey", f"{_CO} where o_orderkey is not null")
-add("filter_not_exists", "customer_orders", {"path": "payload.o_totalprice"}, "c_custkey", f"select c_custkey from customer where not exists (select 1 from {_DEAR} where o_custkey = c_custkey)")
-add("filter_regex", "documents", {"path": "payload.text", "pattern": "[0-9]{3}"}, "doc_id", "select doc_id from documents where regexp_matches(text, '[0-9]{3}')")
-add("filter_starts_with", "part", {"path": "payload.p_name", "prefix": "red"}, "p_partkey p_name", "select p_partkey, p_name from part where starts_with(p_name, 'red')")
-add("filter_ends_with", "part", {"path": "payload.p_name", "suffix": "ring"}, "p_partkey p_name", "select p_partkey, p_name from part where ends_with(p_name, 'ring')")
-add("filter_in", "documents", {"path": "payload.lang", "values": ["en", "de"]}, "doc_id lang", "select doc_id, lang from documents where lang in ('en', 'de')")
-add("filter_not_in", "customer_orders", {"path": "payload.o_orderkey", "values": [1, 2, 3]}, "c_custkey o_orderkey", f"{_CO} where o_orderkey is null or o_orderkey not in (1, 2, 3)")
-add("filter_contains", "documents", {"path": "payload.text", "contains": "THE", "case_insensitive": True}, "doc_id", "select doc_id from documents where contains(lower(text), 'the')")
-add("filter_contains_all", "documents", {"path": "payload.text", "contains_all": ["the", "and"]}, "doc_id", "select doc_id from documents where contains(text, 'the') and contains(text, 'and')")
-add("filter_contains_any", "documents", {"path": "payload.text", "contains_any": ["License", "license"]}, "doc_id", "select doc_id from documents where contains(text, 'License') or contains(text, 'license')")
-add("filter_contains_none", "documents", {"path": "payload.text", "contains_none": ["the", "der"]}, "doc_id", "select doc_id from documents where not contains(text, 'the') and not contains(text, 'der')")
-add("filter_array_contains", "words", {"path": "payload.words", "element": "the"}, "doc_id", r"select doc_id from documents where list_contains(string_split_regex(text, '[ \n]+'), 'the')")
-add("filter_length_range", "documents", {"path": "payload.text", "min": 500, "max": 3000}, "doc_id", "select doc_id from documents where length(text) between 500 and 3000")
-add("filter_token_range", "documents", {"path": "payload.text", "min": 50}, "doc_id", r"select doc_id from documents where len(regexp_extract_all(text, '\S+')) >= 50")
+add("filter_between", "lineitem", at("l_quantity") | {"min": 10, "max": 30}, "l_orderkey l_linenumber l_quantity", "select l_orderkey, l_linenumber, l_quantity from lineitem where l_quantity between 10 and 30")
+add("filter_less_than", "lineitem", at("l_discount") | {"threshold": 0.03}, "l_orderkey l_linenumber l_discount", "select l_orderkey, l_linenumber, l_discount from lineitem where l_discount < 0.03::double")
+add("filter_greater_than", "customer", at("c_acctbal") | {"threshold": 5000}, "c_custkey c_acctbal", "select c_custkey, c_acctbal from customer where c_acctbal > 5000")
+add("filter_range", "events", at("value") | {"min": 50.5}, "event_id value", "select event_id, value from events where value >= 50.5::double")
+add("filter_is_null", "customer_orders", at("o_orderkey"), "c_custkey", f"select c_custkey from customer where c_custkey not in (select o_custkey from {_DEAR})")
+add("filter_exists", "customer_orders", at("o_orderkey"), "c_custkey o_orderkey", f"{_CO} where o_orderkey is not null")
+add("filter_not_exists", "customer_orders", at("o_totalprice"), "c_custkey", f"select c_custkey from customer where not exists (select 1 from {_DEAR} where o_custkey = c_custkey)")
+add("filter_regex", "documents", at("text") | {"pattern": "[0-9]{3}"}, "doc_id", "select doc_id from documents where regexp_matches(text, '[0-9]{3}')")
+add("filter_starts_with", "part", at("p_name") | {"prefix": "red"}, "p_partkey p_name", "select p_partkey, p_name from part where starts_with(p_name, 'red')")
+add("filter_ends_with", "part", at("p_name") | {"suffix": "ring"}, "p_partkey p_name", "select p_partkey, p_name from part where ends_with(p_name, 'ring')")
+add("filter_in", "documents", at("lang") | {"values": ["en", "de"]}, "doc_id lang", "select doc_id, lang from documents where lang in ('en', 'de')")
+add("filter_not_in", "customer_orders", at("o_orderkey") | {"values": [1, 2, 3]}, "c_custkey o_orderkey", f"{_CO} where o_orderkey is null or o_orderkey not in (1, 2, 3)")
+add("filter_contains", "documents", at("text") | {"contains": "THE", "case_insensitive": True}, "doc_id", "select doc_id from documents where contains(lower(text), 'the')")
+add("filter_contains_all", "documents", at("text") | {"contains_all": ["the", "and"]}, "doc_id", "select doc_id from documents where contains(text, 'the') and contains(text, 'and')")
+add("filter_contains_any", "documents", at("text") | {"contains_any": ["License", "license"]}, "doc_id", "select doc_id from documents where contains(text, 'License') or contains(text, 'license')")
+add("filter_contains_none", "documents", at("text") | {"contains_none": ["the", "der"]}, "doc_id", "select doc_id from documents where not contains(text, 'the') and not contains(text, 'der')")
+add("filter_array_contains", "words", at("words") | {"element": "the"}, "doc_id", r"select doc_id from documents where list_contains(string_split_regex(text, '[ \n]+'), 'the')")
+add("filter_length_range", "documents", at("text") | {"min": 500, "max": 3000}, "doc_id", "select doc_id from documents where length(text) between 500 and 3000")
+add("filter_token_range", "documents", at("text") | {"min": 50}, "doc_id", r"select doc_id from documents where len(regexp_extract_all(text, '\S+')) >= 50")
 
 # metadata
 
@@ -128,11 +132,11 @@ add("field_require", "customer_orders", {"fields": ["payload.o_orderkey", "paylo
 
 # transforms
 
-add("transform_normalize", "documents", {"path": "payload.text", "lowercase": True}, "doc_id text", r"select doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) as text from documents")
-add("transform_map", "part", {"path": "payload.p_name", "transform": {"Replace": {"from": "ring", "to": "band"}}}, "p_partkey p_name", "select p_partkey, replace(p_name, 'ring', 'band') as p_name from part")
-add("transform_chain", "part", {"path": "payload.p_name", "transforms": ["Uppercase", {"Truncate": {"max_length": 6}}, {"Pad": {"length": 8, "char": "-"}}, {"Prefix": {"prefix": "<"}}, {"Suffix": {"suffix": ">"}}]}, "p_partkey p_name", "select p_partkey, '<' || rpad(left(upper(p_name), 6), 8, '-') || '>' as p_name from part")
+add("transform_normalize", "documents", at("text") | {"lowercase": True}, "doc_id text", r"select doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) as text from documents")
+add("transform_map", "part", at("p_name") | {"transform": {"Replace": {"from": "ring", "to": "band"}}}, "p_partkey p_name", "select p_partkey, replace(p_name, 'ring', 'band') as p_name from part")
+add("transform_chain", "part", at("p_name") | {"transforms": ["Uppercase", {"Truncate": {"max_length": 6}}, {"Pad": {"length": 8, "char": "-"}}, {"Prefix": {"prefix": "<"}}, {"Suffix": {"suffix": ">"}}]}, "p_partkey p_name", "select p_partkey, '<' || rpad(left(upper(p_name), 6), 8, '-') || '>' as p_name from part")
 add("transform_template", "orders", {"template": "{{payload.o_orderkey}}: {{payload.o_orderstatus}} {{payload.nothing}}", "output_field": "payload.line"}, "o_orderkey line", "select o_orderkey, o_orderkey::varchar || ': ' || o_orderstatus || ' {{payload.nothing}}' as line from orders")
-add("transform_flat_map", "words", {"path": "payload.words", "output_field": "payload.word"}, "doc_id word", r"select doc_id, unnest(string_split_regex(text, '[ \n]+')) as word from documents")
+add("transform_flat_map", "words", at("words") | {"output_field": "payload.word"}, "doc_id word", r"select doc_id, unnest(string_split_regex(text, '[ \n]+')) as word from documents")
 add("transform_coalesce", "customer_orders", {"paths": ["payload.o_orderkey", "payload.c_custkey"], "output_field": "payload.key"}, "c_custkey key", f"select c_custkey, coalesce(o_orderkey, c_custkey) as key from customer left join {_DEAR} on c_custkey = o_custkey")
 add("transform_conditional", "orders", {"condition_path": "payload.o_orderstatus", "condition_value": "F", "then": {"Suffix": {"suffix": "!"}}, "else": "Lowercase"}, "o_orderkey o_orderstatus", "select o_orderkey, case when o_orderstatus = 'F' then 'F!' else lower(o_orderstatus) end as o_orderstatus from orders")
 
@@ -170,11 +174,11 @@ s as (select doc_id, n, latin / n as r, greatest(length(low) - 2, 1)::double as
     ({_GRAM(["and", "ing", "ion", "ent", "tha"])})::double as e, ({_GRAM([" de", "que", "los", "las"])})::double as p, ({_GRAM([" de", "ent", "ion", "que"])})::double as f from c),
 b as (select *, e / w + r * 0.8 as en, p / w + r * 0.8 as es, f / w + r * 0.8 as fr from s),
 g as (select *, greatest(en, zh, ar, ru, es, fr, hi) as best from b)"""
-add("lang_detect", "documents", {"path": "payload.text"}, "doc_id m:lang_pred", f"""with {_LANG}
+add("lang_detect", "documents", at("text"), "doc_id m:lang_pred", f"""with {_LANG}
 select doc_id, case when n = 0 then 'und' when best <= 0.15 then case when r > 0.9 then 'en' else 'und' end when r > 0.9 and (en + 0.1 >= best or best <= 0.25) then 'en'
     when en >= best then 'en' when zh >= best then 'zh' when ar >= best then 'ar' when ru >= best then 'ru' when es >= best then 'es' when fr >= best then 'fr' else 'hi' end as lang_pred from g""")
-QUERIES["lang_detect"] = lambda spark, sf_dir: (lambda ds: ds.df.select("doc_id", quoted(ds.meta["lang_pred"]).alias("lang_pred")))(apply_operator(dataset(_reader(spark, sf_dir), "documents"), "lang.detect", {"path": "payload.text", "key": "lang_pred"}))
-add("lang_confidence", "documents", {"path": "payload.text"}, ["doc_id"], """
+QUERIES["lang_detect"] = lambda spark, sf_dir: (lambda ds: ds.df.select("doc_id", quoted(ds.meta["lang_pred"]).alias("lang_pred")))(apply_operator(dataset(_reader(spark, sf_dir), "documents"), "lang.detect", at("text") | {"key": "lang_pred"}))
+add("lang_confidence", "documents", at("text"), ["doc_id"], """
 select doc_id, round(greatest(length(regexp_replace(text, '[^\\x00-\\x7f]', '', 'g')), len(regexp_extract_all(text, '[一-鿿㐀-䶿豈-﫿]')))::double / length(text), 6) as confidence
 from documents where length(text) > 0""", made=lambda: [F.round("lang_confidence", 6).alias("confidence")])
 
@@ -195,12 +199,12 @@ q as (select doc_id, n, length(regexp_replace(text, '[^\x00-\x7f]', '', 'g')) /
 sc as (select doc_id, 0.2 * ascii_ratio + 0.15 * entropy + 0.15 * coalesce(least(greatest((206.835 - 1.015 * words / sent - 84.6 * syl / words) / 100, 0), 1), 0) + 0.15 * coalesce(uniq / words, 0)
     + 0.1 * nonprint + 0.08 * bigram + 0.08 * char_run + 0.05 * coalesce(1 - least(letters / words / 20, 1), 0)
     + 0.03 * case when list_sum(br) > 0 then 1 - (abs(br[1] - br[2]) + abs(br[3] - br[4]) + abs(br[5] - br[6])) / list_sum(br) else 1 end + 0.01 * symbol as quality from q)"""
-add("quality_score", "documents", {"path": "payload.text"}, ["doc_id"], f"with {_WORDS_SQL} select doc_id, round(least(greatest(quality, 0), 1), 6) as quality from sc", made=lambda: [F.round("quality", 6).alias("quality")])
+add("quality_score", "documents", at("text"), ["doc_id"], f"with {_WORDS_SQL} select doc_id, round(least(greatest(quality, 0), 1), 6) as quality from sc", made=lambda: [F.round("quality", 6).alias("quality")])
 add("quality_filter", "graded", {"key": "quality", "min": 1}, "doc_id m:quality", "select doc_id, quality from documents join labels using (doc_id) where quality >= 1", metadata=("quality", "toxic"))
 
 _NORM = "regexp_replace(translate(w, '0123456789', 'oizeasgtbg'), '[^a-z0-9]', '', 'g')"
 _NEG = "('not', 'never', 'no', 'without', 'hardly')"
-add("quality_toxicity", "documents", {"path": "payload.text"}, ["doc_id"], rf"""
+add("quality_toxicity", "documents", at("text"), ["doc_id"], rf"""
 with lex(a, b, wt) as (values ('kill', null, 1.0::double), ('hate', null, 0.8), ('abuse', null, 0.8), ('stupid', null, 0.6), ('idiot', null, 0.6), ('violence', null, 0.7), ('shut', 'up', 0.7), ('terrible', 'person', 0.9)),
 l as (select doc_id, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}]+') as ws, regexp_extract_all(text, '\S+') as raw from documents),
 u as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i from l),
@@ -210,18 +214,18 @@ e as (select doc_id, len(ws)::double as n, len(list_filter(raw, lambda x: regexp
 select doc_id, round(case when n = 0 then 0 else least(1, 0.6 * least(coalesce(weight, 0) / 8, 1) + 0.25 * least(coalesce(hits, 0) / n, 1) + 0.15 * least(0.5 * loud + bangs / 6 * 0.3, 0.8)) end, 6) as toxicity
 from e left join m using (doc_id)""", made=lambda: [F.round("toxicity", 6).alias("toxicity")])
 
-add("pii_redact", "documents", {"path": "payload.text"}, "doc_id text")
-add("pii_redact_custom", "pages", {"path": "payload.url", "custom": [{"tag": "year", "pattern": "page=[0-9]+", "placeholder": "page=<N>"}]}, "page_id url", r"""
+add("pii_redact", "documents", at("text"), "doc_id text")
+add("pii_redact_custom", "pages", at("url") | {"custom": [{"tag": "year", "pattern": "page=[0-9]+", "placeholder": "page=<N>"}]}, "page_id url", r"""
 select page_id, regexp_replace(regexp_replace(url, 'https?://[A-Za-z0-9_./?#%=&]+', '<URL>', 'g'), 'page=[0-9]+', 'page=<N>', 'g') as url from pages""", operator="pii.redact")
 
 # augmentation
 
 _U = lambda seed, key, place: f"(('0x' || substr(md5('{seed}:' || {key} || ':' || {place}), 1, 13))::bigint::double + 0.5) / 4503599627370496.0"
-add("augment_synonym", "documents", {"path": "payload.text", "synonyms": [{"word": "the", "replacements": ["this", "that"]}], "seed": 7}, "doc_id text", rf"""
+add("augment_synonym", "documents", at("text") | {"synonyms": [{"word": "the", "replacements": ["this", "that"]}], "seed": 7}, "doc_id text", rf"""
 with w as (select doc_id, unnest(regexp_extract_all(text, '\S+')) as w, generate_subscripts(regexp_extract_all(text, '\S+'), 1) - 1 as i from documents),
 r as (select doc_id, i, case when lower(w) <> 'the' then w when {_U("7:0", "doc_id::varchar", "i::varchar")} * 3 < 1 then 'this' when {_U("7:0", "doc_id::varchar", "i::varchar")} * 3 < 2 then 'that' else w end as w from w)
 select doc_id, coalesce(string_agg(w, ' ' order by i), '') as text from documents left join r using (doc_id) group by doc_id""")
-add("augment_noise", "part", {"path": "payload.p_brand", "intensity": 0.5, "seed": 7}, "p_partkey p_brand", rf"""
+add("augment_noise", "part", at("p_brand") | {"intensity": 0.5, "seed": 7}, "p_partkey p_brand", rf"""
 with c as (select p_partkey, unnest(string_split(p_brand, '')) as c, generate_subscripts(string_split(p_brand, ''), 1) - 1 as i from part)
 select p_partkey, string_agg(case when {_U("7", "p_partkey::varchar", "i::varchar")} < 0.5 then case when c between '0' and '9' then ((c::int + 1) % 10)::varchar when c = upper(c) then lower(c) else upper(c) end else c end, '' order by i) as p_brand
 from c group by p_partkey""")
@@ -398,7 +402,7 @@ def _(t):
 
 # near-duplicates
 
-add("dedup_minhash", "documents", {"path": "payload.text", "threshold": 0.8}, "doc_id", r"""
+add("dedup_minhash", "documents", at("text") | {"threshold": 0.8}, "doc_id", r"""
 with toks as (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+')) as tok from documents), dt as (select distinct doc_id, tok from toks),
 vocab as (select tok, list_reduce(list_prepend(14695981039346656037::hugeint, list_transform(range(0, octet_length(encode(tok))), lambda i: ('0x' || substr(hex(encode(tok)), (2 * i + 1)::int, 2))::hugeint)), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616) as h from (select distinct tok from dt)),
 sig as (select doc_id, i, min(xor(h::ubigint, ((11400714785074694791::hugeint + i) % 18446744073709551616)::ubigint)) as s from dt join vocab using (tok), range(64) r(i) group by 1, 2),
@@ -406,8 +410,8 @@ bands as (select doc_id, i // 8 as b, list_reduce(list_prepend(0::hugeint, list(
 sets as (select doc_id, list(tok) as ts from dt group by 1), cand as (select distinct x.doc_id as i, y.doc_id as j from bands x join bands y on x.b = y.b and x.k = y.k and x.doc_id < y.doc_id),
 dup as (select distinct j from cand join sets a on a.doc_id = i join sets b on b.doc_id = j where len(list_intersect(a.ts, b.ts))::double / len(list_distinct(list_concat(a.ts, b.ts))) >= 0.8)
 select doc_id from documents where doc_id not in (select j from dup)""")
-add("dedup_simhash", "documents", {"path": "payload.text", "threshold": 0.95}, "doc_id")
-add("dedup_semantic", "documents", {"path": "payload.text", "threshold": 0.7}, "doc_id")
+add("dedup_simhash", "documents", at("text") | {"threshold": 0.95}, "doc_id")
+add("dedup_semantic", "documents", at("text") | {"threshold": 0.7}, "doc_id")
 
 
 @query("simhash_signature", r"""
@@ -431,10 +435,10 @@ def _(t):
 # the flagship: language, quality, tokens, and a threshold, one lazy plan
 
 FLAGSHIP = [
-    {"operator": "lang.detect", "config": {"path": "payload.text", "key": "lang_pred"}},
-    {"operator": "quality.score", "config": {"path": "payload.text", "key": "quality"}},
-    {"operator": "llm.token_count", "config": {"text_field": "payload.text", "output_field": "metadata.token_count"}},
-    {"operator": "quality.filter", "config": {"key": "quality", "min": 0.84}},
+    step("lang.detect", at("text") | {"key": "lang_pred"}),
+    step("quality.score", at("text") | {"key": "quality"}),
+    step("llm.token_count"),
+    step("quality.filter", {"key": "quality", "min": 0.84}),
 ]
 
 

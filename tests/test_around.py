@@ -10,6 +10,7 @@ from corpusmill.dsl import parse
 from corpusmill.enrich import Synthesizer, annotate, augment
 from corpusmill.errors import PipelineError, SchemaError
 from corpusmill.inspect import diff, diff_summary, metrics, profile, statistics, summary, text_statistics
+from corpusmill.pipeline import step
 from corpusmill.plugins import Dependency, PluginManifest, Runtime, satisfies
 from corpusmill.sources import detect, read, read_envelope, write, write_envelope
 from corpusmill.sources.formats import by_content, by_name
@@ -17,19 +18,23 @@ from corpusmill.sources.manifest import Manifest
 from corpusmill.versions import VersionStore, dataset_hash
 
 
+def at(field):
+    return {"path": f"payload.{field}"}
+
+
 @pytest.fixture
 def docs(spark):
     return Dataset.of(spark.createDataFrame([("a", "hello world", 1), ("b", "bad", 2), ("c", None, None)], "id string, text string, n int"), id="id")
 
 
-LONG = {"operator": "filter.length_range", "config": {"path": "payload.text", "min": 5}}
+LONG = step("filter.length_range", at("text") | {"min": 5})
 
 
 def test_pipeline(docs):
     assert Pipeline([LONG]).run(docs).df.count() == 1
-    p = Pipeline([{"if": [LONG], "then": [{"operator": "limit", "config": {"count": 2}}], "else": []}])
+    p = Pipeline([{"if": [LONG], "then": [step("limit", {"count": 2})], "else": []}])
     assert p.run(docs).df.count() == 2
-    assert Pipeline([{"parallel": [[LONG], [{"operator": "limit", "config": {"count": 2}}]]}]).run(docs).df.count() == 3
+    assert Pipeline([{"parallel": [[LONG], [step("limit", {"count": 2})]]}]).run(docs).df.count() == 3
     for wrong in ([], [{"parallel": []}], [{"operator": 3}], [{"x": 1}]):
         with pytest.raises(PipelineError):
             Pipeline(wrong)
@@ -56,7 +61,7 @@ def test_programs(docs):
     yaml = parse("steps:\n  - operator: limit\n    config: {count: 2}\n")
     assert yaml.compile().run(docs).df.count() == 2
     assert parse(yaml.to_json()).steps == yaml.steps
-    loose = parse(json.dumps({"steps": [{"config": {}}, {"operator": "limit", "config": {"count": 1}}]}), strict=False)
+    loose = parse(json.dumps({"steps": [{"config": {}}, step("limit", {"count": 1})]}), strict=False)
     assert len(loose.steps) == 1 and loose.warnings
     with pytest.raises(PipelineError):
         parse("limit count=$none")
@@ -73,7 +78,7 @@ def test_plugins(docs):
     r.load(m, {"shout.loud": lambda ds, c: seen.append(set(ds.meta)) or ds})
     from pyspark.sql import functions as F
 
-    Pipeline([{"operator": "shout.loud", "config": {}}]).run(docs.put_meta("pii", F.lit(1)).put_meta("x", F.lit(2)))
+    Pipeline([step("shout.loud", {})]).run(docs.put_meta("pii", F.lit(1)).put_meta("x", F.lit(2)))
     assert seen == [{"x"}] and r.audit[0]["hidden"] == ["pii"]
     with pytest.raises(PipelineError):
         r.unload("base")

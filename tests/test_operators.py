@@ -7,6 +7,18 @@ import pytest
 from corpusmill import ConfigError, Dataset, SchemaError, apply_operator, names
 from corpusmill.dataset import quoted
 from corpusmill.errors import OperatorError
+from corpusmill.pipeline import step
+
+
+ANSWER = "<|im_start|>assistant\n"
+
+
+def at(field):
+    return {"path": f"payload.{field}"}
+
+
+def some(*fields):
+    return [f"payload.{f}" for f in fields]
 
 
 def ds(spark, rows, schema, **kw):
@@ -33,34 +45,34 @@ TEXT = "id long, text string"
 
 
 @pytest.mark.parametrize(("name", "config", "schema", "data", "kept"), [
-    ("filter.equals", {"path": "payload.text", "equals": "hello"}, TEXT, [(1, "hello"), (2, "world"), (3, None)], [1]),
-    ("filter.not_equals", {"path": "payload.text", "equals": "hello"}, TEXT, [(1, "hello"), (2, "world"), (3, None)], [2, 3]),
-    ("filter.equals", {"path": "payload.v", "equals": 1}, "id long, v double", [(1, 1.0)], []),
-    ("filter.equals", {"path": "payload.v", "equals": 1.0}, "id long, v double", [(1, 1.0)], [1]),
-    ("filter.equals", {"path": "payload.nothing", "equals": 1}, TEXT, [(1, "a")], []),
-    ("filter.not_equals", {"path": "payload.nothing", "equals": 1}, TEXT, [(1, "a")], [1]),
-    ("filter.any", {"paths": ["payload.a", "payload.b"], "equals": "x"}, "id long, a string, b string, c string", [(1, "x", None, None), (2, None, "x", None), (3, None, None, "x")], [1, 2]),
-    ("filter.contains", {"path": "payload.text", "contains": "WORLD", "case_insensitive": True}, TEXT, [(1, "hello world"), (2, "goodbye")], [1]),
-    ("filter.starts_with", {"path": "payload.text", "prefix": "hello"}, TEXT, [(1, "hello world"), (2, "world hello")], [1]),
-    ("filter.ends_with", {"path": "payload.text", "suffix": "hello"}, TEXT, [(1, "hello world"), (2, "world hello")], [2]),
-    ("filter.regex", {"path": "payload.text", "pattern": r"^\S+@\S+\.\S+$"}, TEXT, [(1, "email@test.com"), (2, "not an email")], [1]),
-    ("filter.greater_than", {"path": "payload.score", "threshold": 7}, "id long, score long", [(1, 10), (2, 5), (3, None)], [1]),
-    ("filter.less_than", {"path": "payload.score", "threshold": 7}, "id long, score long", [(1, 10), (2, 5), (3, None)], [2]),
-    ("filter.between", {"path": "payload.score", "min": 5, "max": 12}, "id long, score long", [(1, 10), (2, 5), (3, 15)], [1, 2]),
-    ("filter.range", {"path": "payload.score", "max": 9.5}, "id long, score long", [(1, 10), (2, 5), (3, None)], [2]),
-    ("filter.in", {"path": "payload.c", "values": ["red", "blue", 1]}, "id long, c string", [(1, "red"), (2, "blue"), (3, "green"), (4, None)], [1, 2]),
-    ("filter.not_in", {"path": "payload.c", "values": ["red", "blue"]}, "id long, c string", [(1, "red"), (2, "blue"), (3, "green"), (4, None)], [3, 4]),
-    ("filter.is_null", {"path": "payload.text"}, TEXT, [(1, None), (2, "hello")], [1]),
-    ("filter.is_null", {"path": "payload.nothing", "include_missing": False}, TEXT, [(1, None)], []),
-    ("filter.exists", {"path": "payload.text"}, TEXT, [(1, None), (2, "hello")], [2]),
-    ("filter.not_exists", {"path": "payload.text"}, TEXT, [(1, None), (2, "hello")], [1]),
-    ("filter.length_range", {"path": "payload.text", "min": 3, "max": 8}, TEXT, [(1, "hi"), (2, "hello"), (3, "hello world"), (4, "äöü")], [2, 4]),
-    ("filter.token_range", {"path": "payload.text", "min": 2, "max": 4}, TEXT, [(1, "hi"), (2, "hello  world"), (3, "a b c d e")], [2]),
-    ("filter.contains_all", {"path": "payload.tags", "contains_all": ["a", "b"]}, "id long, tags array<string>", [(1, ["a", "b", "c"]), (2, ["a", "b"]), (3, ["c"]), (4, None)], [1, 2]),
-    ("filter.contains_any", {"path": "payload.tags", "contains_any": ["vip"]}, "id long, tags array<string>", [(1, ["vip", "gold"]), (2, ["basic"]), (3, [])], [1]),
-    ("filter.contains_none", {"path": "payload.text", "contains_none": ["bad", "spam"]}, TEXT, [(1, "clean text"), (2, "bad content"), (3, None)], [1, 3]),
-    ("filter.array_contains", {"path": "payload.tags", "element": "a"}, "id long, tags array<string>", [(1, ["a"]), (2, ["b"]), (3, None), (4, [None])], [1, 3]),
-    ("field.require", {"fields": ["payload.a", "payload.b"]}, "id long, a string, b string", [(1, "x", "y"), (2, "x", None)], [1]),
+    ("filter.equals", at("text") | {"equals": "hello"}, TEXT, [(1, "hello"), (2, "world"), (3, None)], [1]),
+    ("filter.not_equals", at("text") | {"equals": "hello"}, TEXT, [(1, "hello"), (2, "world"), (3, None)], [2, 3]),
+    ("filter.equals", at("v") | {"equals": 1}, "id long, v double", [(1, 1.0)], []),
+    ("filter.equals", at("v") | {"equals": 1.0}, "id long, v double", [(1, 1.0)], [1]),
+    ("filter.equals", at("nothing") | {"equals": 1}, TEXT, [(1, "a")], []),
+    ("filter.not_equals", at("nothing") | {"equals": 1}, TEXT, [(1, "a")], [1]),
+    ("filter.any", {"paths": some("a", "b"), "equals": "x"}, "id long, a string, b string, c string", [(1, "x", None, None), (2, None, "x", None), (3, None, None, "x")], [1, 2]),
+    ("filter.contains", at("text") | {"contains": "WORLD", "case_insensitive": True}, TEXT, [(1, "hello world"), (2, "goodbye")], [1]),
+    ("filter.starts_with", at("text") | {"prefix": "hello"}, TEXT, [(1, "hello world"), (2, "world hello")], [1]),
+    ("filter.ends_with", at("text") | {"suffix": "hello"}, TEXT, [(1, "hello world"), (2, "world hello")], [2]),
+    ("filter.regex", at("text") | {"pattern": r"^\S+@\S+\.\S+$"}, TEXT, [(1, "email@test.com"), (2, "not an email")], [1]),
+    ("filter.greater_than", at("score") | {"threshold": 7}, "id long, score long", [(1, 10), (2, 5), (3, None)], [1]),
+    ("filter.less_than", at("score") | {"threshold": 7}, "id long, score long", [(1, 10), (2, 5), (3, None)], [2]),
+    ("filter.between", at("score") | {"min": 5, "max": 12}, "id long, score long", [(1, 10), (2, 5), (3, 15)], [1, 2]),
+    ("filter.range", at("score") | {"max": 9.5}, "id long, score long", [(1, 10), (2, 5), (3, None)], [2]),
+    ("filter.in", at("c") | {"values": [*"red blue".split(), 1]}, "id long, c string", [(1, "red"), (2, "blue"), (3, "green"), (4, None)], [1, 2]),
+    ("filter.not_in", at("c") | {"values": "red blue".split()}, "id long, c string", [(1, "red"), (2, "blue"), (3, "green"), (4, None)], [3, 4]),
+    ("filter.is_null", at("text"), TEXT, [(1, None), (2, "hello")], [1]),
+    ("filter.is_null", at("nothing") | {"include_missing": False}, TEXT, [(1, None)], []),
+    ("filter.exists", at("text"), TEXT, [(1, None), (2, "hello")], [2]),
+    ("filter.not_exists", at("text"), TEXT, [(1, None), (2, "hello")], [1]),
+    ("filter.length_range", at("text") | {"min": 3, "max": 8}, TEXT, [(1, "hi"), (2, "hello"), (3, "hello world"), (4, "äöü")], [2, 4]),
+    ("filter.token_range", at("text") | {"min": 2, "max": 4}, TEXT, [(1, "hi"), (2, "hello  world"), (3, "a b c d e")], [2]),
+    ("filter.contains_all", at("tags") | {"contains_all": ["a", "b"]}, "id long, tags array<string>", [(1, ["a", "b", "c"]), (2, ["a", "b"]), (3, ["c"]), (4, None)], [1, 2]),
+    ("filter.contains_any", at("tags") | {"contains_any": ["vip"]}, "id long, tags array<string>", [(1, ["vip", "gold"]), (2, ["basic"]), (3, [])], [1]),
+    ("filter.contains_none", at("text") | {"contains_none": ["bad", "spam"]}, TEXT, [(1, "clean text"), (2, "bad content"), (3, None)], [1, 3]),
+    ("filter.array_contains", at("tags") | {"element": "a"}, "id long, tags array<string>", [(1, ["a"]), (2, ["b"]), (3, None), (4, [None])], [1, 3]),
+    ("field.require", {"fields": some("a", "b")}, "id long, a string, b string", [(1, "x", "y"), (2, "x", None)], [1]),
     ("token.filter", {"text_field": "payload.text", "min_tokens": 2}, TEXT, [(1, "a b"), (2, "a"), (3, None)], [1]),
     ("llm.context_length", {"min_tokens": 3, "max_tokens": 10}, TEXT, [(1, "a b c"), (2, "a"), (3, None)], [1]),
     ("limit", {"count": 2}, TEXT, [(3, "c"), (1, "a"), (2, "b")], [1, 2]),
@@ -70,9 +82,9 @@ def test_rows_that_stay(spark, name, config, schema, data, kept):
 
 
 @pytest.mark.parametrize(("name", "config"), [
-    ("filter.between", {"path": "payload.text", "min": 3, "max": 2}), ("filter.range", {"path": "payload.text"}), ("filter.equals", {"path": "text", "equals": 1}), ("filter.equals", {"path": "payload.text"}),
-    ("filter.in", {"path": "payload.text", "values": []}), ("limit", {"count": "1"}), ("limit", {"count": True}), ("sample.random", {}), ("sample.random", {"ratio": 2}), ("split.random", {"ratios": [0.5, 0.4], "names": ["a", "b"]}),
-    ("split.kfold", {"k": 1}), ("transform.map", {"path": "payload.text", "transform": "Nothing"}), ("filter.regex", {"path": "payload.text", "pattern": "a(?=b)"}), ("no.such", {}), ("metadata.keep", {"keys": []}),
+    ("filter.between", at("text") | {"min": 3, "max": 2}), ("filter.range", at("text")), ("filter.equals", {"path": "text", "equals": 1}), ("filter.equals", at("text")),
+    ("filter.in", at("text") | {"values": []}), ("limit", {"count": "1"}), ("limit", {"count": True}), ("sample.random", {}), ("sample.random", {"ratio": 2}), ("split.random", {"ratios": [0.5, 0.4], "names": ["a", "b"]}),
+    ("split.kfold", {"k": 1}), ("transform.map", at("text") | {"transform": "Nothing"}), ("filter.regex", at("text") | {"pattern": "a(?=b)"}), ("no.such", {}), ("metadata.keep", {"keys": []}),
     ("llm.context_length", {"action": {"Split": {"max_tokens": 5, "overlap": 5}}}), ("token.count", {"tokenizer_type": "other"}), ("token.count", {"tokenizer_type": "cl100k_base", "vocabulary": "/nothing"}),
 ])
 def test_wrong_config(spark, name, config):
@@ -81,7 +93,7 @@ def test_wrong_config(spark, name, config):
 
 
 def test_filters_reach_the_scan(spark):
-    out = run(Dataset.of(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), id="doc_id"), "filter.in", {"path": "payload.lang", "values": ["en", "de"]})
+    out = run(Dataset.of(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), id="doc_id"), "filter.in", at("lang") | {"values": ["en", "de"]})
     plan = out.df.select("doc_id")._jdf.queryExecution().toString()
     assert "PushedFilters: [In(lang, [de,en])" in plan
     assert "text" not in plan.split("ReadSchema")[1]
@@ -105,16 +117,16 @@ def test_metadata(spark):
 
 def test_transforms(spark):
     d = ds(spark, [(1, "  Hello   WORLD ", 1.0), (2, None, None)], "id long, text string, v double", id="id")
-    assert values(run(d, "transform.normalize", {"path": "payload.text", "lowercase": True}), "text") == ["hello world", None]
+    assert values(run(d, "transform.normalize", at("text") | {"lowercase": True}), "text") == ["hello world", None]
     t = ds(spark, [(1, "John", 30)], "id long, name string, age int", id="id")
     assert values(run(t, "transform.template", {"template": "{{payload.name}} is {{payload.age}} {{payload.no}} {{other}}", "output_field": "payload.g"}), "g") == ["John is 30 {{payload.no}} {{other}}"]
-    assert values(run(t, "transform.map", {"path": "payload.name", "transform": {"RegexReplace": {"pattern": "(o)(h)", "replacement": "$2$1"}}}), "name") == ["Jhon"]
-    assert values(run(t, "transform.map", {"path": "payload.age", "transform": "Uppercase"}), "age") == [30]
-    assert values(run(t, "transform.map", {"path": "payload.name", "transform": "JsonStringify"}), "name") == ['"John"']
+    assert values(run(t, "transform.map", at("name") | {"transform": {"RegexReplace": {"pattern": "(o)(h)", "replacement": "$2$1"}}}), "name") == ["Jhon"]
+    assert values(run(t, "transform.map", at("age") | {"transform": "Uppercase"}), "age") == [30]
+    assert values(run(t, "transform.map", at("name") | {"transform": "JsonStringify"}), "name") == ['"John"']
     n = ds(spark, [(1, [1, 2]), (2, []), (3, None)], "id long, xs array<int>", id="id")
-    assert sorted(map(str, values(run(n, "transform.flat_map", {"path": "payload.xs", "output_field": "payload.x"}), "x"))) == ["1", "2", "None"]
+    assert sorted(map(str, values(run(n, "transform.flat_map", at("xs") | {"output_field": "payload.x"}), "x"))) == ["1", "2", "None"]
     c = ds(spark, [(1, None, "fallback")], "id long, a string, b string", id="id")
-    assert values(run(c, "transform.coalesce", {"paths": ["payload.a", "payload.b"], "output_field": "payload.o"}), "o") == ["fallback"]
+    assert values(run(c, "transform.coalesce", {"paths": some("a", "b"), "output_field": "payload.o"}), "o") == ["fallback"]
 
 
 def test_fields(spark):
@@ -169,7 +181,7 @@ def test_shuffles_are_permutations(spark, name, config):
 
 def test_empty_table(spark):
     d = ds(spark, [], "id long, text string, g string", id="id")
-    for name, config in [("sample.random", {"ratio": 0.5}), ("split.random", {"test_size": 0.5}), ("split.chunk", {"chunk_size": 2}), ("shuffle", {}), ("token.stats", {}), ("token.histogram", {}), ("dedup.simhash", {"path": "payload.text"}), ("dedup.minhash", {"path": "payload.text"}), ("dedup.semantic", {"path": "payload.text"}), ("quality.score", {"path": "payload.text"}), ("merge.batch", {}), ("distribution.correlation", {"field_x": "id", "field_y": "id"}), ("sample.balanced", {"label_field": "payload.g"})]:
+    for name, config in [("sample.random", {"ratio": 0.5}), ("split.random", {"test_size": 0.5}), ("split.chunk", {"chunk_size": 2}), ("shuffle", {}), ("token.stats", {}), ("token.histogram", {}), ("dedup.simhash", at("text")), ("dedup.minhash", at("text")), ("dedup.semantic", at("text")), ("quality.score", at("text")), ("merge.batch", {}), ("distribution.correlation", {"field_x": "id", "field_y": "id"}), ("sample.balanced", {"label_field": "payload.g"})]:
         assert run(d, name, config).df.count() == 0, name
 
 
@@ -193,26 +205,26 @@ def test_merges(spark):
 
 def test_language(spark):
     d = ds(spark, [(1, "Hello world, this is the end and that was the thing"), (2, "你好世界"), (3, "  "), (4, "это просто русский текст"), (5, None)], TEXT, id="id")
-    got = dict(zip(values(d, "id"), meta(run(d, "lang.detect", {"path": "payload.text"}), "lang"), strict=True))
+    got = dict(zip(values(d, "id"), meta(run(d, "lang.detect", at("text")), "lang"), strict=True))
     assert got == {1: "en", 2: "zh", 3: "und", 4: "ru", 5: None}
 
 
 def test_quality(spark):
     d = ds(spark, [(1, "A sentence of plain words, and another one."), (2, ""), (3, None), (4, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa")], TEXT, id="id")
-    out = run(d, "quality.score", {"path": "payload.text", "details_key": "parts"})
+    out = run(d, "quality.score", at("text") | {"details_key": "parts"})
     q = meta(out, "quality")
     assert 0.8 < q[0] <= 1 and q[1] == 0 and q[2] is None and q[3] < q[0]
-    t = meta(run(ds(spark, [(1, "you are an IDIOT"), (2, "not an idiot"), (3, "1d10t"), (4, "fine")], TEXT, id="id"), "quality.toxicity", {"path": "payload.text"}), "toxicity")
+    t = meta(run(ds(spark, [(1, "you are an IDIOT"), (2, "not an idiot"), (3, "1d10t"), (4, "fine")], TEXT, id="id"), "quality.toxicity", at("text")), "toxicity")
     assert t[0] > t[1] > 0 and t[2] > 0 and t[3] == 0
 
 
 def test_redaction(spark):
     d = ds(spark, [(1, "My email is test@example.com"), (2, "see http://a.b/c or call 12345678901"), (3, "mine@ok.org and yours@ok.org"), (4, None)], TEXT, id="id")
-    got = values(run(d, "pii.redact", {"path": "payload.text", "store_key": "log", "allowlist": ["mine@ok.org"]}), "text")
+    got = values(run(d, "pii.redact", at("text") | {"store_key": "log", "allowlist": ["mine@ok.org"]}), "text")
     assert got[0] == "My email is <EMAIL>" and got[1] == "see <URL> or call 12****01" and got[2] == "mine@ok.org and <EMAIL>" and got[3] is None
-    out = run(d, "pii.redact", {"path": "payload.text", "store_key": "log"})
+    out = run(d, "pii.redact", at("text") | {"store_key": "log"})
     assert meta(out, "log")[0][0]["original"] == "test@example.com"
-    out = values(run(d, "pii.redact", {"path": "payload.text", "custom": [{"tag": "x", "pattern": "call", "strategy": "hash", "prefix": 1, "suffix": 1}]}), "text")[1]
+    out = values(run(d, "pii.redact", at("text") | {"custom": [{"tag": "x", "pattern": "call", "strategy": "hash", "prefix": 1, "suffix": 1}]}), "text")[1]
     assert out.startswith("see <URL> or c<") and ">l 12" in out
 
 
@@ -225,7 +237,7 @@ def test_prompts(spark):
     assert got == [[("one?", "yes more"), ("two?", "no")], [("## Question: what?", "## Answer: that")], [("a", "b")]]
     i = ds(spark, [(1, "do", ""), (2, "do", "it")], "id long, instruction string, input string", id="id")
     got = values(run(i, "llm.instruction_format", {"input_field": "payload.input", "format": "ChatML"}), "formatted")
-    assert got == ["<|im_start|>user\ndo<|im_end|>\n<|im_start|>assistant\n", "<|im_start|>user\ndo\n\nit<|im_end|>\n<|im_start|>assistant\n"]
+    assert got == ["<|im_start|>user\ndo<|im_end|>\n" + ANSWER, "<|im_start|>user\ndo\n\nit<|im_end|>\n" + ANSWER]
     long = ds(spark, [("a", "word " * 100), ("b", "short")], "id string, text string", id="id")
     out = run(long, "llm.context_length", {"action": {"Split": {"max_tokens": 50, "overlap": 10}}})
     assert sorted(values(out, "id"))[:2] == ["a_chunk_0", "a_chunk_1"] and "b" in values(out, "id")
@@ -264,7 +276,7 @@ def test_near_duplicates_against_brute_force(spark):
     texts += ["", "!!!", texts[0]]
     d = ds(spark, [*enumerate(texts), (len(texts), None)], TEXT, id="id")
     for threshold in (0.6, 0.8):
-        assert sorted(values(run(d, "dedup.semantic", {"path": "payload.text", "threshold": threshold}), "id")) == [*brute_semantic(texts, threshold), len(texts)]
+        assert sorted(values(run(d, "dedup.semantic", at("text") | {"threshold": threshold}), "id")) == [*brute_semantic(texts, threshold), len(texts)]
     import pyarrow as pa
 
     from corpusmill.functions import kernels
@@ -275,8 +287,8 @@ def test_near_duplicates_against_brute_force(spark):
         for i, x in enumerate(h):
             if all(1 - (x ^ h[j]).bit_count() / 64 < threshold for j in kept):
                 kept.append(i)
-        assert sorted(values(run(d, "dedup.simhash", {"path": "payload.text", "threshold": threshold}), "id")) == [*kept, len(texts)]
-    out = run(d, "dedup.semantic", {"path": "payload.text", "threshold": 0.8, "details_key": "gone"})
+        assert sorted(values(run(d, "dedup.simhash", at("text") | {"threshold": threshold}), "id")) == [*kept, len(texts)]
+    out = run(d, "dedup.semantic", at("text") | {"threshold": 0.8, "details_key": "gone"})
     assert sum(len(x or []) for x in meta(out, "gone")) == len(texts) - len(brute_semantic(texts, 0.8))
 
 
@@ -302,10 +314,10 @@ def test_streams_take_row_wise_operators_only(spark, tmp_path):
     path = str(tmp_path / "in")
     events.write.parquet(path)
     stream = spark.readStream.schema(events.schema).parquet(path)
-    out = apply(stream, Pipeline([{"operator": "filter.equals", "config": {"path": "payload.event_type", "equals": "view"}}]), id="event_id")
+    out = apply(stream, Pipeline([step("filter.equals", at("event_type") | {"equals": "view"})]), id="event_id")
     q = out.df.writeStream.format("memory").queryName("views").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert spark.table("views").count() == events.filter("event_type = 'view'").count()
     with pytest.raises(OperatorError):
-        apply(stream, Pipeline([{"operator": "limit", "config": {"count": 1}}]), id="event_id")
+        apply(stream, Pipeline([step("limit", {"count": 1})]), id="event_id")
     assert window_counts(events, "ts", "event_type", "1 day").agg({"n": "sum"}).first()[0] == events.count()
