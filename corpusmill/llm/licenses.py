@@ -35,7 +35,7 @@ TEMPLATES = {
     "MIT-notice": "Released under the MIT License",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0": """you may not use this file except in compliance with the License. You may obtain a copy of the License at
-        http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software
+        http www.apache.org licenses LICENSE-2.0 Unless required by applicable law or agreed to in writing, software
         distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either
         express or implied. See the License for the specific language governing permissions and limitations under the License.""",
     "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
