@@ -46,7 +46,8 @@ def mix_sources(docs: DataFrame, total_tokens: int | None = None, targets: dict[
     keyed = docs.withColumn(tok, token_count(F.col("text"))).filter(F.col(tok) > 0)
     keyed = keyed.withColumn(key, -F.log(u) / quality_weight(F.col("text"), F.col(tok)))
     order = F.struct(F.col(key), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text"))
-    narrow = keyed.select(F.col("source").alias(src), tok, F.floor((1 - F.exp(-F.col(key))) * CELLS).alias(cell), order.alias(tie))
+    # texts are read twice: for these columns, and for the rows that are taken
+    narrow = written(keyed.select(F.col("source").alias(src), tok, F.floor((1 - F.exp(-F.col(key))) * CELLS).alias(cell), order.alias(tie)), "mix-keys")
 
     cells = written(narrow.groupBy(src, cell).agg(F.sum(tok).alias(tok)), "mix-cells")
     sums = cells.groupBy(src).agg(F.sum(tok).alias("have"))
