@@ -1,6 +1,6 @@
 """What the training-data operators share: the shared folder, row keys, and array code for texts.
 
-Array code works on one slice of an Arrow batch at a time (a few MB of text), so a Python worker's
+Array code works on one slice of an Arrow batch at a time (a MB of text), so a Python worker's
 memory does not depend on how Spark cut the batches, only on the longest single text.
 """
 
@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
