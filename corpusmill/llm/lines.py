@@ -1,6 +1,7 @@
 """Operator 2: line dedup by pairwise alignment.
 
-Documents overlap if they share a line that few documents hold, or several lines that many hold, or their whole text.
+Documents overlap if they share a line that is long or that few documents hold, or several lines that many hold, or
+their whole text.
 Every line links its first holder with each later one, so pairs grow with the lines, whatever the number of holders.
 The lines of a pair are aligned by patience diff, and aligned common blocks are deleted from the later document.
 
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import fresh, row_key, table, written
 
 RARE, LEAST_CHARS = 50, 20
+#: A line of so many characters (fifty words have 99 at least) is a passage by itself, however many documents hold it.
+LONG_CHARS = 99
 
 
 def increasing(values: Sequence[int]) -> list[int]:
@@ -70,7 +73,7 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
 
 
 def deletions(a: Sequence[int], b: Sequence[int], rare: set[int]) -> list[int]:
-    """Places in b of its aligned blocks that have two lines or more, or a rare one."""
+    """Places in b of its aligned blocks that have two lines or more, or a rare (or long) one."""
     out: list[int] = []
     block: list[int] = []
     last = (-2, -2)
@@ -104,20 +107,20 @@ def _lines(text: Column) -> Column:
     return F.transform(F.filter(all_lines, lambda x: x["s"] != ""), lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["s"]).alias("h"), F.length(x["s"]).alias("n")))
 
 
-def found(docs: DataFrame, rare: int = RARE, least_chars: int = LEAST_CHARS) -> DataFrame:
+def found(docs: DataFrame, rare: int = RARE, least_chars: int = LEAST_CHARS, long_chars: int = LONG_CHARS) -> DataFrame:
     """(k, at): the places of the lines to delete of each document that loses any."""
     rows = docs.filter("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("k"), _lines(F.col("text")).alias("l"))
     rows = rows.filter(F.size("l") > 0).select("doc_id", "k", F.xxhash64("l.h").alias("all"), F.col("l.h").alias("h"), F.col("l.i").alias("p"), F.col("l.n").alias("n"))
     held = written(rows, "lines")
     # documents in order: by id, null last, then key
     order = F.struct(F.col("doc_id").isNull().alias("o"), F.col("doc_id").alias("d"), F.col("k").alias("k"))
-    each = held.select(order.alias("at"), F.explode(F.array_distinct(F.concat(F.transform(F.arrays_zip("h", "n"), lambda x: F.struct(x["h"].alias("h"), F.when(x["n"] >= least_chars, 1).otherwise(0).alias("kind"))), F.array(F.struct(F.xxhash64(F.lit("all"), "all").alias("h"), F.lit(2).alias("kind")))))).alias("x"))
+    each = held.select(order.alias("at"), F.explode(F.array_distinct(F.concat(F.transform(F.arrays_zip("h", "n"), lambda x: F.struct(x["h"].alias("h"), F.when(x["n"] >= long_chars, 3).when(x["n"] >= least_chars, 1).otherwise(0).alias("kind"))), F.array(F.struct(F.xxhash64(F.lit("all"), "all").alias("h"), F.lit(2).alias("kind")))))).alias("x"))
     each = each.select("at", "x.h", "x.kind")
     firsts = each.groupBy("h", "kind").agg(F.min("at").alias("first"), F.count("*").alias("df")).filter("df > 1")
     pairs = each.join(firsts, ["h", "kind"]).filter(F.col("at.k") != F.col("first.k"))
-    is_rare = (F.col("kind") == 1) & (F.col("df") <= rare)
+    is_rare = (F.col("kind") == 3) | (F.col("kind") == 1) & (F.col("df") <= rare)
     pairs = pairs.groupBy(F.col("first.k").alias("ak"), F.col("at.k").alias("bk")).agg(
-        F.collect_set(F.when(is_rare, F.col("h"))).alias("rare"), F.count(F.when(F.col("kind") < 2, 1)).alias("both"), F.coalesce(F.bool_or(F.col("kind") == 2), F.lit(False)).alias("whole"))
+        F.collect_set(F.when(is_rare, F.col("h"))).alias("rare"), F.count(F.when(F.col("kind") != 2, 1)).alias("both"), F.coalesce(F.bool_or(F.col("kind") == 2), F.lit(False)).alias("whole"))
     pairs = pairs.filter("whole or both > 1 or size(rare) > 0")
     # a document that is a whole copy needs no other pair
     copies = pairs.filter("whole").select(F.col("bk").alias("k")).distinct()
@@ -131,19 +134,19 @@ def found(docs: DataFrame, rare: int = RARE, least_chars: int = LEAST_CHARS) ->
     return aligned.union(wholly).groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
 
 
-def line_dedup(docs: DataFrame, rare: int = RARE, least_chars: int = LEAST_CHARS, drop_emptied: bool = False, deleted: str | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, rare: int = RARE, least_chars: int = LEAST_CHARS, drop_emptied: bool = False, deleted: str | None = None, long_chars: int = LONG_CHARS) -> DataFrame:
     """docs with the lines deleted that they share with earlier documents; with the number of deleted lines, if named.
 
     Two documents are aligned if the earlier (by id, null last, then key) is the first holder of a line of at least
-    least_chars characters that at most rare documents hold, or of two lines of any kind, which the later one has too.
-    A block is a run of aligned lines with no other line but blank ones between; it goes if it has two lines or a rare
-    one. A document whose lines are all those of an earlier one, in order, loses them all.
+    least_chars characters that at most rare documents hold, of a line of at least long_chars characters, or of two
+    lines of any kind, which the later one has too. A block is a run of aligned lines with no other line but blank ones
+    between; it goes if it has two lines, a rare one or a long one. A document whose lines are all those of an earlier one, in order, loses them all.
     Null cases: rows with null or blank texts stay as they are; rows equal in id and text are one document, so they
     don't delete each other's lines and all lose the same; an empty table gives an empty one. drop_emptied leaves out
     documents that lose every line. Other columns pass through, whatever their names.
     """
     k, at, ls = fresh(docs, "k", "at", "ls")
-    gone = written(found(docs, rare, least_chars).select(F.col("k").alias(k), F.col("at").alias(at)), "lines-gone")
+    gone = written(found(docs, rare, least_chars, long_chars).select(F.col("k").alias(k), F.col("at").alias(at)), "lines-gone")
     # by hashes of the narrow side in every partition, never by a copy of it on every executor: it grows with the documents
     out = docs.withColumn(k, row_key()).join(gone.hint("shuffle_hash"), k, "left")
     parts = F.split(F.col("text"), "\n", -1)

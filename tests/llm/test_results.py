@@ -106,6 +106,15 @@ def test_lines_against_brute_force(spark):
         assert [got[i] for i in range(len(texts))] == brute_lines(texts, rare, lines.LEAST_CHARS)
 
 
+def test_a_long_line_goes_however_many_hold_it(spark):
+    r = random.Random(12)
+    passage, short = prose(r, 60), "Read more about it here"
+    texts = [f"{prose(r, 8)}\n{passage}\n{prose(r, 9)}\n{short}\n{prose(r, 7)}" for _ in range(lines.RARE + 1)]
+    got = {x["doc_id"]: x["text"].split("\n") for x in lines.line_dedup(table_of(spark, texts)).collect()}
+    assert [i for i in got if passage in got[i]] == [0]
+    assert all(short in x for x in got.values())  # as before: a short line that many hold stays
+
+
 def test_patience_finds_a_moved_block():
     a, b = [1, 2, 3, 4, 5, 6], [9, 2, 3, 4, 8, 6]
     assert lines.patience(a, b) == [(1, 1), (2, 2), (3, 3), (5, 5)]
