@@ -2,7 +2,9 @@
 
 Documents overlap if they share a line that is long or that few documents hold, or several lines that many hold, or
 their whole text.
-Every line links its first holder with each later one, so pairs grow with the lines, whatever the number of holders.
+Every line and every two lines in a row link their first holder with each later one, so pairs grow with the lines,
+whatever the number of holders, and each block of two lines meets a document that has it. A line that few hold links all
+of its holders, as it may be out of order in the first; equal lists of holders are told apart once.
 The lines of a pair are aligned by patience diff, and aligned common blocks are deleted from the later document.
 
 At scale: the documents' line hashes are a narrow table; counting, linking and aligning read that alone, and texts are
@@ -91,10 +93,7 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ks, at = [], []
         for row in batch.to_pylist():
-            if row["whole"]:
-                places = row["bp"]
-            else:
-                places = [row["bp"][j] for j in deletions(row["a"], row["b"], set(row["rare"]))]
+            places = [row["bp"][j] for j in deletions(row["a"], row["b"], set(row["rare"]))]
             if places:
                 ks.append(row["bk"])
                 at.append(places)
@@ -114,21 +113,31 @@ def found(docs: DataFrame, rare: int = RARE, least_chars: int = LEAST_CHARS, lon
     held = written(rows, "lines")
     # documents in order: by id, null last, then key
     order = F.struct(F.col("doc_id").isNull().alias("o"), F.col("doc_id").alias("d"), F.col("k").alias("k"))
-    each = held.select(order.alias("at"), F.explode(F.array_distinct(F.concat(F.transform(F.arrays_zip("h", "n"), lambda x: F.struct(x["h"].alias("h"), F.when(x["n"] >= long_chars, 3).when(x["n"] >= least_chars, 1).otherwise(0).alias("kind"))), F.array(F.struct(F.xxhash64(F.lit("all"), "all").alias("h"), F.lit(2).alias("kind")))))).alias("x"))
+    kinds = F.transform(F.arrays_zip("h", "n"), lambda x: F.struct(x["h"].alias("h"), F.when(x["n"] >= long_chars, 3).when(x["n"] >= least_chars, 1).otherwise(0).alias("kind")))
+    after = F.slice("h", F.lit(2), F.greatest(F.size("h") - 1, F.lit(0)))
+    # the last line has no next one
+    twos = F.filter(F.zip_with("h", after, lambda x, y: F.when(y.isNotNull(), F.struct(F.xxhash64(F.lit("two"), x, y).alias("h"), F.lit(4).alias("kind")))), lambda x: x.isNotNull())
+    whole = F.array(F.struct(F.xxhash64(F.lit("all"), "all").alias("h"), F.lit(2).alias("kind")))
+    each = held.select(order.alias("at"), F.explode(F.array_distinct(F.concat(kinds, twos, whole))).alias("x"))
     each = each.select("at", "x.h", "x.kind")
     firsts = each.groupBy("h", "kind").agg(F.min("at").alias("first"), F.count("*").alias("df")).filter("df > 1")
-    pairs = each.join(firsts, ["h", "kind"]).filter(F.col("at.k") != F.col("first.k"))
-    is_rare = (F.col("kind") == 3) | (F.col("kind") == 1) & (F.col("df") <= rare)
-    pairs = pairs.groupBy(F.col("first.k").alias("ak"), F.col("at.k").alias("bk")).agg(
-        F.collect_set(F.when(is_rare, F.col("h"))).alias("rare"), F.count(F.when(F.col("kind") != 2, 1)).alias("both"), F.coalesce(F.bool_or(F.col("kind") == 2), F.lit(False)).alias("whole"))
-    pairs = pairs.filter("whole or both > 1 or size(rare) > 0")
+    repeated = written(each.join(firsts, ["h", "kind"]), "lines-repeated")
+    few = F.col("kind").isin(1, 3) & (F.col("df") <= rare)
+    alone = repeated.filter(few | (F.col("kind") == 3)).select(F.col("at.k").alias("bk"), "h").distinct().groupBy("bk").agg(F.collect_list("h").alias("rare"))
+    pairs = repeated.filter(~few & (F.col("at.k") != F.col("first.k"))).groupBy(F.col("first.k").alias("ak"), F.col("at.k").alias("bk")).agg(
+        F.bool_or(F.col("kind") > 2).alias("sure"), F.count(F.when(F.col("kind") != 2, 1)).alias("both"), F.bool_or(F.col("kind") == 2).alias("whole"))
+    pairs = pairs.filter("whole or sure or both > 1")
     # a document that is a whole copy needs no other pair
     copies = pairs.filter("whole").select(F.col("bk").alias("k")).distinct()
-    others = pairs.filter("not whole").join(copies.withColumnRenamed("k", "bk"), "bk", "left_anti")
+    # rows equal in id and text are one document
+    holders = repeated.filter(few).groupBy("h", "kind").agg(F.array_sort(F.collect_set("at")).alias("ats")).select("ats").distinct()
+    holders = holders.select(F.col("ats.k").alias("ks")).select("ks", F.posexplode("ks").alias("i", "bk")).filter("i > 0").select(F.explode(F.slice("ks", F.lit(1), F.col("i"))).alias("ak"), "bk")
+    others = pairs.filter("not whole").select("ak", "bk").union(holders).distinct().join(copies.withColumnRenamed("k", "bk"), "bk", "left_anti")
     unique = held.groupBy("k").agg(F.first("h").alias("h"), F.first("p").alias("p"))
     left = unique.select(F.col("k").alias("ak"), F.col("h").alias("a"))
     right = unique.select(F.col("k").alias("bk"), F.col("h").alias("b"), F.col("p").alias("bp"))
-    sides = others.join(right, "bk").join(left, "ak").select("bk", "a", "b", "bp", "rare", "whole")
+    right = right.join(alone, "bk", "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<bigint>")))
+    sides = others.join(right, "bk").join(left, "ak").select("bk", "a", "b", "bp", "rare")
     aligned = sides.mapInArrow(_align, "k bigint, at array<int>")
     wholly = copies.join(unique, "k").select("k", F.col("p").alias("at"))
     return aligned.union(wholly).groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
@@ -137,10 +146,11 @@ def found(docs: DataFrame, rare: int = RARE, least_chars: int = LEAST_CHARS, lon
 def line_dedup(docs: DataFrame, rare: int = RARE, least_chars: int = LEAST_CHARS, drop_emptied: bool = False, deleted: str | None = None, long_chars: int = LONG_CHARS) -> DataFrame:
     """docs with the lines deleted that they share with earlier documents; with the number of deleted lines, if named.
 
-    Two documents are aligned if the earlier (by id, null last, then key) is the first holder of a line of at least
-    least_chars characters that at most rare documents hold, of a line of at least long_chars characters, or of two
-    lines of any kind, which the later one has too. A block is a run of aligned lines with no other line but blank ones
-    between; it goes if it has two lines, a rare one or a long one. A document whose lines are all those of an earlier one, in order, loses them all.
+    Two documents are aligned if both hold a line of at least least_chars characters that at most rare documents hold,
+    or if the earlier (by id, null last, then key) is the first holder of a line of at least long_chars characters, of
+    two lines in a row, or of two lines of any kind, which the later one has too.
+    A block is a run of aligned lines with no other line but blank ones between; it goes if it has two lines, a rare one
+    or a long one. A document whose lines are all those of an earlier one, in order, loses them all.
     Null cases: rows with null or blank texts stay as they are; rows equal in id and text are one document, so they
     don't delete each other's lines and all lose the same; an empty table gives an empty one. drop_emptied leaves out
     documents that lose every line. Other columns pass through, whatever their names.

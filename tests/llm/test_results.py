@@ -115,6 +115,38 @@ def test_a_long_line_goes_however_many_hold_it(spark):
     assert all(short in x for x in got.values())  # as before: a short line that many hold stays
 
 
+def brute_lines_of_all(texts, rare, least, long):
+    """The deletion by comparing every document with every earlier one."""
+    parts = [t.split("\n") for t in texts]
+    norm = [[(i, x.strip(" \t\r")) for i, x in enumerate(p) if x.strip(" \t\r")] for p in parts]
+    df = Counter(x for p in norm for x in {x for _, x in p})
+    alone = {x for x, n in df.items() if len(x) >= long or len(x) >= least and n <= rare}
+    out = []
+    for d, p in enumerate(norm):
+        gone = set()
+        for a in norm[:d]:
+            gone |= {p[j][0] for j in lines.deletions([x for _, x in a], [x for _, x in p], alone)}
+        out.append("\n".join(x for i, x in enumerate(parts[d]) if i not in gone))
+    return out
+
+
+def test_lines_against_all_earlier_documents(spark):
+    r = random.Random(13)
+    pool = [prose(r, r.randint(2, 25)) for _ in range(30)]
+    # a block of common lines whose first holders are two other documents; a rare line out of order in its first holder
+    texts = [pool[0], pool[1], *[f"{prose(r, 8)}\n{pool[0]}\n{pool[1]}\n{prose(r, 8)}" for _ in range(6)]]
+    moved = [prose(r, 7) for _ in range(4)]
+    texts += ["\n".join(moved), f"{prose(r, 8)}\n{moved[3]}\n{prose(r, 8)}", "\n".join([moved[3], prose(r, 8), *moved[:3]])]
+    for _ in range(40):
+        a = r.randrange(25)
+        texts.append("\n".join([prose(r, 8), *pool[a : a + r.randint(0, 5)], prose(r, 7), ""]))
+    for rare in (3, 50):
+        got = {x["doc_id"]: x["text"] for x in lines.line_dedup(table_of(spark, texts), rare=rare).collect()}
+        want = brute_lines_of_all(texts, rare, lines.LEAST_CHARS, lines.LONG_CHARS)
+        assert [got[i] for i in range(len(texts))] == want
+        assert all(pool[0] not in x for x in want[3:8]) and moved[3] not in want[10]
+
+
 def test_patience_finds_a_moved_block():
     a, b = [1, 2, 3, 4, 5, 6], [9, 2, 3, 4, 8, 6]
     assert lines.patience(a, b) == [(1, 1), (2, 2), (3, 3), (5, 5)]
