@@ -7,10 +7,11 @@ most RADIUS positions, some v is orthogonal to all of these positions' vectors,
 they surely collide. Two fingerprints that differ in at most N_BLOCKS * (RADIUS + 1) - 1 bits have such a block. Those
 that collide are compared in full and linked if they differ in at most ACCEPT bits; a group is a connected component.
 
+The blocks are so many and so narrow that this is ACCEPT bits or more: every pair to be linked meets.
+
 At scale: equal fingerprints are one node, so thousands of copies cost no more than one document; tables move as
-(masked block, node) longs and only buckets of two nodes or more meet their fingerprints; a bucket passes on links that
-span it, never all pairs. BLOCK_BITS * 8/15 bits distinguish buckets and should be about the logarithm of the number of
-documents: 22 bits here, more by a larger block_bits.
+(masked block, node, fingerprint). A bucket of many nodes passes on links that span it, never all pairs. A covering
+radius of ACCEPT costs 279 rows a node and leaves 13 to 16 bits to tell buckets apart, so these grow with the documents.
 """
 
 from __future__ import annotations
@@ -28,10 +29,12 @@ from .common import components, fresh, mix, row_key, slices, table, text_bytes,
 
 LANES = 4
 BITS = 64 * LANES
-N_BLOCKS, BLOCK_BITS, RADIUS = 6, 42, 3
+N_BLOCKS, BLOCK_BITS, RADIUS = 9, 28, 4
 GUARANTEED = N_BLOCKS * (RADIUS + 1) - 1
 ACCEPT = 42
 SHORT = 8
+#: Buckets up to this size are compared side by side, larger ones by chains.
+SIDE_BY_SIDE = 256
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 _SALT = mix(np.arange(1, LANES + 1, dtype=np.uint64))
 
@@ -140,17 +143,6 @@ def by_key(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[p
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose key is there twice or more."""
-    for batch in by_key(batches):
-        key = batch.column(0).to_numpy()
-        same = key[1:] == key[:-1]
-        twice = np.zeros(len(key), bool)
-        twice[1:] |= same
-        twice[:-1] |= same
-        yield batch.filter(pa.array(twice))
-
-
 def spanning(nodes: np.ndarray, prints: np.ndarray, accept: int) -> Iterator[tuple[int, int]]:
     """Links that join all nodes of a bucket that chains of pairs within accept join."""
     rest = np.arange(len(nodes))
@@ -172,14 +164,22 @@ def _links(accept: int):
             prints = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, LANES)
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             size = np.diff(np.append(first, len(key)))
-            two = first[size == 2]
-            two = two[_distance(prints[two], prints[two + 1]) <= accept]
-            a, b = [node[two]], [node[two + 1]]
-            for f, s in zip(first[size > 2], size[size > 2], strict=True):
+            end = np.repeat(np.where(size <= SIDE_BY_SIDE, first + size, 0), size)
+            a, b = [], []
+            at, step = np.flatnonzero(end > np.arange(len(key)) + 1), 1
+            while len(at):
+                near = at[_distance(prints[at], prints[at + step]) <= accept]
+                a.append(node[near])
+                b.append(node[near + step])
+                step += 1
+                at = at[at + step < end[at]]
+            for f, s in zip(first[size > SIDE_BY_SIDE], size[size > SIDE_BY_SIDE], strict=True):
                 if found := list(spanning(node[f : f + s], prints[f : f + s], accept)):
                     x, y = zip(*found, strict=True)
                     a.append(np.array(x, np.int64))
                     b.append(np.array(y, np.int64))
+            if not a:
+                continue
             pairs = np.unique(np.stack([np.minimum(np.concatenate(a), np.concatenate(b)), np.maximum(np.concatenate(a), np.concatenate(b))]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
@@ -200,8 +200,8 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
             k = keys(np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint64).reshape(-1, LANES))
-            node = np.repeat(part.column("node").to_numpy(), k.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(k.ravel().view(np.int64)), pa.array(node)], names=["key", "node"])
+            at = pa.array(np.repeat(np.arange(part.num_rows), k.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(k.ravel().view(np.int64)), part.column("node").take(at), part.column("fp").take(at)], names=["key", "node", "fp"])
 
 
 def duplicates(docs: DataFrame, accept: int = ACCEPT) -> tuple[DataFrame, DataFrame]:
@@ -209,8 +209,7 @@ def duplicates(docs: DataFrame, accept: int = ACCEPT) -> tuple[DataFrame, DataFr
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", row_key().alias("k"))
     prints = written(rows.mapInArrow(_sketch, "doc_id bigint, k bigint, fp binary"), "simhash")
     nodes = written(prints.groupBy("fp").agg(F.min("k").alias("node")), "simhash-nodes")
-    buckets = nodes.mapInArrow(_tables, "key bigint, node bigint").repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key bigint, node bigint")
-    met = buckets.join(nodes, "node").select("key", "node", "fp").repartition("key").sortWithinPartitions("key")
+    met = nodes.mapInArrow(_tables, "key bigint, node bigint, fp binary").repartition("key").sortWithinPartitions("key")
     edges = written(met.mapInArrow(_links(accept), "a bigint, b bigint").distinct(), "simhash-edges")
     roots = components(edges, "simhash-components")
     member = prints.join(nodes, "fp").join(roots, "node", "left").select("doc_id", "k", F.coalesce("root", "node").alias("root"))

@@ -173,6 +173,17 @@ def test_every_pair_within_the_radius_collides(seed):
     assert (simhash.keys(a) == simhash.keys(b)).any(axis=1).all()
 
 
+def test_every_pair_to_be_linked_collides():
+    r = np.random.default_rng(9)
+    a = r.integers(0, 1 << 63, (3000, simhash.LANES), dtype=np.int64).view(np.uint64)
+    b = a.copy()
+    for i in range(len(b)):
+        for bit in r.choice(simhash.BITS, simhash.ACCEPT, replace=False):
+            b[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    assert simhash.GUARANTEED >= simhash.ACCEPT
+    assert (simhash.keys(a) == simhash.keys(b)).any(axis=1).all()
+
+
 def test_simhash_against_brute_force(spark):
     r = random.Random(8)
     texts = []
