@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from .common import slices, table
 
 PREFILTER = r"-----BEGIN|eyJ[A-Za-z0-9_-]{8}|[A-Za-z0-9+/_=-]{20}"
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY)(?: BLOCK)?-----(.*?)-----END \1(?: BLOCK)?-----", re.S)
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY(?: BLOCK)?)-----(.*?)-----END \1-----", re.S)
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 _ACCESS = re.compile(r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z2-7]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 _HEX = re.compile(r"(?:[0-9a-f]{2}){16,}|(?:[0-9A-F]{2}){16,}")
 _NAMED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|passphrase|credential|api[_ -]?key|access[_ -]?key|private[_ -]?key|signing[_ -]?key|auth)[a-z_-]*[\"']?\s*(?:=|:|=>|:=)\s*[\"']?$")
 _KEY_BYTES = (16, 20, 24, 32, 48, 64)
@@ -115,6 +115,45 @@ def openssh(data: bytes) -> str | None:
     return "openssh-private-key" if at == len(data) and 1 <= keys <= 16 and fields[0] else None
 
 
+def pgp(data: bytes) -> str | None:
+    """An OpenPGP private key: packets that fill the data, the first a secret key of version 3 to 6."""
+    at, first = 0, None
+    while at < len(data):
+        head = data[at]
+        at += 1
+        if not head & 0x80 or at >= len(data):
+            return None
+        body = b""
+        if head & 0x40:  # the newer form, maybe in parts
+            tag, more = head & 0x3F, True
+            while more:
+                if at >= len(data):
+                    return None
+                n, more = data[at], False
+                at += 1
+                if 192 <= n < 224:
+                    if at >= len(data):
+                        return None
+                    n, at = (n - 192 << 8) + data[at] + 192, at + 1
+                elif n == 255:
+                    n, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+                elif n >= 224:
+                    n, more = 1 << (n & 0x1F), True
+                if at + n > len(data):
+                    return None
+                body, at = body + data[at : at + n], at + n
+        else:
+            tag, size = head >> 2 & 0xF, 1 << (head & 3)
+            n = int.from_bytes(data[at : at + size], "big") if size < 8 else len(data) - at
+            at += size if size < 8 else 0
+            if at + n > len(data):
+                return None
+            body, at = data[at : at + n], at + n
+        if first is None:
+            first = tag, body
+    return "pgp-private-key" if first and first[0] == 5 and len(first[1]) > 6 and 3 <= first[1][0] <= 6 else None
+
+
 def un64(text: str) -> bytes | None:
     """base64, standard or for URLs, padded or not."""
     text = text.replace("-", "+").replace("_", "/").rstrip("=")
@@ -178,11 +217,13 @@ def scan(text: str) -> list[tuple[str, int, int]]:
             out.append((kind, start, end))
 
     for m in _PEM.finditer(text):
-        lines = [x.strip() for x in m[2].splitlines()]
+        # in JSON and in programs line feeds are written as \\n
+        lines = [x.strip() for x in re.sub(r"(?:\\+[rn])+", "\n", m[2]).replace("\\/", "/").splitlines()]
         sealed = any(x.startswith("Proc-Type:") and "ENCRYPTED" in x for x in lines)
-        data = un64("".join(x for x in lines if ":" not in x))
+        # the last line of OpenPGP armour is a checksum
+        data = un64("".join(x for x in lines if ":" not in x and not re.fullmatch("=[A-Za-z0-9+/]{4}", x)))
         if data and "PUBLIC" not in m[1]:
-            report("encrypted-private-key" if sealed and len(data) % 8 == 0 else private_der(data) or openssh(data), m.start(), m.end())
+            report("encrypted-private-key" if sealed and len(data) % 8 == 0 else private_der(data) or openssh(data) or pgp(data), m.start(), m.end())
     for m in _JWT.finditer(text):
         report(signed_token(*m.groups()), m.start(), m.end())
     for m in _ACCESS.finditer(text):

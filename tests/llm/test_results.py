@@ -364,6 +364,24 @@ def test_secrets(spark):
     assert texts[0][slice(*got[0, "rsa-private-key"])] == pem and texts[2][slice(*got[2, "signed-token"])] == token()
 
 
+def test_secrets_as_they_are_written_in_files():
+    r = random.Random(14)
+    raw = bytes(r.randrange(256) for _ in range(32))
+    ec = base64.b64encode(tlv(0x30, integer(1) + tlv(4, bytes(range(1, 33))))).decode()
+    for text, kind in ((f"API_KEY={raw.hex()}", "hex-key"), (f"SECRET={base64.b64encode(raw).decode()}", "base64-key"), (f"https://x.org/?access_token={raw.hex()}&a=b", "hex-key"), (f"KEY={ec}", "ec-private-key")):
+        [(got, start, end)] = secrets.scan(text)
+        assert got == kind and start == text.index("=", 3 if "?" not in text else text.index("?")) + 1 and text[end:] in ("", "&a=b")
+    pem = f"-----BEGIN EC PRIVATE KEY-----\n{ec}\n-----END EC PRIVATE KEY-----\n"
+    for text in (json.dumps({"key": pem}), json.dumps(json.dumps({"key": pem})), json.dumps({"key": pem}).replace("/", "\\/")):
+        assert [x[0] for x in secrets.scan(text)] == ["ec-private-key"]
+    body = b"\4" + bytes(r.randrange(256) for _ in range(250))
+    for packet in (bytes([0xC5, 192, len(body) - 192]) + body, bytes([0x95, 0, len(body)]) + body):
+        armour = "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: x\n\n{}\n=ab12\n-----END PGP PRIVATE KEY BLOCK-----"
+        assert [x[0] for x in secrets.scan(armour.format(base64.b64encode(packet).decode()))] == ["pgp-private-key"]
+        assert not secrets.scan(armour.format(base64.b64encode(packet[:-3]).decode()))
+    assert not secrets.scan(f"sha256={raw.hex()}")
+
+
 def test_nested_lengths():
     inner = tlv(0x30, integer(5) + tlv(0x30, integer(6)))
     assert secrets.der(inner)[0][2][1][2][0][1] == b"\6"
