@@ -410,7 +410,7 @@ bands as (select doc_id, i // 8 as b, list_reduce(list_prepend(0::hugeint, list(
 sets as (select doc_id, list(tok) as ts from dt group by 1), cand as (select distinct x.doc_id as i, y.doc_id as j from bands x join bands y on x.b = y.b and x.k = y.k and x.doc_id < y.doc_id),
 dup as (select distinct j from cand join sets a on a.doc_id = i join sets b on b.doc_id = j where len(list_intersect(a.ts, b.ts))::double / len(list_distinct(list_concat(a.ts, b.ts))) >= 0.8)
 select doc_id from documents where doc_id not in (select j from dup)""")
-add("dedup_simhash", "documents", at("text") | {"threshold": 0.95}, "doc_id")
+add("dedup_simhash", "documents", at("text"), "doc_id")
 add("dedup_semantic", "documents", at("text") | {"threshold": 0.7}, "doc_id")
 
 

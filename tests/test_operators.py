@@ -321,3 +321,19 @@ def test_streams_take_row_wise_operators_only(spark, tmp_path):
     with pytest.raises(OperatorError):
         apply(stream, Pipeline([step("limit", {"count": 1})]), id="event_id")
     assert window_counts(events, "ts", "event_type", "1 day").agg({"n": "sum"}).first()[0] == events.count()
+
+
+def test_the_simhash_query_has_the_default_threshold(spark):
+    import pyarrow as pa
+
+    from corpusmill.functions import kernels
+    from corpusmill.plans import queries
+
+    sf_dir = "/root/testdata/sf0.001"
+    rows = sorted((x["doc_id"], x["text"]) for x in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if x["text"] is not None)
+    kept: list[tuple[int, int]] = []
+    for (i, _), x in zip(rows, kernels.simhash(pa.array([t for _, t in rows])).to_pylist(), strict=True):
+        if all(1 - ((x ^ y) % (1 << 64)).bit_count() / 64 < 0.85 for _, y in kept):
+            kept.append((i, x))
+    got = queries.QUERIES["dedup_simhash"](spark, sf_dir).join(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").select("doc_id").collect()
+    assert sorted(x["doc_id"] for x in got) == [i for i, _ in kept]
