@@ -55,9 +55,18 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+ROW_KEY = "struct<a:bigint,b:bigint>"
+
+
 def row_key() -> Column:
-    """A document is its id and its text: rows that agree in both have the same key, null ids included."""
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0null")), F.col("text"))
+    """A document is its id and its text: rows that agree in both have the same key of 128 bits, null ids included."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("\0null"))
+    return F.struct(F.xxhash64(name, F.col("text")).alias("a"), F.xxhash64(F.lit("other"), F.col("text"), name).alias("b"))
+
+
+def tie_key() -> Column:
+    """The first half of row_key(), where it only orders rows of one id."""
+    return row_key()["a"]
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

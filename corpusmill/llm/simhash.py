@@ -1,22 +1,25 @@
 """Operator 4: SimHash near-duplicates by covering locality-sensitive hashing.
 
-A document's fingerprint has N_BLOCKS blocks of BLOCK_BITS bits: the signs of sums over its distinct words, long words
-counting more. Each position of a block has a vector of RADIUS + 1 bits, and each of the 2**(RADIUS+1) - 1 vectors v but
+A document's fingerprint has n_blocks blocks of block_bits bits: the signs of sums over its distinct words, long words
+counting more. Each position of a block has a vector of radius + 1 bits, and each of the 2**(radius+1) - 1 vectors v but
 zero is a table whose mask holds the positions whose vector has an odd product with v. Where two blocks differ in at
-most RADIUS positions, some v is orthogonal to all of these positions' vectors, so both blocks agree under its mask:
-they surely collide. Two fingerprints that differ in at most N_BLOCKS * (RADIUS + 1) - 1 bits have such a block. Those
-that collide are compared in full and linked if they differ in at most ACCEPT bits; a group is a connected component.
-
-The blocks are so many and so narrow that this is ACCEPT bits or more: every pair to be linked meets.
-
-At scale: equal fingerprints are one node, so thousands of copies cost no more than one document; tables move as
-(masked block, node, fingerprint). A bucket of many nodes passes on links that span it, never all pairs. A covering
-radius of ACCEPT costs 279 rows a node and leaves 13 to 16 bits to tell buckets apart, so these grow with the documents.
+most radius positions, some v is orthogonal to all of these positions' vectors, so both blocks agree under its mask:
+they surely collide. Two fingerprints that differ in at most reach = n_blocks * (radius + 1) - 1 bits have such a block.
+Those that collide are compared in full and linked if they differ in at most reach bits, so the accepted radius is the
+guaranteed one: no pair is missed, none is found by chance. A group is a connected component.
+
+At scale: equal fingerprints are one node, so thousands of copies cost no more than one document. A node has 150 rows in
+the tables (masked block, node, fingerprint), whatever the corpus; a task links the nodes of its buckets and passes on
+a spanning forest of these links, so that a group of n near-copies leaves n - 1 of them and never all pairs. A bucket is
+told apart by about half of block_bits bits. Comparisons in buckets grow with the square of the nodes over 2**that, so a
+corpus of more than some ten million nodes wants wider blocks, that is a longer fingerprint: see Cover.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,22 +28,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, fresh, mix, row_key, slices, table, text_bytes, word_hashes, words, written
+from .common import ROW_KEY, components, fresh, mix, row_key, slices, table, text_bytes, word_hashes, words, written
+
+
+@dataclass(frozen=True)
+class Cover:
+    """The shape of fingerprints and tables.
+
+    The default links what differs in up to 39 of 250 bits. For larger corpora raise block_bits, and the radius by the
+    same share (e.g. 10, 50, 7 for 79 of 500 bits): buckets are told apart by twice the bits, for 17 times the rows.
+    """
+
+    n_blocks: int = 10
+    block_bits: int = 25
+    radius: int = 3
 
-LANES = 4
-BITS = 64 * LANES
-N_BLOCKS, BLOCK_BITS, RADIUS = 9, 28, 4
-GUARANTEED = N_BLOCKS * (RADIUS + 1) - 1
-ACCEPT = 42
+    @property
+    def reach(self) -> int:
+        return self.n_blocks * (self.radius + 1) - 1
+
+    @property
+    def lanes(self) -> int:
+        return -(-self.n_blocks * self.block_bits // 64)
+
+    @property
+    def columns(self) -> list[str]:
+        """The words of a fingerprint."""
+        return [f"f{i}" for i in range(self.lanes)]
+
+    @cached_property
+    def masks(self) -> np.ndarray:
+        """The masks of a block: a row of bits for each table."""
+        v = np.arange(1, 1 << (self.radius + 1))
+        vectors = np.random.default_rng(4).permutation(np.resize(v, self.block_bits))
+        return np.bitwise_count(v[:, None] & vectors[None, :]) & 1 == 1
+
+
+COVER = Cover()
+ACCEPT = COVER.reach
 SHORT = 8
 #: Buckets up to this size are compared side by side, larger ones by chains.
 SIDE_BY_SIDE = 256
+#: A task's links are cut to a spanning forest whenever there are so many.
+HELD = 1 << 21
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
-_SALT = mix(np.arange(1, LANES + 1, dtype=np.uint64))
+_SALT = mix(np.arange(1, 65, dtype=np.uint64))
 
 
-def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The fingerprints as rows of LANES words, and which texts have one (those that aren't blank).
+def fingerprints(texts: pa.Array, cover: Cover = COVER) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprints as rows of 64-bit words, and which texts have one (those that aren't blank).
 
     Texts of fewer than SHORT words are hashed as a whole, so only those with the same words in the same order match.
     """
@@ -77,7 +113,7 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     h, doc, size = h[new], doc[new], size[new]
     weight = np.select([size <= 3, size <= 4, size <= 6], [1, 2, 5], 8).astype(np.uint64)
-    out = np.zeros((n, LANES), np.uint64)
+    out = np.zeros((n, cover.lanes), np.uint64)
     if not len(h):
         return out, has
     # eight one-byte counters in a word: 31 weights of at most 8 fit into each
@@ -86,43 +122,41 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     part = np.flatnonzero(rank % 31 == 0)
     part_first = np.flatnonzero(np.concatenate(([True], doc[part][1:] != doc[part][:-1])))
     total = np.add.reduceat(weight.astype(np.int32), first)
-    bits = np.empty((len(first), BITS), bool)
-    for lane in range(LANES):
+    bits = np.empty((len(first), cover.lanes * 64), bool)
+    for lane in range(cover.lanes):
         b = mix(h ^ _SALT[lane]).view(np.uint8).reshape(-1, 8)
         for byte in range(8):
             sums = np.add.reduceat(_SPREAD[b[:, byte]] * weight, part).view(np.uint8).reshape(-1, 8).astype(np.int32)
             sums = np.add.reduceat(sums, part_first, axis=0)
             at = lane * 64 + byte * 8
             bits[:, at : at + 8] = 2 * sums > total[:, None]
+    bits[:, cover.n_blocks * cover.block_bits :] = False
     out[doc[first]] = np.packbits(bits, axis=1).view(np.uint64)
     return out, has
 
 
-def masks(block_bits: int = BLOCK_BITS, radius: int = RADIUS, seed: int = 4) -> np.ndarray:
-    """The masks of a block: a row of bits for each table."""
-    v = np.arange(1, 1 << (radius + 1))
-    vectors = np.random.default_rng(seed).permutation(np.resize(v, block_bits))
-    return np.bitwise_count(v[:, None] & vectors[None, :]) & 1 == 1
-
-
-def keys(prints: np.ndarray, n_blocks: int = N_BLOCKS, block_bits: int = BLOCK_BITS, radius: int = RADIUS) -> np.ndarray:
+def keys(prints: np.ndarray, cover: Cover = COVER) -> np.ndarray:
     """The bucket of each fingerprint in each table: the table's number and the masked block."""
     bits = np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1)
-    table_masks = masks(block_bits, radius)
-    unit = np.uint64(1) << np.arange(block_bits, dtype=np.uint64)
-    rows = (table_masks * unit).sum(axis=1, dtype=np.uint64)
-    out = np.empty((len(prints), n_blocks * len(rows)), np.uint64)
-    for b in range(n_blocks):
-        block = (bits[:, b * block_bits : (b + 1) * block_bits] * unit).sum(axis=1, dtype=np.uint64)
+    wide = cover.block_bits
+    unit = np.uint64(1) << np.arange(wide, dtype=np.uint64)
+    rows = (cover.masks * unit).sum(axis=1, dtype=np.uint64)
+    out = np.empty((len(prints), cover.n_blocks * len(rows)), np.uint64)
+    for b in range(cover.n_blocks):
+        block = (bits[:, b * wide : (b + 1) * wide] * unit).sum(axis=1, dtype=np.uint64)
         for t, m in enumerate(rows):
             j = b * len(rows) + t
             key = block & m
-            out[:, j] = key | np.uint64(j) << np.uint64(block_bits) if block_bits <= 54 else mix(key) ^ mix(np.full(1, j, np.uint64))
+            out[:, j] = key | np.uint64(j) << np.uint64(wide) if wide <= 50 else mix(key) ^ mix(np.full(1, j, np.uint64))
     return out
 
 
-def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits fingerprints differ; their words lie along the first axis."""
+    out = np.bitwise_count(a[0] ^ b[0]).astype(np.uint16)
+    for x, y in zip(a[1:], b[1:], strict=True):
+        out += np.bitwise_count(x ^ y)
+    return out
 
 
 def by_key(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[pa.RecordBatch]:
@@ -143,90 +177,145 @@ def by_key(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[p
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def spanning(nodes: np.ndarray, prints: np.ndarray, accept: int) -> Iterator[tuple[int, int]]:
-    """Links that join all nodes of a bucket that chains of pairs within accept join."""
-    rest = np.arange(len(nodes))
-    while len(rest):
-        front, rest = [rest[0]], rest[1:]
-        while front and len(rest):
-            at = front.pop()
-            near = _distance(prints[rest], prints[at]) <= accept
-            for x in rest[near]:
-                yield int(nodes[at]), int(nodes[x])
-            front.extend(rest[near])
-            rest = rest[~near]
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (least, other) that join what the links (a, b) join, one for each node but the least of each component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    low = np.arange(len(nodes))
+    while True:
+        least = np.minimum(low[x], low[y])
+        new = low.copy()
+        np.minimum.at(new, x, least)
+        np.minimum.at(new, y, least)
+        np.minimum.at(new, low[x], least)
+        np.minimum.at(new, low[y], least)
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    on = np.flatnonzero(low != np.arange(len(low)))
+    return nodes[low[on]], nodes[on]
+
+
+def spanning(prints: np.ndarray, accept: int, at_once: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Links between fingerprints (along the second axis) that join what chains of pairs within accept join.
+
+    A few at a time are compared with those not reached yet, then those reached from them: n near-copies take n
+    comparisons times at_once. Only what is far apart is compared with all.
+    """
+    n = prints.shape[1]
+    group, state = np.arange(n), np.zeros(n, np.int8)  # 0: not reached, 1: reached, 2: compared
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while True:
+        rest, front = np.flatnonzero(state == 0), np.flatnonzero(state == 1)
+        some = (front if len(front) else rest)[:at_once]
+        if not len(some):
+            return np.concatenate(left), np.concatenate(right)
+        state[some] = 2
+        if not len(front):
+            others = rest
+        elif len(np.unique(group[front])) > 1:  # what was reached from different ones may meet
+            others = np.concatenate([rest, front])
+        else:
+            others = rest
+        i, j = np.nonzero(distance(prints[:, some, None], prints[:, None, others]) <= accept)
+        i, j = some[i], others[j]
+        i, j = i[i != j], j[i != j]
+        left.append(i)
+        right.append(j)
+        state[j[state[j] == 0]] = 1
+        low, other = forest(group[i], group[j])
+        if len(other):
+            to = np.arange(n)
+            to[other] = low
+            group = to[group]
+
+
+def _links(cover: Cover, accept: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.zeros(0, np.int64),) * 2]
 
+        def cut() -> None:
+            held[:] = [forest(*(np.concatenate(x) for x in zip(*held, strict=True)))]
 
-def _links(accept: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_key(batches):
             key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            prints = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, LANES)
+            prints = np.stack([batch.column(2 + i).to_numpy().view(np.uint64) for i in range(cover.lanes)])
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             size = np.diff(np.append(first, len(key)))
             end = np.repeat(np.where(size <= SIDE_BY_SIDE, first + size, 0), size)
-            a, b = [], []
             at, step = np.flatnonzero(end > np.arange(len(key)) + 1), 1
             while len(at):
-                near = at[_distance(prints[at], prints[at + step]) <= accept]
-                a.append(node[near])
-                b.append(node[near + step])
+                near = at[distance(prints[:, at], prints[:, at + step]) <= accept]
+                held.append((node[near], node[near + step]))
                 step += 1
                 at = at[at + step < end[at]]
             for f, s in zip(first[size > SIDE_BY_SIDE], size[size > SIDE_BY_SIDE], strict=True):
-                if found := list(spanning(node[f : f + s], prints[f : f + s], accept)):
-                    x, y = zip(*found, strict=True)
-                    a.append(np.array(x, np.int64))
-                    b.append(np.array(y, np.int64))
-            if not a:
-                continue
-            pairs = np.unique(np.stack([np.minimum(np.concatenate(a), np.concatenate(b)), np.maximum(np.concatenate(a), np.concatenate(b))]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+                i, j = spanning(prints[:, f : f + s], accept)
+                held.append(forest(node[f + i], node[f + j]))
+            cut()
+            if len(held[0][0]) > HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["a", "b"])
+                held[:] = [(np.zeros(0, np.int64),) * 2]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["a", "b"])
 
     return run
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch):
-            prints, has = fingerprints(part.column("text"))
-            part, raw = part.filter(pa.array(has)), prints[has].tobytes()
-            fp = pa.array([raw[i : i + BITS // 8] for i in range(0, len(raw), BITS // 8)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k"), fp], names=["doc_id", "k", "fp"])
+def _sketch(cover: Cover):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                prints, has = fingerprints(part.column("text"), cover)
+                part, prints = part.filter(pa.array(has)), prints[has].view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k"), *(pa.array(prints[:, i]) for i in range(cover.lanes))], names=["doc_id", "k", *cover.columns])
+
+    return run
 
 
-def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
-            k = keys(np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint64).reshape(-1, LANES))
-            at = pa.array(np.repeat(np.arange(part.num_rows), k.shape[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(k.ravel().view(np.int64)), part.column("node").take(at), part.column("fp").take(at)], names=["key", "node", "fp"])
+def _tables(cover: Cover):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 2000):
+                part = batch.slice(first, 2000)
+                prints = np.stack([part.column(c).to_numpy() for c in cover.columns], axis=1)
+                k = keys(prints.view(np.uint64), cover)
+                at = np.repeat(np.arange(part.num_rows), k.shape[1])
+                columns = [k.ravel().view(np.int64), part.column("node").to_numpy()[at], *prints[at].T]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["key", "node", *cover.columns])
+
+    return run
+
+
+def _typed(*names: str) -> str:
+    return ", ".join(f"{x} bigint" for x in names)
 
 
-def duplicates(docs: DataFrame, accept: int = ACCEPT) -> tuple[DataFrame, DataFrame]:
+def duplicates(docs: DataFrame, cover: Cover = COVER) -> tuple[DataFrame, DataFrame]:
     """(doc_id, k, kept_id, kept_k) of every document that goes, and (k, copies) of those whose rows repeat."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", row_key().alias("k"))
-    prints = written(rows.mapInArrow(_sketch, "doc_id bigint, k bigint, fp binary"), "simhash")
-    nodes = written(prints.groupBy("fp").agg(F.min("k").alias("node")), "simhash-nodes")
-    met = nodes.mapInArrow(_tables, "key bigint, node bigint, fp binary").repartition("key").sortWithinPartitions("key")
-    edges = written(met.mapInArrow(_links(accept), "a bigint, b bigint").distinct(), "simhash-edges")
+    prints = written(rows.mapInArrow(_sketch(cover), f"doc_id bigint, k {ROW_KEY}, {_typed(*cover.columns)}"), "simhash")
+    # numbers that the written table fixes: two nodes never have the same
+    nodes = written(prints.groupBy(*cover.columns).agg(F.count("*").alias("n")).select(F.monotonically_increasing_id().alias("node"), *cover.columns), "simhash-nodes")
+    met = nodes.mapInArrow(_tables(cover), _typed("key", "node", *cover.columns)).repartition("key").sortWithinPartitions("key")
+    edges = written(met.mapInArrow(_links(cover, cover.reach), "a bigint, b bigint").distinct(), "simhash-edges")
     roots = components(edges, "simhash-components")
-    member = prints.join(nodes, "fp").join(roots, "node", "left").select("doc_id", "k", F.coalesce("root", "node").alias("root"))
+    member = prints.join(nodes, cover.columns).join(roots, "node", "left").select("doc_id", "k", F.coalesce("root", "node").alias("root"))
     one = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("k").alias("key"))
     groups = member.groupBy("root").agg(F.min(one).alias("kept"), F.count("*").alias("n")).filter("n > 1")
     gone = member.join(groups, "root").filter(F.col("k") != F.col("kept.key")).select("doc_id", "k", F.col("kept.id").alias("kept_id"), F.col("kept.key").alias("kept_k"))
     return written(gone, "simhash-gone"), prints.groupBy("k").agg(F.count("*").alias("copies")).filter("copies > 1")
 
 
-def near_dedup(docs: DataFrame, accept: int = ACCEPT) -> DataFrame:
+def near_dedup(docs: DataFrame, cover: Cover = COVER) -> DataFrame:
     """docs without near-copies: of each group the document of least id (then key) stays, in one row.
 
     Null cases: rows with null or blank texts are never copies and stay; a null id is larger than any other; of rows
     equal in id and text one stays, the one whose other columns hash lowest; an empty table gives an empty one. Texts
-    without words are copies only if their characters agree. Other columns pass through, whatever their names.
+    without words are copies only if their characters agree. Texts are read whole, however long; ties of id are decided
+    by a hash of id and text. Other columns pass through, whatever their names.
     """
-    gone, repeated = duplicates(docs, accept)
+    gone, repeated = duplicates(docs, cover)
     k, h, rn = fresh(docs, "k", "h", "rn")
     out = docs.withColumn(k, row_key()).join(gone.select(F.col("k").alias(k)).distinct().hint("shuffle_hash"), k, "left_anti")
     repeated = written(repeated.select(F.col("k").alias(k)), "simhash-repeated")
