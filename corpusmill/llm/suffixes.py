@@ -9,9 +9,10 @@ word, so a comparison takes the logarithm of the length. Neighbours in the suffi
 grouped by the hash of the words before the anchor, are the occurrences of a passage; what is claimed to be equal is
 compared byte by byte before it is reported.
 
-At scale: the first shuffle holds a few anchors per hundred words, texts are joined once with the anchors that repeat,
-and the second shuffle holds only the surroundings of these; equal surroundings within a document travel once. A group
-of equal anchors must fit into one Python worker.
+At scale: equal texts are one text; of a group of copies, however many, the first alone is searched, and the others are
+reported by a join. Texts are shuffled once, by document, for both joins that need them. The shuffle by anchor holds a
+few of them per hundred words, the one behind it only the surroundings of those that repeat; equal surroundings within a
+document travel once. Passages that many different texts hold, anchored in as many surroundings, meet in one Python worker.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Prefix, row_key, slices, table, text_bytes, word_hashes, words
+from .common import ROW_KEY, Prefix, row_key, slices, table, text_bytes, word_hashes, words, written
 from .simhash import by_key
 
 MIN_WORDS, K = 50, 16
@@ -77,13 +78,30 @@ def _anchor_rows(min_words: int, k: int):
                 long = np.flatnonzero(last - first >= min_words)
                 at, key = anchors(word_hashes(buf, begin, end), first[long], last[long], min_words, k)
                 doc = long[np.searchsorted(first[long], at, "right") - 1]
-                rk = part.column("k").to_numpy()[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rk, pa.int64()), pa.array((at - first[doc]).astype(np.int32))], names=["anchor", "k", "at"])
+                rk = part.column("k").take(pa.array(doc))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), rk, pa.array((at - first[doc]).astype(np.int32))], names=["anchor", "k", "at"])
 
     return run
 
 
-_AROUND = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("k", pa.int64()), ("before", pa.int32()), ("text", pa.string()), ("at", pa.list_(pa.int32())), ("char", pa.list_(pa.int64()))])
+def _extents(min_words: int):
+    """Of each text of min_words words or more: how many they are, the first character of the first and the end of the last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                buf, starts, begin, end, first, last = _texts(part)
+                chars = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))
+                at = np.flatnonzero(last - first >= min_words)
+                zero = chars[starts[at]]
+                columns = (last[at] - first[at], chars[begin[first[at]]] - zero, chars[end[last[at] - 1]] - zero)
+                yield pa.RecordBatch.from_arrays([part.column("k").take(pa.array(at)), *map(pa.array, columns)], names=["k", "n_words", "start_char", "end_char"])
+
+    return run
+
+
+_KEY = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+_AROUND = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("k", _KEY), ("before", pa.int32()), ("text", pa.string()), ("at", pa.list_(pa.int32())), ("char", pa.list_(pa.int64()))])
 
 
 def _surroundings(min_words: int, k: int):
@@ -216,10 +234,10 @@ def repeats(batch: pa.RecordBatch, min_words: int, k: int) -> dict[str, np.ndarr
 
     ids = batch.column("doc_id")
     none = np.asarray(ids.is_null())
-    ids, ks = ids.fill_null(0).to_numpy(), batch.column("k").to_numpy()
-    by = np.lexsort((ks, ids, none))
+    ids, ks = ids.fill_null(0).to_numpy(), [x.to_numpy() for x in batch.column("k").flatten()]
+    by = np.lexsort((ks[1], ks[0], ids, none))
     new = np.ones(len(by), bool)
-    new[1:] = (ids[by][1:] != ids[by][:-1]) | (ks[by][1:] != ks[by][:-1]) | (none[by][1:] != none[by][:-1])
+    new[1:] = (ids[by][1:] != ids[by][:-1]) | (ks[0][by][1:] != ks[0][by][:-1]) | (ks[1][by][1:] != ks[1][by][:-1]) | (none[by][1:] != none[by][:-1])
     rank = np.empty(len(by), np.int64)
     rank[by] = np.cumsum(new)
     count = np.diff(batch.column("at").offsets.to_numpy())
@@ -289,16 +307,28 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K) -
     document, at least min_words words before, so a passage doesn't repeat itself by overlapping. The first occurrence
     of a passage is no repeat. Stretches that touch or overlap are one.
     Null cases: null and empty texts, and those of fewer than min_words words, repeat nothing; null ids are reported as
-    null; rows equal in id and text are one document; an empty table gives an empty one. Other columns are not read.
+    null; rows equal in id and text are one document; ties of id are ordered by a hash of id and text; texts are read
+    whole, however long; an empty table gives an empty one. Other columns are not read.
     """
     if not 1 <= k <= min_words:
         raise ValueError("k must lie between 1 and min_words")
     rows = docs.filter("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", row_key().alias("k"))
-    found = rows.select("k", "text").mapInArrow(_anchor_rows(min_words, k), "anchor bigint, k bigint, at int")
+    # of equal texts the first, and how many documents have them
+    same = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit("other"), "text").alias("b"))
+    who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")
+    member = written(rows.select(same.alias("same"), who.alias("who")).distinct(), "suffix-texts")
+    first = written(member.groupBy("same").agg(F.min("who").alias("first"), F.count("*").alias("n")), "suffix-first")
+    only = first.select(F.col("first.k").alias("k"), "n")
+
+    def of(some: DataFrame) -> DataFrame:
+        """The texts of some, by shuffled keys: the same exchange of texts each time."""
+        return rows.join(some.hint("shuffle_hash"), "k", "left_semi").select("doc_id", "text", "k")
+
+    found = of(only.select("k")).mapInArrow(_anchor_rows(min_words, k), f"anchor bigint, k {ROW_KEY}, at int")
     found = found.withColumn("n", F.count("*").over(W.partitionBy("anchor"))).filter("n > 1")
     found = found.groupBy("k").agg(F.array_distinct(F.collect_list(F.struct("anchor", "at"))).alias("found"))
-    around = rows.join(found, "k").select("doc_id", "k", "text", "found").mapInArrow(_surroundings(min_words, k), "anchor bigint, doc_id bigint, k bigint, before int, text string, at array<int>, char array<bigint>")
-    parts = around.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_intervals(min_words, k), "doc_id bigint, k bigint, start_word bigint, end_word bigint, start_char bigint, end_char bigint, first_doc_id bigint, first_word bigint")
+    around = rows.join(found.hint("shuffle_hash"), "k").select("doc_id", "k", "text", "found").mapInArrow(_surroundings(min_words, k), f"anchor bigint, doc_id bigint, k {ROW_KEY}, before int, text string, at array<int>, char array<bigint>")
+    parts = around.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_intervals(min_words, k), f"doc_id bigint, k {ROW_KEY}, start_word bigint, end_word bigint, start_char bigint, end_char bigint, first_doc_id bigint, first_word bigint")
     order = W.partitionBy("k", "doc_id").orderBy("start_word", "end_word")
     reach = F.max("end_word").over(order.rowsBetween(W.unboundedPreceding, -1))
     parts = parts.withColumn("new", F.when(reach >= F.col("start_word"), 0).otherwise(1))
@@ -306,7 +336,17 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K) -
     out = parts.groupBy("k", "doc_id", "stretch").agg(
         F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char"),
         F.min(F.struct("start_word", F.col("first_doc_id").isNull().alias("none"), "first_doc_id", "first_word")).alias("first"))
-    return out.select("doc_id", "start_word", "end_word", "start_char", "end_char", F.col("first.first_doc_id"), F.col("first.first_word"))
+    names = ["doc_id", "start_word", "end_word", "start_char", "end_char"]
+    out = written(out.select("k", *names, F.col("first.first_doc_id").alias("first_doc_id"), F.col("first.first_word").alias("first_word")), "suffix-stretches")
+    # a later copy is one stretch, and its first passage comes first where that of the first copy does
+    extents = of(only.filter("n > 1").select("k")).mapInArrow(_extents(min_words), f"k {ROW_KEY}, n_words bigint, start_char bigint, end_char bigint")
+    begun = out.filter("start_word = 0").select("k", "first_doc_id", "first_word", F.lit(True).alias("begun"))
+    known = extents.join(begun, "k", "left").withColumnRenamed("k", "known")
+    later = member.join(first.filter("n > 1"), "same").filter("who.k <> first.k").join(known, F.col("first.k") == F.col("known"))
+    copies = later.select(
+        "who.doc_id", F.lit(0).cast("bigint").alias("start_word"), F.col("n_words").alias("end_word"), "start_char", "end_char",
+        F.when(F.col("begun"), F.col("first_doc_id")).otherwise(F.col("first.doc_id")).alias("first_doc_id"), F.coalesce("first_word", F.lit(0)).alias("first_word"))
+    return out.drop("k").unionByName(copies)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,9 +355,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 with parts as (select doc_id, regexp_extract_all(text, '\s*\S+') as p, regexp_extract_all(text, '\S+') as w from documents),
-wins as (select doc_id, unnest(range(0, len(w) - 49)) as i, w from parts where len(w) >= 50),
-keyed as (select doc_id, i, array_to_string(w[i + 1 : i + 50], ' ') as t from wins),
-f as (select doc_id, i, min((doc_id, i)) over (partition by t) as first from keyed),
+h1 as (select doc_id, unnest(range(0, len(w))) as i, unnest(w) as w, len(w) as n from parts where len(w) >= 50),
+h2 as (select doc_id, i, n, hash(w) as a, hash(w, lead(w) over o) as b from h1 window o as (partition by doc_id order by i)),
+h4 as (select *, hash(b, lead(b, 2) over o) as c from h2 window o as (partition by doc_id order by i)),
+h8 as (select *, hash(c, lead(c, 4) over o) as d from h4 window o as (partition by doc_id order by i)),
+h16 as (select *, hash(d, lead(d, 8) over o) as e from h8 window o as (partition by doc_id order by i)),
+h32 as (select *, hash(e, lead(e, 16) over o) as g from h16 window o as (partition by doc_id order by i)),
+keyed as (select doc_id, i, n, hash(g, lead(e, 32) over o, lead(b, 48) over o) as t from h32 window o as (partition by doc_id order by i)),
+f as (select doc_id, i, min((doc_id, i)) over (partition by t) as first from keyed where i <= n - 50),
 rep as (select doc_id, i, first from f where doc_id <> first[1] or i - first[2] >= 50),
 cut as (select *, case when lag(i) over (partition by doc_id order by i) + 50 >= i then 0 else 1 end as new from rep),
 str as (select *, sum(new) over (partition by doc_id order by i rows unbounded preceding) as s from cut),
