@@ -14,13 +14,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import row_key, slices, table, text_bytes, word_hashes, words, written
+from .common import slices, table, text_bytes, tie_key, word_hashes, words, written
 
 DIMS, BUCKETS, BITS, REGION = 3, 512, 20, 1024
 
@@ -102,8 +101,9 @@ def pack(docs: DataFrame, capacity: int = 2048, open_packs: int = 16) -> DataFra
     Tokens are runs of non-space characters; a document that fits into a pack is never cut, and a longer one fills packs
     of its own before its rest is packed like a document. A pack never holds more than its capacity.
     Null cases: rows without tokens (null or blank texts) are in no pack; null ids are packed and come out as null;
-    repeated rows are each packed; ties on the curve are in order of id and a hash of id and text. An empty table
-    gives an empty one; columns other than doc_id and text are not read.
+    ids of any size come out as they are; repeated rows are each packed; ties on the curve are in order of id and a hash
+    of id and text; texts are read whole, however long. An empty table gives an empty one; columns other than doc_id and
+    text are not read.
     """
     axes = projection()
 
@@ -113,7 +113,7 @@ def pack(docs: DataFrame, capacity: int = 2048, open_packs: int = 16) -> DataFra
                 n, h = places(part.column("text"), axes)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k"), pa.array(n, pa.int64()), pa.array(h, pa.int64())], names=["doc_id", "k", "n", "h"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", row_key().alias("k")).mapInArrow(sketch, "doc_id bigint, k bigint, n bigint, h bigint").filter("n > 0")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", tie_key().alias("k")).mapInArrow(sketch, "doc_id bigint, k bigint, n bigint, h bigint").filter("n > 0")
     # the table fixes each row's range partition for both uses
     ranged = written(rows.repartitionByRange("h", "doc_id", "k").withColumn("pid", F.spark_partition_id()), "curve")
     sums = ranged.groupBy("pid").agg(F.sum("n").alias("n"))
@@ -122,16 +122,19 @@ def pack(docs: DataFrame, capacity: int = 2048, open_packs: int = 16) -> DataFra
     placed = ranged.withColumn("run", run).join(offsets, F.col("pid") == F.col("p")).select("doc_id", "k", "n", "h", (F.col("offset") + F.col("run")).alias("at"))
     placed = placed.withColumn("region", F.floor(F.col("at") / (REGION * capacity)))
 
-    def packs(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at", ignore_index=True)
-        out = pd.DataFrame(fill(pdf["n"].to_numpy(), capacity, open_packs), columns=["i", "pack", "start_token", "end_token"])
-        out["slot"] = out.groupby("pack").cumcount()
-        out["doc_id"] = pdf["doc_id"].astype("Int64").take(out["i"]).to_numpy()
-        out["pack_id"] = (int(pdf["region"].iloc[0]) << 24) + out["pack"]
-        out["n_tokens"] = out["end_token"] - out["start_token"]
-        return out[["pack_id", "slot", "doc_id", "start_token", "end_token", "n_tokens"]]
+    names = ["pack_id", "slot", "doc_id", "start_token", "end_token", "n_tokens"]
 
-    return placed.groupBy("region").applyInPandas(packs, "pack_id bigint, slot bigint, doc_id bigint, start_token bigint, end_token bigint, n_tokens bigint")
+    def packs(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("at").combine_chunks()
+        i, no, start, end = np.array(list(fill(rows.column("n").to_numpy(), capacity, open_packs)), np.int64).reshape(-1, 4).T
+        by = np.argsort(no, kind="stable")
+        first = np.concatenate(([True], no[by][1:] != no[by][:-1]))
+        slot = np.empty(len(no), np.int64)
+        slot[by] = np.arange(len(no)) - np.repeat(np.flatnonzero(first), np.diff(np.append(np.flatnonzero(first), len(no))))
+        region = rows.column("region")[0].as_py()
+        return pa.table([pa.array((region << 24) + no), pa.array(slot), rows.column("doc_id").take(pa.array(i)), pa.array(start), pa.array(end), pa.array(end - start)], names=names)
+
+    return placed.groupBy("region").applyInArrow(packs, ", ".join(f"{x} bigint" for x in names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
