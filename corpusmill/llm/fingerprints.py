@@ -6,20 +6,22 @@ between documents that differ in a few terms.
 
 At scale: terms are counted over all documents, summed within partitions first. The band bounds the lexicon however
 many documents there are (a document has so many terms, and a kept term is in at least the share exp(-idf_high) of
-them), and it is broadcast only if its counted size is within max_broadcast_terms; else terms are joined with it.
+them), and it is broadcast only if its counted size is within max_broadcast_terms; else terms are joined with it. Both
+ways take terms and make prints by the same functions, so they differ in what is shuffled, not in a result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, slices, table, written
+from .common import ROW_KEY, row_key, slices, table, written
 
 STRIP = ".,;:!?\"'()[]{}|*#$%&<>-"
 SUBSETS, MIN_TERMS = 8, 4
@@ -50,6 +52,15 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The terms of each row."""
+    for batch in batches:
+        for part in slices(batch):
+            found = [sorted(terms(x)) for x in part.column("text").to_pylist()]
+            of = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([part.column("k").take(pa.array(of)), pa.array([t for x in found for t in x], pa.string())], names=["k", "term"])
+
+
 def member(term: str, seed: int) -> int:
     """A bit for each part of the lexicon that holds the term: those whose hex digit of its hash is 0 or 1, one in eight."""
     digits = hashlib.md5(f"{seed}:{term}".encode()).hexdigest()
@@ -64,13 +75,27 @@ def prints(found: list[tuple[str, int]]) -> tuple[int, list[str | None]]:
     return len(found), hashed
 
 
+def _columns(rows: list[tuple[int, list[str | None]]]) -> list[pa.Array]:
+    return [pa.array([n for n, _ in rows], pa.int64()), *(pa.array([h[j] for _, h in rows], pa.string()) for j in range(SUBSETS + 1))]
+
+
+def _prints(names: list[str], seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [prints(sorted((t, member(t, seed)) for t in found)) for found in batch.column("terms").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), *_columns(rows)], names=["k", "n_terms", *names])
+
+    return run
+
+
 def imatch(docs: DataFrame, idf_low: float = 2.0, idf_high: float = 7.0, seed: int = 42, max_broadcast_terms: int = 1_000_000) -> DataFrame:
     """Rows (doc_id, n_terms, fp, fp1 ... fp8), one for each row of docs.
 
     idf is ln(documents with a term / documents that hold this one). fp hashes all terms within the band, fp1 to fp8
     those in a random eighth of the lexicon each; a hash of fewer than four terms is null.
     Null cases: null or blank texts have no term and only null fingerprints, and don't count as documents; null ids stay;
-    repeated rows each have their row and count each; an empty table gives an empty one. Other columns are not read.
+    repeated rows each have their row and count each; terms of equal df are told apart by nothing, so both stay or go;
+    texts are read whole, however long; an empty table gives an empty one. Other columns are not read.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -88,28 +113,15 @@ def imatch(docs: DataFrame, idf_low: float = 2.0, idf_high: float = 7.0, seed: i
             for batch in batches:
                 for part in slices(batch):
                     rows = [prints(sorted((t, lex[t]) for t in terms(x) if t in lex)) for x in part.column("text").to_pylist()]
-                    columns = [pa.array([h[j] for _, h in rows], pa.string()) for j in range(SUBSETS + 1)]
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([c for c, _ in rows], pa.int64()), *columns], names=["doc_id", "n_terms", *names])
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), *_columns(rows)], names=["doc_id", "n_terms", *names])
 
         return docs.mapInArrow(apply, "doc_id bigint, n_terms bigint, " + ", ".join(f"{x} string" for x in names))
 
-    # a lexicon too large to broadcast: the same by joins; equal rows have equal prints
-    keyed = docs.withColumn("k", row_key())
-    low = F.regexp_replace(F.lower("text"), r"[\x09-\x0d\x1c-\x20\x85   -     　]+", " ")
-    stripped = F.array_distinct(F.transform(F.split(low, " "), lambda w: F.btrim(w, F.lit(STRIP))))
-    pairs = keyed.select("k", F.explode(stripped).alias("term")).filter("term <> ''").distinct().join(lexicon, "term")
-    digits = F.md5(F.concat(F.lit(f"{seed}:"), "term"))
-    pairs = pairs.select("k", F.struct("term", digits.alias("d")).alias("t")).groupBy("k").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-
-    def hashed(kept):
-        return F.when(F.size(kept) >= MIN_TERMS, F.md5(F.array_join(F.transform(kept, lambda t: t["term"]), " ")))
-
-    def part(j: int) -> Callable[[Column], Column]:
-        return lambda t: F.substring(t["d"], j + 1, 1).isin("0", "1")
-
-    columns = [hashed(F.col("ts")), *(hashed(F.filter("ts", part(j))) for j in range(SUBSETS))]
-    pairs = pairs.select("k", F.size("ts").cast("bigint").alias("n_terms"), *(c.alias(x) for c, x in zip(columns, names, strict=True)))
-    return keyed.select("doc_id", "k").join(pairs, "k", "left").select("doc_id", F.coalesce("n_terms", F.lit(0).cast("bigint")).alias("n_terms"), *names)
+    # a lexicon too large to broadcast is joined; terms and prints are made by the same functions
+    keyed = docs.select("doc_id", row_key().alias("k"), "text")
+    held = keyed.mapInArrow(_held, f"k {ROW_KEY}, term string").join(lexicon, "term").groupBy("k").agg(F.collect_set("term").alias("terms"))
+    made = held.mapInArrow(_prints(names, seed), f"k {ROW_KEY}, n_terms bigint, " + ", ".join(f"{x} string" for x in names))
+    return keyed.select("doc_id", "k").join(made, "k", "left").select("doc_id", F.coalesce("n_terms", F.lit(0).cast("bigint")).alias("n_terms"), *names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
