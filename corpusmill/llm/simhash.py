@@ -1,18 +1,21 @@
 """Operator 4: SimHash near-duplicates by covering locality-sensitive hashing.
 
 A document's fingerprint has n_blocks blocks of block_bits bits: the signs of sums over its distinct words, long words
-counting more. Each position of a block has a vector of radius + 1 bits, and each of the 2**(radius+1) - 1 vectors v but
-zero is a table whose mask holds the positions whose vector has an odd product with v. Where two blocks differ in at
-most radius positions, some v is orthogonal to all of these positions' vectors, so both blocks agree under its mask:
-they surely collide. Two fingerprints that differ in at most reach = n_blocks * (radius + 1) - 1 bits have such a block.
-Those that collide are compared in full and linked if they differ in at most reach bits, so the accepted radius is the
-guaranteed one: no pair is missed, none is found by chance. A group is a connected component.
-
-At scale: equal fingerprints are one node, so thousands of copies cost no more than one document. A node has 150 rows in
-the tables (masked block, node, fingerprint), whatever the corpus; a task links the nodes of its buckets and passes on
-a spanning forest of these links, so that a group of n near-copies leaves n - 1 of them and never all pairs. A bucket is
-told apart by about half of block_bits bits. Comparisons in buckets grow with the square of the nodes over 2**that, so a
-corpus of more than some ten million nodes wants wider blocks, that is a longer fingerprint: see Cover.
+counting more. A block has radius + 1 parts. Each table's mask holds one part of one block, whole, and some positions of
+the block's rest: each of these has a vector of radius + 1 bits, and each of the 2**(radius+1) - 1 vectors v but zero is
+a table whose mask holds the positions whose vector has an odd product with v. Two fingerprints that differ in at most
+reach = n_blocks * (radius + 1) - 1 bits have a block in which they differ in at most radius positions; one of its parts
+agrees, and some v is orthogonal to all of these positions' vectors, so that both agree under this table's mask: they
+surely collide. What collides is compared in full and linked if it differs in at most reach bits, so the accepted radius
+is the guaranteed one: no pair is missed, none is found by chance. A group is a connected component.
+
+At scale: equal fingerprints are one node, so thousands of copies cost no more than one document. The 15 tables that
+share a part are shuffled as one row, by the part's bits; the rest of the mask is taken in the task. So a node moves 40
+times, not 600, whatever the corpus. Where so many nodes share a part's bits that a task couldn't take them (they are
+counted first, in a table of at most a few thousand rows), their tables are shuffled apart. A task passes on a spanning
+forest of its links, so that a group of n near-copies leaves n - 1 of them and never all pairs. A bucket is told apart
+by about 16 bits. Comparisons in buckets grow with the square of the nodes over 2**16, so a corpus of more than some
+hundred million nodes wants wider blocks, that is a longer fingerprint: see Cover.
 """
 
 from __future__ import annotations
@@ -36,13 +39,17 @@ class Cover:
     """The shape of fingerprints and tables.
 
     The default links what differs in up to 39 of 250 bits. For larger corpora raise block_bits, and the radius by the
-    same share (e.g. 10, 50, 7 for 79 of 500 bits): buckets are told apart by twice the bits, for 17 times the rows.
+    same share (e.g. 10, 50, 7 for 79 of 500 bits): buckets are then told apart by twice the bits, for twice the rows.
     """
 
     n_blocks: int = 10
     block_bits: int = 25
     radius: int = 3
 
+    def __post_init__(self) -> None:
+        if not 0 <= self.radius < self.block_bits <= 50:
+            raise ValueError("a block has more bits than the radius, and 50 at most")
+
     @property
     def reach(self) -> int:
         return self.n_blocks * (self.radius + 1) - 1
@@ -57,11 +64,22 @@ class Cover:
         return [f"f{i}" for i in range(self.lanes)]
 
     @cached_property
-    def masks(self) -> np.ndarray:
-        """The masks of a block: a row of bits for each table."""
+    def parts(self) -> np.ndarray:
+        """The mask of each part of a block, as a word."""
+        cuts = [self.block_bits * i // (self.radius + 1) for i in range(self.radius + 2)]
+        return np.array([(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)], np.uint64)
+
+    @cached_property
+    def rests(self) -> np.ndarray:
+        """For each part (a row) the masks of its tables over the block's rest, as words."""
         v = np.arange(1, 1 << (self.radius + 1))
-        vectors = np.random.default_rng(4).permutation(np.resize(v, self.block_bits))
-        return np.bitwise_count(v[:, None] & vectors[None, :]) & 1 == 1
+        out = np.zeros((len(self.parts), len(v)), np.uint64)
+        for i, part in enumerate(self.parts):
+            rest = [p for p in range(self.block_bits) if not int(part) >> p & 1]
+            vectors = np.random.default_rng(4).permutation(np.resize(v, len(rest)))
+            for p, x in zip(rest, vectors, strict=True):
+                out[i] |= (np.bitwise_count(v & x) & 1).astype(np.uint64) << np.uint64(p)
+        return out
 
 
 COVER = Cover()
@@ -71,6 +89,8 @@ SHORT = 8
 SIDE_BY_SIDE = 256
 #: A task's links are cut to a spanning forest whenever there are so many.
 HELD = 1 << 21
+#: So many nodes that share a part's bits are taken in one task; the tables of more are shuffled apart.
+TOGETHER = 1 << 18
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 _SALT = mix(np.arange(1, 65, dtype=np.uint64))
 
@@ -135,20 +155,26 @@ def fingerprints(texts: pa.Array, cover: Cover = COVER) -> tuple[np.ndarray, np.
     return out, has
 
 
+def blocks(prints: np.ndarray, cover: Cover = COVER) -> np.ndarray:
+    """The blocks of each fingerprint, as words."""
+    bits = np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1)[:, : cover.n_blocks * cover.block_bits]
+    return (bits.reshape(len(prints), cover.n_blocks, -1) * (np.uint64(1) << np.arange(cover.block_bits, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
+
+
+def routes(prints: np.ndarray, cover: Cover = COVER) -> tuple[np.ndarray, np.ndarray]:
+    """Of each fingerprint: its bits in each part with the part's number above them, and the block that holds the part."""
+    of = np.repeat(blocks(prints, cover), len(cover.parts), axis=1)
+    low = np.tile(np.bitwise_count(cover.parts - np.uint64(1) & ~cover.parts).astype(np.uint64), cover.n_blocks)
+    wide = np.uint64(cover.block_bits)
+    return ((of & np.tile(cover.parts, cover.n_blocks)) >> low) | np.arange(of.shape[1], dtype=np.uint64) << wide, of
+
+
 def keys(prints: np.ndarray, cover: Cover = COVER) -> np.ndarray:
-    """The bucket of each fingerprint in each table: the table's number and the masked block."""
-    bits = np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1)
-    wide = cover.block_bits
-    unit = np.uint64(1) << np.arange(wide, dtype=np.uint64)
-    rows = (cover.masks * unit).sum(axis=1, dtype=np.uint64)
-    out = np.empty((len(prints), cover.n_blocks * len(rows)), np.uint64)
-    for b in range(cover.n_blocks):
-        block = (bits[:, b * wide : (b + 1) * wide] * unit).sum(axis=1, dtype=np.uint64)
-        for t, m in enumerate(rows):
-            j = b * len(rows) + t
-            key = block & m
-            out[:, j] = key | np.uint64(j) << np.uint64(wide) if wide <= 50 else mix(key) ^ mix(np.full(1, j, np.uint64))
-    return out
+    """The bucket of each fingerprint in each table: the part's bits, and the table's number with what its mask leaves of the rest."""
+    route, of = routes(prints, cover)
+    part = np.tile(np.arange(len(cover.parts)), cover.n_blocks)
+    out = [mix(route ^ mix((of & cover.rests[part, t]) | np.uint64(t) << np.uint64(cover.block_bits))) for t in range(cover.rests.shape[1])]
+    return np.concatenate(out, axis=1)
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -231,6 +257,26 @@ def spanning(prints: np.ndarray, accept: int, at_once: int = 32) -> tuple[np.nda
             group = to[group]
 
 
+def buckets(key: np.ndarray, node: np.ndarray, prints: np.ndarray, accept: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links within the buckets, in parts. key: sorted; the words of fingerprints lie along the first axis."""
+    out = []
+    if not len(key):
+        return out
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.append(first, len(key)))
+    end = np.repeat(np.where(size <= SIDE_BY_SIDE, first + size, 0), size)
+    at, step = np.flatnonzero(end > np.arange(len(key)) + 1), 1
+    while len(at):
+        near = at[distance(prints[:, at], prints[:, at + step]) <= accept]
+        out.append((node[near], node[near + step]))
+        step += 1
+        at = at[at + step < end[at]]
+    for f, s in zip(first[size > SIDE_BY_SIDE], size[size > SIDE_BY_SIDE], strict=True):
+        i, j = spanning(prints[:, f : f + s], accept)
+        out.append(forest(node[f + i], node[f + j]))
+    return [forest(*(np.concatenate(x) for x in zip(*out, strict=True)))] if out else out
+
+
 def _links(cover: Cover, accept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(np.zeros(0, np.int64),) * 2]
@@ -239,20 +285,17 @@ def _links(cover: Cover, accept: int):
             held[:] = [forest(*(np.concatenate(x) for x in zip(*held, strict=True)))]
 
         for batch in by_key(batches):
-            key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            prints = np.stack([batch.column(2 + i).to_numpy().view(np.uint64) for i in range(cover.lanes)])
-            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            size = np.diff(np.append(first, len(key)))
-            end = np.repeat(np.where(size <= SIDE_BY_SIDE, first + size, 0), size)
-            at, step = np.flatnonzero(end > np.arange(len(key)) + 1), 1
-            while len(at):
-                near = at[distance(prints[:, at], prints[:, at + step]) <= accept]
-                held.append((node[near], node[near + step]))
-                step += 1
-                at = at[at + step < end[at]]
-            for f, s in zip(first[size > SIDE_BY_SIDE], size[size > SIDE_BY_SIDE], strict=True):
-                i, j = spanning(prints[:, f : f + s], accept)
-                held.append(forest(node[f + i], node[f + j]))
+            route, rest, node = (batch.column(i).to_numpy() for i in range(3))
+            prints = np.stack([batch.column(3 + i).to_numpy().view(np.uint64) for i in range(cover.lanes)])
+            here = np.flatnonzero(rest >= 0)  # their tables are taken apart here; the others' were before
+            part = (route[here] >> cover.block_bits) % len(cover.parts)
+            _, group = np.unique(route[here], return_inverse=True)
+            for t in range(cover.rests.shape[1]):
+                key = group.astype(np.uint64) << np.uint64(cover.block_bits) | (rest[here].view(np.uint64) & cover.rests[part, t])
+                order = np.argsort(key, kind="stable")
+                held += buckets(key[order], node[here[order]], prints[:, here[order]], accept)
+            there = np.flatnonzero(rest < 0)
+            held += buckets(route[there], node[there], prints[:, there], accept)
             cut()
             if len(held[0][0]) > HELD:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["a", "b"])
@@ -273,16 +316,43 @@ def _sketch(cover: Cover):
     return run
 
 
-def _tables(cover: Cover):
+def _prints(part: pa.RecordBatch, cover: Cover) -> np.ndarray:
+    return np.stack([part.column(c).to_numpy() for c in cover.columns], axis=1)
+
+
+def _counts(cover: Cover):
+    """How many nodes have a part's bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 20_000):
+                route, n = np.unique(routes(_prints(batch.slice(first, 20_000), cover).view(np.uint64), cover)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), pa.array(n)], names=["route", "n"])
+
+    return run
+
+
+def _tables(cover: Cover, apart: np.ndarray):
+    """Rows (route, rest, node, fingerprint): by the part's bits, with the block; or, for those in apart, by the bucket, with -1."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 2000):
                 part = batch.slice(first, 2000)
-                prints = np.stack([part.column(c).to_numpy() for c in cover.columns], axis=1)
-                k = keys(prints.view(np.uint64), cover)
-                at = np.repeat(np.arange(part.num_rows), k.shape[1])
-                columns = [k.ravel().view(np.int64), part.column("node").to_numpy()[at], *prints[at].T]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["key", "node", *cover.columns])
+                prints = _prints(part, cover)
+                route, rest = (x.ravel() for x in routes(prints.view(np.uint64), cover))
+                at = np.repeat(np.arange(part.num_rows), len(route) // max(1, part.num_rows))
+                hot = np.isin(route, apart)
+                route, rest, rows = route[~hot].view(np.int64), rest[~hot].view(np.int64), at[~hot]
+                if hot.any():  # hashes of buckets lie above all routes
+                    k = keys(prints.view(np.uint64), cover).reshape(part.num_rows, cover.rests.shape[1], -1)
+                    i, j = at[hot], np.flatnonzero(hot) % k.shape[2]
+                    k = (k[i, :, j] | np.uint64(1 << 62)) & np.uint64((1 << 63) - 1)
+                    route = np.concatenate([route, k.ravel().view(np.int64)])
+                    rest = np.concatenate([rest, np.full(k.size, -1)])
+                    rows = np.concatenate([rows, np.repeat(i, k.shape[1])])
+                columns = [route, rest, part.column("node").to_numpy()[rows], *prints[rows].T]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["route", "rest", "node", *cover.columns])
 
     return run
 
@@ -291,13 +361,16 @@ def _typed(*names: str) -> str:
     return ", ".join(f"{x} bigint" for x in names)
 
 
-def duplicates(docs: DataFrame, cover: Cover = COVER) -> tuple[DataFrame, DataFrame]:
+def duplicates(docs: DataFrame, cover: Cover = COVER, together: int = TOGETHER) -> tuple[DataFrame, DataFrame]:
     """(doc_id, k, kept_id, kept_k) of every document that goes, and (k, copies) of those whose rows repeat."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", row_key().alias("k"))
     prints = written(rows.mapInArrow(_sketch(cover), f"doc_id bigint, k {ROW_KEY}, {_typed(*cover.columns)}"), "simhash")
     # numbers that the written table fixes: two nodes never have the same
     nodes = written(prints.groupBy(*cover.columns).agg(F.count("*").alias("n")).select(F.monotonically_increasing_id().alias("node"), *cover.columns), "simhash-nodes")
-    met = nodes.mapInArrow(_tables(cover), _typed("key", "node", *cover.columns)).repartition("key").sortWithinPartitions("key")
+    # at most n_blocks * (radius + 1) * 2**(bits of a part) rows, whatever the corpus
+    apart = nodes.mapInArrow(_counts(cover), _typed("route", "n")).groupBy("route").agg(F.sum("n").alias("n")).filter(F.col("n") > together)
+    apart = np.array([x["route"] for x in apart.select("route").collect()], np.int64).view(np.uint64)
+    met = nodes.mapInArrow(_tables(cover, apart), _typed("route", "rest", "node", *cover.columns)).repartition("route").sortWithinPartitions("route")
     edges = written(met.mapInArrow(_links(cover, cover.reach), "a bigint, b bigint").distinct(), "simhash-edges")
     roots = components(edges, "simhash-components")
     member = prints.join(nodes, cover.columns).join(roots, "node", "left").select("doc_id", "k", F.coalesce("root", "node").alias("root"))
