@@ -174,7 +174,7 @@ def flipped(cover, n, r):
     return (np.packbits(x, axis=1).view(np.uint64) for x in (bits, other))
 
 
-@pytest.mark.parametrize("cover", [simhash.COVER, simhash.Cover(6, 42, 3), simhash.Cover(3, 85, 5), simhash.Cover(10, 50, 7)])
+@pytest.mark.parametrize("cover", [simhash.COVER, simhash.Cover(6, 42, 3), simhash.Cover(5, 50, 4), simhash.Cover(10, 50, 7)])
 def test_every_pair_within_the_radius_collides(cover):
     a, b = flipped(cover, 300 if cover.radius > 5 else 3000, np.random.default_rng(9))
     assert (simhash.distance(a.T, b.T) == cover.reach).all()
@@ -182,10 +182,13 @@ def test_every_pair_within_the_radius_collides(cover):
 
 
 def test_masks_cover_every_set_of_positions():
-    masks = simhash.Cover(1, 12, 3).masks
+    cover = simhash.Cover(1, 12, 3)
+    assert sum(int(x) for x in cover.parts) == (1 << 12) - 1
     for size in range(4):
         for at in combinations(range(12), size):
-            assert not masks[:, at].any(axis=1).all()  # some table ignores all of them
+            differ = sum(1 << x for x in at)
+            whole = [i for i, x in enumerate(cover.parts) if not int(x) & differ]
+            assert whole and all(any(not int(x) & differ for x in cover.rests[i]) for i in whole)
 
 
 def joined(links):
@@ -258,6 +261,8 @@ def test_simhash_against_brute_force(spark):
     got = {x["doc_id"] for x in simhash.near_dedup(table_of(spark, texts)).collect()}
     assert got == want
     gone, _ = simhash.duplicates(table_of(spark, texts))
+    apart, _ = simhash.duplicates(table_of(spark, texts), together=3)  # most tables are shuffled apart
+    assert sorted(map(str, gone.collect())) == sorted(map(str, apart.collect()))
     assert all(x["kept_id"] < x["doc_id"] for x in gone.collect())
 
 
