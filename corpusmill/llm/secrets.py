@@ -16,6 +16,7 @@ import json
 import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,43 +26,52 @@ from pyspark.sql import functions as F
 from .common import slices, table
 
 PREFILTER = r"-----BEGIN|eyJ[A-Za-z0-9_-]{8}|[A-Za-z0-9+/_=-]{20}"
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY(?: BLOCK)?)-----(.*?)-----END \1-----", re.S)
+_PEM = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,64}KEY(?: BLOCK)?)-----")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 _ACCESS = re.compile(r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z2-7]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 _HEX = re.compile(r"(?:[0-9a-f]{2}){16,}|(?:[0-9A-F]{2}){16,}")
 _NAMED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|passphrase|credential|api[_ -]?key|access[_ -]?key|private[_ -]?key|signing[_ -]?key|auth)[a-z_-]*[\"']?\s*(?:=|:|=>|:=)\s*[\"']?$")
+#: Bytes of the largest number of an RSA key, 131,072 bits: larger ones aren't multiplied.
+LARGEST = 1 << 14
 _KEY_BYTES = (16, 20, 24, 32, 48, 64)
 _B62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
-def der(data: bytes, at: int = 0, end: int | None = None) -> list[tuple[int, bytes, list]] | None:
-    """The (tag, content, children) of DER that fills data[at:end] exactly; None if a length doesn't fit or isn't the shortest form."""
-    end = len(data) if end is None else end
-    out = []
-    while at < end:
-        if at + 2 > end:
-            return None
-        tag, n = data[at], data[at + 1]
-        at += 2
-        if n >= 0x80:
-            size = n & 0x7F
-            if not 1 <= size <= 4 or at + size > end:
-                return None
-            n = int.from_bytes(data[at : at + size], "big")
-            if n < 0x80 or n >> 8 * (size - 1) == 0:
+def der(data: bytes, deepest: int = 32) -> list[tuple[int, bytes, list]] | None:
+    """The (tag, content, children) of DER that fills the data exactly; None if a length doesn't fit or isn't the shortest form.
+
+    No key has structures nested to more than deepest levels: data that does isn't read further and gives None.
+    """
+    out: list[tuple[int, bytes, list]] = []
+    todo = [(0, len(data), out)]
+    while todo:
+        at, end, found = todo.pop()
+        while at < end:
+            if at + 2 > end:
                 return None
-            at += size
-        if at + n > end:
-            return None
-        children: list = []
-        if tag & 0x20:
-            found = der(data, at, at + n)
-            if found is None:
+            tag, n = data[at], data[at + 1]
+            at += 2
+            if n >= 0x80:
+                size = n & 0x7F
+                if not 1 <= size <= 4 or at + size > end:
+                    return None
+                n = int.from_bytes(data[at : at + size], "big")
+                if n < 0x80 or n >> 8 * (size - 1) == 0:
+                    return None
+                at += size
+            if at + n > end:
                 return None
-            children = found
-        out.append((tag, data[at : at + n], children))
-        at += n
+            children: list = []
+            found.append((tag, data[at : at + n], children))
+            if tag & 0x20:
+                if len(todo) >= deepest:
+                    return None
+                # the rest of this level waits until the children are read
+                todo.append((at + n, end, found))
+                at, end, found = at, at + n, children
+                continue
+            at += n
     return out
 
 
@@ -75,6 +85,8 @@ def private_der(data: bytes) -> str | None:
     fields = top[0][2]
     tags = [t for t, _, _ in fields]
     if len(tags) >= 9 and set(tags[:9]) == {2} and fields[0][1] in (b"\0", b"\1"):
+        if max(len(f[1]) for f in fields[:6]) > LARGEST:
+            return None
         n, e, d, p, q = (int.from_bytes(fields[i][1], "big") for i in range(1, 6))
         return "rsa-private-key" if p * q == n and e % 2 and 1 < d < n else None
     if len(tags) == 6 and set(tags) == {2} and fields[0][1] == b"\0":
@@ -119,11 +131,11 @@ def pgp(data: bytes) -> str | None:
     """An OpenPGP private key: packets that fill the data, the first a secret key of version 3 to 6."""
     at, first = 0, None
     while at < len(data):
+        parts: list[bytes] = []
         head = data[at]
         at += 1
         if not head & 0x80 or at >= len(data):
             return None
-        body = b""
         if head & 0x40:  # the newer form, maybe in parts
             tag, more = head & 0x3F, True
             while more:
@@ -141,16 +153,18 @@ def pgp(data: bytes) -> str | None:
                     n, more = 1 << (n & 0x1F), True
                 if at + n > len(data):
                     return None
-                body, at = body + data[at : at + n], at + n
+                parts.append(data[at : at + n])
+                at += n
         else:
             tag, size = head >> 2 & 0xF, 1 << (head & 3)
             n = int.from_bytes(data[at : at + size], "big") if size < 8 else len(data) - at
             at += size if size < 8 else 0
             if at + n > len(data):
                 return None
-            body, at = data[at : at + n], at + n
+            parts.append(data[at : at + n])
+            at += n
         if first is None:
-            first = tag, body
+            first = tag, b"".join(parts)
     return "pgp-private-key" if first and first[0] == 5 and len(first[1]) > 6 and 3 <= first[1][0] <= 6 else None
 
 
@@ -206,24 +220,46 @@ def random_bytes(data: bytes) -> bool:
     return len(set(data)) >= 0.6 * len(data) and len(steps) >= 0.5 * len(data) and not all(32 <= b < 127 for b in data)
 
 
+def blocks(text: str) -> Iterator[tuple[str, int, int, str]]:
+    """(label, start, end, body) of each key block: from a BEGIN to the next END with its label, in time linear in the text."""
+    marks = list(_PEM.finditer(text))
+    ends: dict[str, list[re.Match]] = {}
+    for m in reversed(marks):
+        if m[1] == "END":
+            ends.setdefault(m[2], []).append(m)
+    done = 0
+    for m in marks:
+        if m[1] == "BEGIN" and m.start() >= done:
+            after = ends.get(m[2], [])
+            while after and after[-1].start() < m.end():
+                after.pop()
+            if after:
+                done = after[-1].end()
+                yield m[2], m.start(), done, text[m.end() : after[-1].start()]
+
+
 def scan(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of each secret, in order, in characters."""
     out: list[tuple[str, int, int]] = []
-    taken: list[tuple[int, int]] = []
+    begun: list[int] = []  # of what is reported, in order; no two overlap
+    ended: list[int] = []
 
     def report(kind: str | None, start: int, end: int) -> None:
-        if kind and all(end <= a or b <= start for a, b in taken):
-            taken.append((start, end))
-            out.append((kind, start, end))
-
-    for m in _PEM.finditer(text):
+        if kind:
+            i = bisect_left(begun, start)
+            if (i == 0 or ended[i - 1] <= start) and (i == len(begun) or end <= begun[i]):
+                begun.insert(i, start)
+                ended.insert(i, end)
+                out.append((kind, start, end))
+
+    for label, start, end, body in blocks(text):
         # in JSON and in programs line feeds are written as \\n
-        lines = [x.strip() for x in re.sub(r"(?:\\+[rn])+", "\n", m[2]).replace("\\/", "/").splitlines()]
+        lines = [x.strip() for x in re.sub(r"(?:(?<!\\)\\+[rn])+", "\n", body).replace("\\/", "/").splitlines()]
         sealed = any(x.startswith("Proc-Type:") and "ENCRYPTED" in x for x in lines)
         # the last line of OpenPGP armour is a checksum
         data = un64("".join(x for x in lines if ":" not in x and not re.fullmatch("=[A-Za-z0-9+/]{4}", x)))
-        if data and "PUBLIC" not in m[1]:
-            report("encrypted-private-key" if sealed and len(data) % 8 == 0 else private_der(data) or openssh(data) or pgp(data), m.start(), m.end())
+        if data and "PUBLIC" not in label:
+            report("encrypted-private-key" if sealed and len(data) % 8 == 0 else private_der(data) or openssh(data) or pgp(data), start, end)
     for m in _JWT.finditer(text):
         report(signed_token(*m.groups()), m.start(), m.end())
     for m in _ACCESS.finditer(text):
@@ -248,7 +284,9 @@ def secrets(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, kind, start_char, end_char), one for each secret.
 
     Null cases: null and empty texts hold none; a null id is reported as null; of repeated rows each is reported; an
-    empty table gives an empty one. Whole texts are scanned, whatever their length. Other columns are not read.
+    empty table gives an empty one. Whole texts are scanned, whatever their length, in time that grows with it; of
+    candidates that overlap the first kind in the order above is reported, of one kind the earliest. Nothing in a text
+    makes the scan fail: what is nested too deep or cut short is no secret. Other columns are not read.
     """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
