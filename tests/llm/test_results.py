@@ -6,7 +6,9 @@ import hmac
 import json
 import random
 import re
+import time
 from collections import Counter, defaultdict
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -442,6 +444,40 @@ def test_nested_lengths():
     assert secrets.der(b"\x02\x81\x05aaaaa") is None  # not the shortest form
 
 
+HOSTILE = {
+    "nested": lambda: base64.b64encode(reduce(lambda x, _: tlv(0x30, x), range(3000), b"")).decode(),
+    "nested in a block": lambda: f"-----BEGIN RSA PRIVATE KEY-----\n{base64.b64encode(reduce(lambda x, _: tlv(0x30, x), range(3000), b'')).decode()}\n-----END RSA PRIVATE KEY-----",
+    "blocks that don't end": lambda: "-----BEGIN RSA PRIVATE KEY-----\n" * 32_000,
+    "ends alone": lambda: "-----END RSA PRIVATE KEY-----\n" * 32_000,
+    "a label without end": lambda: "-----BEGIN " + "A" * 10**6,
+    "backslashes": lambda: "-----BEGIN A KEY-----" + "\\" * 10**6 + "-----END A KEY-----",
+    "one run": lambda: "A" * 10**6,
+    "tokens without a dot": lambda: "eyJ" + "a" * 10**6,
+    "half tokens": lambda: "eyJaaaa." * 120_000,
+    "flat": lambda: base64.b64encode(tlv(0x30, tlv(0x30, b"") * 250_000)).decode(),
+    "names": lambda: ("secret" + " " * 60 + "= ") * 15_000,
+    "a great number": lambda: base64.b64encode(tlv(0x30, integer(0) + b"".join(integer((1 << 700_000) + i) for i in range(8)))).decode(),
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_texts_neither_fail_nor_take_long(name):
+    text = HOSTILE[name]()
+    start = time.process_time()
+    assert secrets.scan(text) == []
+    assert time.process_time() - start < 1.5
+
+
+def test_blocks_by_a_pattern():
+    """The linear search for blocks against the pattern that says what they are."""
+    pattern = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY(?: BLOCK)?)-----(.*?)-----END \1-----", re.S)
+    r = random.Random(8)
+    for _ in range(500):
+        marks = [f"-----{r.choice(('BEGIN', 'END'))} {r.choice(('A KEY', 'KEY', 'B KEY BLOCK'))}-----" for _ in range(r.randint(0, 9))]
+        text = "".join(m + r.choice(("", "x", "\n--")) for m in marks)
+        assert [(m[1], m.start(), m.end(), m[2]) for m in pattern.finditer(text)] == list(secrets.blocks(text))
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES)))
 def test_queries(spark, name):
     import duckdb
