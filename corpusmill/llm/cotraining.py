@@ -1,31 +1,46 @@
 """Operator 5: a quality classifier by co-training.
 
 One view is the text (hashed n-grams), the other the page's metadata (source, language, length). Starting from labelled
-rows, in each round either view is fitted and labels the rows of an unlabelled pool that it is sure of for the other.
-Both are then calibrated on labelled rows that no fit saw, and a logistic regression of their log-odds on these combines
-them. Training runs on the driver on bounded samples; every document is scored in Arrow batches.
+rows, in each round both views score every document, and each labels those that it is sure of for the other. These are
+taken evenly from all sources, languages and classes, so that a source that fills the corpus doesn't fill the exchange.
+Both views are then calibrated on labelled rows that no fit saw, and a logistic regression of their log-odds on these
+combines them.
+
+At scale: a round is one pass over the texts without a shuffle of them; each task keeps, of every source, language and
+class, the documents whose keys hash lowest, a number that is summed up over tasks in the same way. What a fit reads on
+the driver is bounded: max_labelled labelled rows, and a_round rows that each round's exchange labels.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, slices, table
-from .ngrams import Sparse, TextModel, fit_dense, fit_sparse, logit, matrix, platt, sigmoid
+from .common import mix, slices, table, tie_key
+from .ngrams import DIMS, Sparse, TextModel, fit_dense, fit_sparse, logit, matrix, platt, sigmoid
 from .quality_rules import halves, labelled
 
-KEEP, SURE, ROUNDS, A_ROUND = 0.5, 0.97, 3, 100
-MAX_LABELLED, MAX_POOL = 3000, 1500
-META_DIMS = 1 << 12
+KEEP, SURE, ROUNDS, A_ROUND = 0.5, 0.97, 3, 600
+MAX_LABELLED = 3000
+META_DIMS = 1 << 16
+#: Of each source, language and class a round takes so many documents at most, and of so many of these in a task.
+SLOTS, MAX_STRATA = 8, 4096
 META = ("source", "lang", "n_chars")
 
 
+def _hash(name: str) -> int:
+    """64 bits of a hash of the whole name."""
+    return int.from_bytes(hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
 def meta_matrix(source: list, lang: list, n_chars: list) -> Sparse:
     """The metadata as features: hashed source, language, their pair, and the power of two of the length. Null is a value."""
     columns = []
@@ -34,8 +49,7 @@ def meta_matrix(source: list, lang: list, n_chars: list) -> Sparse:
         columns += [f"s:{s}", f"l:{g}", f"sl:{s}:{g}", f"n:{size}"]
     seen: dict[str, int] = {}
     codes = np.array([seen.setdefault(c, len(seen)) for c in columns], np.int64)
-    sums = np.array([int.from_bytes(name.encode("utf-8", "surrogatepass")[-64:], "little") % (1 << 61) for name in seen], np.uint64)
-    bucket = (mix(sums) % np.uint64(META_DIMS)).astype(np.int32) if seen else np.zeros(0, np.int32)
+    bucket = np.array([_hash(name) % META_DIMS for name in seen], np.int32)
     return Sparse(np.arange(len(source) + 1) * 4, bucket[codes], np.ones(len(codes), np.float32))
 
 
@@ -60,46 +74,48 @@ class Views:
         return t, m, sigmoid(np.column_stack([logit(t), logit(m)]) @ self.both[:2] + self.both[2])
 
 
-def train(known: pa.Table, pool: pa.Table, rounds: int = ROUNDS, a_round: int = A_ROUND, sure: float = SURE) -> Views | None:
-    """The views; None without labelled rows of both classes in both parts."""
+def _fitted(known: pa.Table, held: np.ndarray, y: np.ndarray, given: dict[str, pa.Table], features: dict, before: Views | None, last: bool) -> Views:
+    """The views fitted on what isn't held and on the rows that each was given, and calibrated on what is."""
+    cal, cal_y = known.filter(pa.array(held)), y[held]
+    models = {}
+    for view, dims, decay in (("text", DIMS, 1e-6), ("meta", META_DIMS, 1e-3)):
+        labels = np.concatenate([y[~held], given[view].column("label").to_numpy()])
+        start = None if before is None else ((before.text.weights, before.text.bias) if view == "text" else (before.meta, before.meta_bias))
+        models[view] = fit_sparse(features[view], labels, dims, 60 if start is None or last else 30, decay=decay, start=start)
+    out = Views(TextModel(models["text"][0].astype(np.float32), models["text"][1]), models["meta"][0].astype(np.float32), models["meta"][1], 1.0, 0.0, np.zeros(3))
+    out.text.a, out.text.b = platt(out.text.score(cal.column("text").combine_chunks()), cal_y)
+    out.meta_a, out.meta_b = platt(out.meta_score(cal), cal_y)
+    t, m, _ = out.probabilities(cal)
+    out.both = fit_dense(np.column_stack([logit(t), logit(m)]), cal_y, decay=1.0)
+    return out
+
+
+def train(known: pa.Table, exchange: Callable[[Views, int], pa.Table], rounds: int = ROUNDS) -> Views | None:
+    """The views; None without labelled rows of both classes in both parts.
+
+    exchange: from the views and the round to the documents of which one is sure, with the view that is told and the label.
+    """
     if not known.num_rows:
         return None
     y = (known.column("quality").to_numpy() >= 0.5).astype(float)
     held = halves(known.column("doc_id").to_numpy())
     if any(len(np.unique(y[part])) < 2 for part in (held, ~held)):
         return None
-    fit, cal = known.filter(pa.array(~held)), known.filter(pa.array(held))
-    fit_y, cal_y = y[~held], y[held]
-    meta = [meta_matrix(*(x.column(c).to_pylist() for c in META)) for x in (fit, pool)]
-    text = [matrix(x.column("text").combine_chunks()) for x in (fit, pool)]
-    given = {"text": {}, "meta": {}}  # pseudo-labels for each view: row of the pool -> label
-    for turn in range(rounds + 1):
-        models = {}
-        for view, x, dims in (("text", text, None), ("meta", meta, META_DIMS)):
-            rows = np.array(sorted(given[view]), np.int64)
-            labels = np.concatenate([fit_y, [given[view][r] for r in rows]])
-            last = turn == rounds
-            models[view] = fit_sparse([x[0], x[1].take(rows)], labels, **({"dims": dims} if dims else {}), steps=150 if last else 50, decay=1e-6 if view == "text" else 1e-3)
-        if turn == rounds or not pool.num_rows:
-            break
-        # a view that labelled rows which it was not fitted on bear out is heard where it is sure
-        for view, other, x in (("text", "meta", text), ("meta", "text", meta)):
-            w, bias = models[view]
-            if view == "text":
-                cal_z = TextModel(w, bias).score(cal.column("text").combine_chunks())
-            else:
-                cal_z = meta_matrix(*(cal.column(c).to_pylist() for c in META)).scores(w) + bias
-            a, b = platt(cal_z, cal_y)
-            p = sigmoid(a * (x[1].scores(w) + bias) + b)
-            for label, certain in ((1.0, p), (0.0, 1 - p)):
-                order = np.argsort(-certain, kind="stable")
-                fresh_rows = [int(r) for r in order if certain[r] >= sure and r not in given[other]][: a_round // 2]
-                given[other].update(dict.fromkeys(fresh_rows, label))
-    views = Views(TextModel(models["text"][0].astype(np.float32), models["text"][1]), *models["meta"], 1.0, 0.0, np.zeros(3))
-    views.text.a, views.text.b = platt(views.text.score(cal.column("text").combine_chunks()), cal_y)
-    views.meta_a, views.meta_b = platt(views.meta_score(cal), cal_y)
-    t, m, _ = views.probabilities(cal)
-    views.both = fit_dense(np.column_stack([logit(t), logit(m)]), cal_y, decay=1.0)
+    fit = known.filter(pa.array(~held))
+    features = {"text": [matrix(fit.column("text").combine_chunks())], "meta": [meta_matrix(*(fit.column(c).to_pylist() for c in META))]}
+    none = pa.table({"k": pa.array([], pa.int64()), "label": pa.array([], pa.float64())})
+    given = {"text": none, "meta": none}
+    views = _fitted(known, held, y, given, features, None, False)
+    for turn in range(1, rounds + 1):
+        told = exchange(views, turn)
+        for view in given:
+            rows = told.filter(pc.equal(told.column("to"), view))
+            rows = rows.filter(pc.invert(pc.is_in(rows.column("k"), given[view].column("k").combine_chunks())))
+            if rows.num_rows:
+                texts = rows.column("text").combine_chunks()
+                features[view].append(matrix(texts) if view == "text" else meta_matrix(*(rows.column(c).to_pylist() for c in META)))
+            given[view] = pa.concat_tables([given[view], rows.select(["k", "label"])])
+        views = _fitted(known, held, y, given, features, views, turn == rounds)
     return views
 
 
@@ -108,26 +124,77 @@ def _narrow(docs: DataFrame) -> DataFrame:
     return docs.select(*(F.col(c).cast(k).alias(c) for c, k in kinds.items()))
 
 
-def _trained(docs: DataFrame, labels: DataFrame, max_labelled: int, max_pool: int):
+_TOLD = "stratum bigint, slot int, h bigint, k bigint, to string, label double, text string, source string, lang string, n_chars bigint"
+
+
+def _told(shared: Broadcast, turn: int, sure: float, known: np.ndarray):
+    """Of each stratum (view, class, source, language) and slot the document of least hash, with its label for the other view."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        views: Views = shared.value
+        held: dict[int, dict[int, tuple]] = {}
+        strata: dict[tuple, int] = {}
+        for batch in batches:
+            for part in slices(batch):
+                part = part.filter(pa.array(~np.isin(part.column("doc_id").fill_null(-1).to_numpy(), known) & np.array([bool(x and x.strip()) for x in part.column("text").to_pylist()], bool)))
+                if not part.num_rows:
+                    continue
+                t, m, _ = views.probabilities(part)
+                k = part.column("k").to_numpy()
+                h = (mix(k.view(np.uint64) ^ np.uint64(turn)) >> np.uint64(1)).astype(np.int64)
+                source, lang, n_chars = (part.column(c).to_pylist() for c in META)
+                for p, to in ((t, "meta"), (m, "text")):
+                    for i in np.flatnonzero((p >= sure) | (p <= 1 - sure)):
+                        what = (to, float(p[i] > 0.5), source[i], lang[i])
+                        if what not in strata:
+                            strata[what] = _hash(repr(what)) >> 1
+                        slots = held.setdefault(strata[what], {})
+                        slot = int(h[i] % SLOTS)
+                        if slot not in slots or (h[i], k[i]) < slots[slot][:2]:
+                            slots[slot] = (int(h[i]), int(k[i]), to, what[1], part.column("text")[int(i)].as_py(), source[i], lang[i], n_chars[i])
+                for x in sorted(held)[MAX_STRATA:]:
+                    del held[x]
+        rows = [(x, slot, *row) for x, slots in held.items() for slot, row in slots.items()]
+        schema = pa.schema([(name, {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}[kind]) for name, kind in (c.split() for c in _TOLD.split(", "))])
+        for at in range(0, len(rows), 500):
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows[at : at + 500]], schema)
+
+    return run
+
+
+def _trained(docs: DataFrame, labels: DataFrame, max_labelled: int, a_round: int, sure: float = SURE) -> Broadcast:
     """The trained views as a broadcast. docs: as of _narrow."""
+    sc = docs.sparkSession.sparkContext
     known = labelled(docs, labels, max_labelled, "text", *META)
-    ids = labels.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
-    chosen = docs.select("doc_id").join(ids, "doc_id", "left_anti").distinct().orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(max_pool)
-    pool = docs.filter(F.col("text").rlike(r"\S")).join(chosen, "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return docs.sparkSession.sparkContext.broadcast(train(known, pool))
+    ids = known.column("doc_id").to_numpy()
+    keyed = docs.withColumn("k", tie_key())
+
+    def exchange(views: Views, turn: int) -> pa.Table:
+        shared = sc.broadcast(views)
+        told = keyed.mapInArrow(_told(shared, turn, sure, ids), _TOLD)
+        rest = [c.split()[0] for c in _TOLD.split(", ")][2:]
+        told = told.groupBy("stratum", "slot").agg(F.min(F.struct(*rest)).alias("one")).select("slot", "stratum", "one.*")
+        # one of each stratum, then a second one, and so on
+        out = told.orderBy("slot", "h", "stratum").limit(a_round).toArrow()
+        shared.unpersist()
+        return out
+
+    return sc.broadcast(train(known, exchange))
 
 
-def cotrain(docs: DataFrame, labels: DataFrame, keep: float = KEEP, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> DataFrame:
+def cotrain(docs: DataFrame, labels: DataFrame, keep: float = KEEP, max_labelled: int = MAX_LABELLED, a_round: int = A_ROUND) -> DataFrame:
     """Rows (doc_id, p_text, p_meta, p_quality, keep), one for each row of docs.
 
-    max_labelled and max_pool bound the labelled and the unlabelled rows that training uses, chosen by a hash of the id.
+    max_labelled bounds the labelled rows that training uses, chosen by a hash of the id; a_round the documents that the
+    views label for each other in a round, chosen from all that one is sure of, evenly by source, language and class.
     Null cases: null or blank texts have null probabilities and aren't kept; null metadata are a value of their own;
     null ids are scored and stay null; labels with a null id or quality are left out, repeated ones averaged; without
     labels of both classes all probabilities are null and every text that isn't blank is kept. Rows are scored apart
-    from each other, so repeated ones agree. An empty table gives an empty one. Other columns are not read.
+    from each other, so repeated ones agree, and so do ties; texts are read whole, however long. An empty table gives an
+    empty one. Other columns are not read.
     """
     docs = _narrow(docs)
-    shared = _trained(docs, labels, max_labelled, max_pool)
+    shared = _trained(docs, labels, max_labelled, a_round)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,9 +212,9 @@ def verdicts(views: Views | None, part: pa.RecordBatch, keep: float) -> tuple[li
     return [pa.array(p, mask=blank | np.isnan(p)) for p in ps], pa.array(ok)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP, max_labelled: int = MAX_LABELLED, a_round: int = A_ROUND) -> DataFrame:
     """The rows of docs that cotrain() keeps, with all their columns, whatever their names and types."""
-    shared = _trained(_narrow(docs), labels, max_labelled, max_pool)
+    shared = _trained(_narrow(docs), labels, max_labelled, a_round)
 
     @F.arrow_udf("boolean")
     def good(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:

@@ -130,18 +130,25 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit_sparse(blocks: list[Sparse], y: np.ndarray, dims: int = DIMS, steps: int = 150, rate: float = 0.5, decay: float = 1e-6) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression on the blocks' rows, by Adam on all of them; the classes count alike."""
+def fit_sparse(blocks: list[Sparse], y: np.ndarray, dims: int = DIMS, steps: int = 150, rate: float = 0.5, decay: float = 1e-6, start: tuple[np.ndarray, float] | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression on the blocks' rows, by Adam on all of them; the classes count alike.
+
+    Only the columns that the rows have are worked on. start: weights and bias to go on from.
+    """
     share = np.where(y > 0.5, 0.5 / max(1, (y > 0.5).sum()), 0.5 / max(1, (y <= 0.5).sum()))
-    edges = np.cumsum([0, *map(len, blocks)])
-    w, m, v = np.zeros(dims), np.zeros(dims), np.zeros(dims)
-    bias = np.zeros(3)  # its value and its two moments
+    x = Sparse.stacked(blocks)
+    used = np.zeros(dims, bool)
+    used[x.columns] = True
+    used = np.flatnonzero(used)
+    place = np.zeros(dims, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    x = Sparse(x.ends, place[x.columns], x.values)
+    whole, bias = (np.zeros(dims), np.zeros(3)) if start is None else (start[0].astype(np.float64), np.array([start[1], 0.0, 0.0]))
+    w, m, v = whole[used], np.zeros(len(used)), np.zeros(len(used))
     for t in range(1, steps + 1):
-        z = np.concatenate([x.scores(w) for x in blocks]) + bias[0]
+        z = x.scores(w) + bias[0]
         d = share * (sigmoid(z) - y)
-        g = decay * w
-        for x, a, b in zip(blocks, edges, edges[1:], strict=False):
-            g += x.gradient(d[a:b], dims)
+        g = decay * w + x.gradient(d, len(used))
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)
         bias[1] += 0.1 * (d.sum() - bias[1])
@@ -149,7 +156,8 @@ def fit_sparse(blocks: list[Sparse], y: np.ndarray, dims: int = DIMS, steps: int
         first, second = 1 - 0.9**t, 1 - 0.99**t
         w -= rate * (m / first) / (np.sqrt(v / second) + 1e-7)
         bias[0] -= rate * (bias[1] / first) / (np.sqrt(bias[2] / second) + 1e-7)
-    return w, float(bias[0])
+    whole[used] = w
+    return whole, float(bias[0])
 
 
 def fit_dense(x: np.ndarray, y: np.ndarray, decay: float = 1e-2, steps: int = 30) -> np.ndarray:

@@ -10,10 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import mix, slices, table
 from .ngrams import TextModel, fit_sparse, matrix, platt
 
 KEEP, SURE = 0.5, 0.9
@@ -21,17 +21,18 @@ MAX_LABELLED = 4000
 
 
 def labelled(docs: DataFrame, labels: DataFrame, bound: int, *columns: str) -> pa.Table:
-    """At most bound labelled documents, those whose ids hash lowest: (doc_id, quality, *columns); blank texts have no features and aren't used."""
+    """At most bound labelled documents, those whose ids hash lowest: (doc_id, quality, *columns). Blank texts have no
+    features and aren't used; of several texts with one id the one that hashes lowest is."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.avg("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     rows = docs.filter(F.col("text").rlike(r"\S")).select(F.col("doc_id").cast("bigint").alias("doc_id"), *columns)
-    return rows.join(known, "doc_id").select("doc_id", "quality", *columns).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), *columns, "quality")).alias("one")
+    rows = rows.join(known, "doc_id").groupBy("doc_id").agg(one).select("doc_id", "one.quality", *(f"one.{c}" for c in columns))
+    return rows.toArrow().sort_by("doc_id")
 
 
 def halves(ids: np.ndarray, part: int = 3) -> np.ndarray:
     """Which rows are kept for calibration: one in part, by id."""
-    from .common import mix
-
     return mix(ids.astype(np.uint64)) % np.uint64(part) == 0
 
 
@@ -57,8 +58,9 @@ def score(docs: DataFrame, labels: DataFrame, keep: float = KEEP, sure: float =
     max_labelled bounds the labelled rows that are used, two thirds for training, a third for calibration.
     Null cases: null or blank texts have a null probability and aren't kept; null ids are scored and stay null; labels
     with a null id or quality are left out, repeated ones averaged; without labels of both classes there is no rule: the
-    probability is null and every text that isn't blank is kept. An empty table gives an empty one. Other columns are
-    not read.
+    probability is null and every text that isn't blank is kept. Rows are scored apart from each other, so repeated ones
+    agree, and so do ties; texts are read whole, however long. An empty table gives an empty one. Other columns are not
+    read.
     """
     spark = docs.sparkSession
     model = train(labelled(docs, labels, max_labelled, "text"))
@@ -79,5 +81,22 @@ def score(docs: DataFrame, labels: DataFrame, keep: float = KEEP, sure: float =
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(apply, "doc_id bigint, p_quality double, keep boolean, sure boolean")
 
 
+def probability(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Column:
+    """The probability of good quality of docs' column text, fitted on docs and labels as by score(); null where score() gives null."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(labelled(docs, labels, max_labelled, "text")))
+
+    @F.arrow_udf("double")
+    def p(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            out = [pa.array([], pa.float64())]
+            for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"])):
+                text = part.column("text")
+                blank = np.array([not (x and x.strip()) for x in text.to_pylist()], bool)
+                out.append(pa.array(shared.value.probability(text) if shared.value else np.zeros(len(blank)), mask=blank | (shared.value is None)))
+            yield pa.concat_arrays(out)
+
+    return p(F.col("text"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir), table(spark, sf_dir, "labels"))
