@@ -289,10 +289,59 @@ def test_held_out_accuracy(spark):
 
 def test_co_training_uses_both_views(spark):
     docs, labels, held = graded(spark)
-    views = cotraining.train(quality_rules.labelled(cotraining._narrow(docs), labels, 3000, "text", *cotraining.META), docs.join(held, "doc_id").toArrow())
+    narrow = cotraining._narrow(docs)
+    views = cotraining._trained(narrow, labels, 3000, 600).value
     assert views.both[0] > 0 and np.abs(views.meta).max() > 0
-    p = views.probabilities(docs.select("text", *cotraining.META).toArrow())
+    p = views.probabilities(narrow.toArrow().combine_chunks().to_batches()[0])
     assert all(((x >= 0) & (x <= 1)).all() for x in p)
+    # each view alone on labels that no fit saw: the text tells, the metadata of these tables hardly do
+    rows = narrow.join(held.select("doc_id", "quality"), "doc_id").toArrow().combine_chunks().to_batches()[0]
+    t, m, both = views.probabilities(rows)
+    y = rows.column("quality").to_numpy() > 0.5
+    right = [np.mean((x > 0.5) == y) for x in (t, m, both)]
+    assert right[0] > 0.95 and right[2] > 0.95 and right[1] >= min(y.mean(), 1 - y.mean())
+
+
+def test_metadata_are_hashed_whole():
+    def row(source, lang="en"):
+        x = cotraining.meta_matrix([source], [lang], [100])
+        return x.columns[:3].tolist()
+
+    names = ["commoncrawl", "commonvoice", "https://good.org/a", "https://spam.biz/a", "a" * 200 + "x" * 80, "b" * 200 + "x" * 80, None]
+    rows = [row(x) for x in names]
+    assert len({r[0] for r in rows}) == len({r[2] for r in rows}) == len(names)
+    assert row("web", "en")[2] != row("web", "de")[2] and row("web", "en")[0] == row("web", "de")[0]
+
+
+def test_metadata_alone_can_tell(spark):
+    r = random.Random(4)
+    good, bad = ["commoncrawl", "https://good.org/a"], ["commonvoice", "https://spam.biz/a"]
+    rows = [(i, prose(r, 40), "en", r.choice(good if i % 2 else bad), 200) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = {x["doc_id"]: x for x in cotraining.cotrain(docs, labels).collect()}
+    assert np.mean([(got[i]["p_meta"] > 0.5) == bool(i % 2) for i in range(200, 400)]) == 1
+    assert np.mean([got[i]["keep"] == bool(i % 2) for i in range(200, 400)]) > 0.95
+
+
+def test_the_exchange_reads_all_documents(spark):
+    """Each source, language and class has its share, however many documents one source has, and however they are spread."""
+    r = random.Random(9)
+    rows = [(i, ("good words here " if i % 2 else "bad junk there ") + prose(r, 20), "en", "hot" if i < 900 else f"small{i % 10}", 100) for i in range(1000)]
+    docs = cotraining._narrow(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    views = cotraining._trained(docs, labels, 200, 10).value
+    shared = spark.sparkContext.broadcast(views)
+    got = []
+    for parts in (1, 5):
+        keyed = docs.repartition(parts).withColumn("k", common.tie_key())
+        told = keyed.mapInArrow(cotraining._told(shared, 1, 0.9, np.arange(200)), cotraining._TOLD).groupBy("stratum", "slot").agg({"h": "min"}).collect()
+        got.append(sorted(map(str, told)))
+        rows = keyed.mapInArrow(cotraining._told(shared, 1, 0.9, np.arange(200)), cotraining._TOLD).collect()
+        assert {x["source"] for x in rows if x["to"] == "meta"} == {"hot", *(f"small{i}" for i in range(10))}
+        by = Counter((x["stratum"], x["slot"]) for x in rows)
+        assert max(by.values()) <= parts and max(Counter(s for s, _ in by).values()) <= cotraining.SLOTS
+    assert got[0] == got[1]
 
 
 def test_hilbert_curve():
