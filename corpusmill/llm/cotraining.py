@@ -81,7 +81,7 @@ def _fitted(known: pa.Table, held: np.ndarray, y: np.ndarray, given: dict[str, p
     for view, dims, decay in (("text", DIMS, 1e-6), ("meta", META_DIMS, 1e-3)):
         labels = np.concatenate([y[~held], given[view].column("label").to_numpy()])
         start = None if before is None else ((before.text.weights, before.text.bias) if view == "text" else (before.meta, before.meta_bias))
-        models[view] = fit_sparse(features[view], labels, dims, 60 if start is None or last else 30, decay=decay, start=start)
+        models[view] = fit_sparse(features[view], labels, dims, 150 if start is None else 50, decay=decay, start=start)
     out = Views(TextModel(models["text"][0].astype(np.float32), models["text"][1]), models["meta"][0].astype(np.float32), models["meta"][1], 1.0, 0.0, np.zeros(3))
     out.text.a, out.text.b = platt(out.text.score(cal.column("text").combine_chunks()), cal_y)
     out.meta_a, out.meta_b = platt(out.meta_score(cal), cal_y)
