@@ -34,10 +34,10 @@ def uniform(key: Column) -> Column:
     return (F.conv(F.substring(key, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def ranked(df: DataFrame, key: Column, tie: Sequence[Column], by: Sequence[Column] = (), rank: str = "rank", total: str | None = None) -> DataFrame:
-    """df with each row's rank from 0 by its hexadecimal key, then tie, within by; and by's number of rows, if named."""
+def ranked(df: DataFrame, key: Column, tie: Sequence[Column], by: Sequence[Column] = (), rank: str = "rank", total: str | None = None, cells: int = CELLS) -> DataFrame:
+    """df with each row's rank from 0 by its hexadecimal key, whose first digits are its cell, then tie, within by; and by's number of rows, if named."""
     k, c, n, before, t, *g = unused(df, "key", "cell", "n", "before", "total", *(f"by{i}" for i in range(len(by))))
-    keyed = df.withColumns({k: key} | dict(zip(g, by, strict=True))).withColumn(c, F.substring(F.col(k), 1, CELLS))
+    keyed = df.withColumns({k: key} | dict(zip(g, by, strict=True))).withColumn(c, F.substring(F.col(k), 1, cells))
     counts = keyed.groupBy(*g, c).agg(F.count("*").alias(n))
     each = W.partitionBy(*g) if g else W.partitionBy(F.lit(0))
     counts = counts.withColumn(before, F.coalesce(F.sum(n).over(each.orderBy(c).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn(t, F.sum(n).over(each))

@@ -20,6 +20,16 @@ def shared_folder(spark: SparkSession) -> str:
     return at
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df on all cores where its files give fewer tasks than there are cores; larger tables stay as they are read.
+
+    For work that costs much more than moving the rows. Only the order in which rows are worked on changes.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size > 1 << 20 and df.rdd.getNumPartitions() < cores else df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written there and read again: later jobs start from it, even if executors are lost."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..dataset import Dataset
 from ..errors import ConfigError
+from ..functions.text import let
 from ..registry import Config, operator, option
 from .filters import java_regex
 
@@ -73,21 +74,40 @@ def _logged(rule: Rule, text: Column) -> Callable[[Column], Column]:
     return lambda m: F.struct(F.lit(rule.tag).alias("tag"), shown(m).alias("original"), rule.replacement(m).alias("redacted"), F.lit(rule.strategy).alias("strategy"), _context(text, m, rule.window).alias("context"))
 
 
-def redact(text: Column, rules: list[Rule], allowlist: list[str]) -> tuple[Column, Column]:
-    """(text, matches): each rule sees what the ones before it left."""
+def redact(text: Column, rules: list[Rule], allowlist: list[str], logged: bool = True) -> tuple[Column, Column]:
+    """(text, matches): each rule sees what the ones before it left. Each step is bound once, so plans grow with the rules.
+
+    logged: whether matches are wanted; without them placeholders are one replacement each.
+    """
     allowed = F.array(*(F.lit(a.strip().lower()) for a in allowlist)) if allowlist else None
-    matches = F.array().cast(_LOG)
+    if not logged:
+        for rule in rules:
+            text = _without_log(rule, text, allowed)
+        return text, F.array().cast(_LOG)
+    state = F.struct(text.alias("text"), F.array().cast(_LOG).alias("log"))
     for rule in rules:
-        pattern = java_regex(rule.pattern)
-        if rule.strategy == "placeholder" and not allowlist:
-            new = F.regexp_replace(text, pattern, rule.placeholder.replace("\\", "\\\\").replace("$", "\\$"))
-        else:
-            new = F.aggregate(_found(text, pattern, allowed), text, _replaced(rule))
-            new = F.when(text.rlike(pattern), new).otherwise(text)
-        log = F.transform(_found(text, pattern, allowed), _logged(rule, text))
-        matches = F.concat(matches, F.when(text.rlike(pattern), log).otherwise(F.array().cast(_LOG)))
-        text = new
-    return text, matches
+        state = let(state, _with_log(rule, allowed))
+    return let(state, lambda s: s["text"]), let(state, lambda s: s["log"])
+
+
+def _without_log(rule: Rule, text: Column, allowed: Column | None) -> Column:
+    pattern = java_regex(rule.pattern)
+    if rule.strategy == "placeholder" and allowed is None:
+        return F.regexp_replace(text, pattern, rule.placeholder.replace("\\", "\\\\").replace("$", "\\$"))
+    return let(text, lambda t: F.aggregate(_found(t, pattern, allowed), t, _replaced(rule)))
+
+
+def _with_log(rule: Rule, allowed: Column | None) -> Callable[[Column], Column]:
+    pattern = java_regex(rule.pattern)
+
+    def step(s: Column) -> Column:
+        def of(found: Column) -> Column:
+            new = F.aggregate(found, s["text"], _replaced(rule))
+            return F.struct(new.alias("text"), F.concat(s["log"], F.transform(found, _logged(rule, s["text"]))).alias("log"))
+
+        return F.when(s["text"].rlike(pattern), let(_found(s["text"], pattern, allowed), of)).otherwise(s)
+
+    return step
 
 
 def _found(text: Column, pattern: str, allowed: Column | None) -> Column:
@@ -119,7 +139,7 @@ def pii_redact(ds: Dataset, config: Config) -> Dataset:
     store, c = option(config, "store_key", None, str), ds.text(path)
     if c is None:
         return ds
-    text, matches = redact(c, rules, allowlist)
+    text, matches = redact(c, rules, allowlist, store is not None)
     if store:
         ds = ds.put_meta(store, F.when(c.isNotNull(), matches))
     return ds.put(path, text)

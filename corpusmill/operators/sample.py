@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..dataset import Dataset, kind, quoted
 from ..errors import ConfigError
-from ..functions.ranks import hash_key, ranked, uniform, unused
+from ..functions.ranks import CELLS, hash_key, ranked, uniform, unused
 from ..functions.text import n_chars
 from ..registry import NUMBER, Config, operator, option
 
@@ -46,28 +46,29 @@ def random(ds: Dataset, config: Config) -> Dataset:
         raise ConfigError("ratio must lie between 0 and 1")
     if least is not None and group_key is None:
         raise ConfigError("min_per_group needs group_key")
-    key = hash_key(seed, ds.key())
+    key, digits = hash_key(seed, ds.key()), CELLS
     weight = _metadata(ds, weight_key) if weight_key else None
     if weight is not None and kind(ds.df.schema[ds.meta[weight_key.removeprefix("metadata.")]].dataType) in ("int", "float"):
         w = F.when(weight > 0, weight.cast("double")).otherwise(1.0)
-        key = F.lpad(F.hex(F.floor((1 - F.exp(F.log(uniform(key)) / w)) * float(1 << 52)).cast("bigint")), 14, "0")
+        # the logarithm of the exponential key: five digits are 4096 cells for each factor of e, whatever the weights
+        key, digits = F.lpad(F.hex(F.floor((F.log(-F.log(uniform(key)) / w) + 128) * float(1 << 48)).cast("bigint")), 14, "0"), 5
     rank, total, inner, goal = unused(ds.df, "rank", "n", "inner", "goal")
     n = F.col(total)
     goals = ([F.lit(count)] if count is not None else []) + ([F.lit(0) if ratio == 0 else F.round(F.greatest(n * F.lit(float(ratio)), F.lit(1.0)))] if ratio is not None else [])
     target = F.least(F.greatest(*goals) if len(goals) > 1 else goals[0], n)
-    df = ranked(ds.df, key, tie(ds), rank=rank, total=total)
+    df = ranked(ds.df, key, tie(ds), rank=rank, total=total, cells=digits)
     if not least:
         return ds.on(df.filter(F.col(rank) < target).drop(rank, total))
     found = _metadata(ds, group_key)
     group = F.coalesce(found.cast("string"), F.lit("__missing__")) if found is not None else F.lit("__missing__")
     df = df.withColumn(goal, target).drop(rank, total)
     g, size, before, h = unused(df, "group", "size", "before", "h")
-    df = ranked(df, key, tie(ds), [group], rank=inner).withColumn(g, group)
+    df = ranked(df, key, tie(ds), [group], rank=inner, cells=digits).withColumn(g, group)
     sizes = df.groupBy(g).agg(F.least(F.count("*"), F.lit(least)).alias(size))
     sizes = sizes.select(F.col(g).alias(h), F.coalesce(F.sum(size).over(W.partitionBy(F.lit(0)).orderBy(g).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(before), F.sum(size).over(W.partitionBy(F.lit(0))).alias(size))
     df = df.join(sizes, F.col(g) == F.col(h))
     sure = (F.col(inner) < least) & (F.col(before) + F.col(inner) < F.col(goal))
-    out = ranked(df, key, tie(ds), [F.col(inner) < least], rank=rank)
+    out = ranked(df, key, tie(ds), [F.col(inner) < least], rank=rank, cells=digits)
     return ds.on(out.filter(sure | (F.col(inner) >= least) & (F.col(rank) < F.col(goal) - F.col(size))).select(*map(quoted, ds.df.columns)))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .dataset import Dataset
-from .errors import MillError, OperatorError, PipelineError
+from .errors import ConfigError, MillError, OperatorError, PipelineError
 from .functions.storage import shared_folder
 from .registry import get
 
@@ -105,6 +105,13 @@ class Pipeline:
 
         return self.run(data, watch), seen
 
+    def run_chunked(self, data: Dataset | DataFrame, chunk_size: int) -> Dataset:
+        """The result. Spark cuts the work into tasks itself, so chunk_size only has to be positive: operators that look at
+        the whole table (duplicates, samples, statistics) see all of it, however it is cut."""
+        if chunk_size < 1:
+            raise ConfigError("chunk_size must be positive")
+        return self.run(data)
+
     def with_progress(self, data: Dataset | DataFrame, report: Callable[[int, int, str], None]) -> Dataset:
         """The result; report is told each step as it is planned."""
         ds = data if isinstance(data, Dataset) else Dataset.of(data)

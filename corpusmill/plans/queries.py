@@ -8,7 +8,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import inspect
 from ..dataset import Dataset, quoted
+from ..functions.storage import spread
 from ..operators import dedup, distribution, tokens
 from ..operators.transforms import scalar
 from ..pipeline import Pipeline, step
@@ -29,13 +31,18 @@ def _reader(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
     return read
 
 
-_MADE["customer_orders"] = lambda t: t("customer").join(t("orders").filter("o_totalprice > 450000"), F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "o_orderkey", "o_totalprice")
+# all orders; the keys and prices of the cheaper ones are null
+_MADE["gaps"] = lambda t: t("orders").select("o_orderkey", "o_custkey", *(F.when(F.col("o_totalprice") > 250000, F.col(c)).alias(n) for c, n in (("o_orderkey", "big"), ("o_totalprice", "price"))))
 _MADE["words"] = lambda t: t("documents").select("doc_id", F.split("text", r"[ \n]+").alias("words"))
 _MADE["places"] = lambda t: t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.struct(F.col("n_name").alias("name"), F.struct("r_regionkey", "r_name").alias("region")).alias("place"))
 _MADE["talks"] = lambda t: t("conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda x: x["text"]).alias("turns")).select("conv_id", F.struct("turns").alias("conversation"))
-_MADE["graded"] = lambda t: t("documents").join(t("labels"), "doc_id").select("doc_id", "text", "source", "quality", "toxic")
+_MADE["graded"] = lambda t: t("documents").join(t("labels"), "doc_id", "left").select("doc_id", "text", "source", F.coalesce("quality", F.lit(-1)).alias("quality"), "toxic")
 
-IDS = {"documents": "doc_id", "customer": "c_custkey", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id", "nation": "n_nationkey", "region": "r_regionkey", "supplier": "s_suppkey", "words": "doc_id", "places": "n_nationkey", "talks": "conv_id", "graded": "doc_id"}
+IDS = {"documents": "doc_id", "customer": "c_custkey", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id", "nation": "n_nationkey", "region": "r_regionkey", "supplier": "s_suppkey", "words": "doc_id", "places": "n_nationkey", "talks": "conv_id", "graded": "doc_id", "gaps": "o_orderkey", "asked": "o_orderkey"}
+
+
+#: Operators whose work on a text costs much more than moving it.
+HEAVY = ("lang", "quality", "pii", "dedup", "augment", "llm")
 
 
 def at(field: str) -> dict[str, Any]:
@@ -49,9 +56,11 @@ def dataset(t: Callable[[str], DataFrame], table: str, metadata: tuple[str, ...]
 def add(name: str, table: str, config: Mapping[str, Any], columns: str | list[str | Column], sql: str | None = None, operator: str | None = None, metadata: tuple[str, ...] = (), made: Callable[[], list[Column]] | None = None) -> None:
     """A query that applies an operator to a table and selects columns (a metadata key by m:key)."""
     op = operator or name.replace("_", ".", 1)
+    heavy = table == "documents" and op.partition(".")[0] in HEAVY
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = apply_operator(dataset(_reader(spark, sf_dir), table, metadata), op, config)
+        read = _reader(spark, sf_dir)
+        out = apply_operator(dataset((lambda x: spread(read(x))) if heavy else read, table, metadata), op, config)
         chosen = [(quoted(out.meta[c[2:]]).alias(c[2:]) if c.startswith("m:") else F.col(c)) for c in (columns.split() if isinstance(columns, str) else columns)]
         return out.df.select(*chosen, *(made() if made else []))
 
@@ -71,23 +80,23 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Callable[[st
 
 # filters
 
-_DEAR = "(select * from orders where o_totalprice > 450000)"
-_CO = f"select c_custkey, o_orderkey from customer left join {_DEAR} on c_custkey = o_custkey"
+_GAPS = "(select o_orderkey, o_custkey, case when o_totalprice > 250000 then o_orderkey end as big, case when o_totalprice > 250000 then o_totalprice end as price from orders)"
+_CO = f"select o_orderkey, big from {_GAPS}"
 add("filter_equals", "documents", at("lang") | {"equals": "de"}, "doc_id lang", "select doc_id, lang from documents where lang = 'de'")
-add("filter_not_equals", "customer_orders", at("o_orderkey") | {"equals": 7}, "c_custkey o_orderkey", f"{_CO} where o_orderkey is distinct from 7")
+add("filter_not_equals", "gaps", at("big") | {"equals": 7}, "o_orderkey big", f"{_CO} where big is distinct from 7")
 add("filter_any", "orders", {"paths": ["payload.o_orderstatus", "payload.o_orderpriority"], "equals": "F"}, "o_orderkey o_orderstatus", "select o_orderkey, o_orderstatus from orders where o_orderstatus = 'F' or o_orderpriority = 'F'")
 add("filter_between", "lineitem", at("l_quantity") | {"min": 10, "max": 30}, "l_orderkey l_linenumber l_quantity", "select l_orderkey, l_linenumber, l_quantity from lineitem where l_quantity between 10 and 30")
 add("filter_less_than", "lineitem", at("l_discount") | {"threshold": 0.03}, "l_orderkey l_linenumber l_discount", "select l_orderkey, l_linenumber, l_discount from lineitem where l_discount < 0.03::double")
 add("filter_greater_than", "customer", at("c_acctbal") | {"threshold": 5000}, "c_custkey c_acctbal", "select c_custkey, c_acctbal from customer where c_acctbal > 5000")
 add("filter_range", "events", at("value") | {"min": 50.5}, "event_id value", "select event_id, value from events where value >= 50.5::double")
-add("filter_is_null", "customer_orders", at("o_orderkey"), "c_custkey", f"select c_custkey from customer where c_custkey not in (select o_custkey from {_DEAR})")
-add("filter_exists", "customer_orders", at("o_orderkey"), "c_custkey o_orderkey", f"{_CO} where o_orderkey is not null")
-add("filter_not_exists", "customer_orders", at("o_totalprice"), "c_custkey", f"select c_custkey from customer where not exists (select 1 from {_DEAR} where o_custkey = c_custkey)")
+add("filter_is_null", "gaps", at("big"), "o_orderkey", f"select o_orderkey from {_GAPS} where big is null")
+add("filter_exists", "gaps", at("big"), "o_orderkey big", f"{_CO} where big is not null")
+add("filter_not_exists", "gaps", at("price"), "o_orderkey", f"select o_orderkey from {_GAPS} where price is null")
 add("filter_regex", "documents", at("text") | {"pattern": "[0-9]{3}"}, "doc_id", "select doc_id from documents where regexp_matches(text, '[0-9]{3}')")
 add("filter_starts_with", "part", at("p_name") | {"prefix": "red"}, "p_partkey p_name", "select p_partkey, p_name from part where starts_with(p_name, 'red')")
 add("filter_ends_with", "part", at("p_name") | {"suffix": "ring"}, "p_partkey p_name", "select p_partkey, p_name from part where ends_with(p_name, 'ring')")
 add("filter_in", "documents", at("lang") | {"values": ["en", "de"]}, "doc_id lang", "select doc_id, lang from documents where lang in ('en', 'de')")
-add("filter_not_in", "customer_orders", at("o_orderkey") | {"values": [1, 2, 3]}, "c_custkey o_orderkey", f"{_CO} where o_orderkey is null or o_orderkey not in (1, 2, 3)")
+add("filter_not_in", "gaps", at("big") | {"values": [1, 2, 3]}, "o_orderkey big", f"{_CO} where big is null or big not in (1, 2, 3)")
 add("filter_contains", "documents", at("text") | {"contains": "THE", "case_insensitive": True}, "doc_id", "select doc_id from documents where contains(lower(text), 'the')")
 add("filter_contains_all", "documents", at("text") | {"contains_all": ["the", "and"]}, "doc_id", "select doc_id from documents where contains(text, 'the') and contains(text, 'and')")
 add("filter_contains_any", "documents", at("text") | {"contains_any": ["License", "license"]}, "doc_id", "select doc_id from documents where contains(text, 'License') or contains(text, 'license')")
@@ -127,8 +136,8 @@ _PLACE = "from nation join region on n_regionkey = r_regionkey"
 add("field_copy", "places", {"source": "payload.place.region.r_name", "target": "payload.region"}, "n_nationkey region", f"select n_nationkey, r_name as region {_PLACE}")
 whole("field_move", "customer", "field.move", {"source": "payload.c_mktsegment", "target": "metadata.segment"}, "select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment as segment from customer")
 whole("field_flatten", "places", "field.flatten", {"field": "payload.place"}, f"select n_nationkey, n_name as place_name, r_regionkey as place_region_r_regionkey, r_name as place_region_r_name {_PLACE}")
-add("field_default", "customer_orders", {"field": "payload.o_totalprice", "default_value": 0.0}, "c_custkey o_totalprice", f"select c_custkey, coalesce(o_totalprice, 0.0::double) as o_totalprice from customer left join {_DEAR} on c_custkey = o_custkey")
-add("field_require", "customer_orders", {"fields": ["payload.o_orderkey", "payload.c_custkey"]}, "c_custkey o_orderkey", f"{_CO} where o_orderkey is not null")
+add("field_default", "gaps", {"field": "payload.price", "default_value": 0.0}, "o_orderkey price", f"select o_orderkey, coalesce(price, 0.0::double) as price from {_GAPS}")
+add("field_require", "gaps", {"fields": ["payload.big", "payload.o_custkey"]}, "o_orderkey big", f"{_CO} where big is not null")
 
 # transforms
 
@@ -137,7 +146,7 @@ add("transform_map", "part", at("p_name") | {"transform": {"Replace": {"from": "
 add("transform_chain", "part", at("p_name") | {"transforms": ["Uppercase", {"Truncate": {"max_length": 6}}, {"Pad": {"length": 8, "char": "-"}}, {"Prefix": {"prefix": "<"}}, {"Suffix": {"suffix": ">"}}]}, "p_partkey p_name", "select p_partkey, '<' || rpad(left(upper(p_name), 6), 8, '-') || '>' as p_name from part")
 add("transform_template", "orders", {"template": "{{payload.o_orderkey}}: {{payload.o_orderstatus}} {{payload.nothing}}", "output_field": "payload.line"}, "o_orderkey line", "select o_orderkey, o_orderkey::varchar || ': ' || o_orderstatus || ' {{payload.nothing}}' as line from orders")
 add("transform_flat_map", "words", at("words") | {"output_field": "payload.word"}, "doc_id word", r"select doc_id, unnest(string_split_regex(text, '[ \n]+')) as word from documents")
-add("transform_coalesce", "customer_orders", {"paths": ["payload.o_orderkey", "payload.c_custkey"], "output_field": "payload.key"}, "c_custkey key", f"select c_custkey, coalesce(o_orderkey, c_custkey) as key from customer left join {_DEAR} on c_custkey = o_custkey")
+add("transform_coalesce", "gaps", {"paths": ["payload.big", "payload.o_custkey"], "output_field": "payload.key"}, "o_orderkey key", f"select o_orderkey, coalesce(big, o_custkey) as key from {_GAPS}")
 add("transform_conditional", "orders", {"condition_path": "payload.o_orderstatus", "condition_value": "F", "then": {"Suffix": {"suffix": "!"}}, "else": "Lowercase"}, "o_orderkey o_orderstatus", "select o_orderkey, case when o_orderstatus = 'F' then 'F!' else lower(o_orderstatus) end as o_orderstatus from orders")
 
 
@@ -146,7 +155,8 @@ select o_orderkey, lower(o_orderpriority) as lowercase, upper(o_orderpriority) a
     replace(o_orderpriority, '-', ' ') as replace, regexp_replace(o_orderpriority, '([0-9])-', '\1: ', 'g') as regex_replace, 'p' || o_orderpriority as prefix,
     o_orderpriority || 's' as suffix, left(o_orderpriority, 3) as truncate, rpad(o_orderpriority, 15, '.') as pad, '"' || o_orderpriority || '"' as json_stringify,
     try_cast(left(o_orderpriority, 1) as bigint) as to_int, try_cast(left(o_orderpriority, 1) || '.5' as double) as to_float, o_orderstatus <> '' as to_bool,
-    o_orderkey::varchar as to_string, array_to_string(string_split(o_orderpriority, '-'), '+') as split_join from orders""")
+    o_orderkey::varchar as to_string, array_to_string(string_split(o_orderpriority, '-'), '+') as split_join,
+    o_orderpriority as strip, o_orderstatus as json_parse from orders""")
 def _(t):
     p, key = Dataset.of(t("orders")).find("payload.o_orderpriority"), Dataset.of(t("orders")).find("payload.o_orderkey")
     status = Dataset.of(t("orders")).find("payload.o_orderstatus")
@@ -157,9 +167,10 @@ def _(t):
         "regex_replace": scalar(p, {"RegexReplace": {"pattern": "([0-9])-", "replacement": "$1: "}}), "prefix": scalar(p, {"Prefix": {"prefix": "p"}}), "suffix": scalar(p, {"Suffix": {"suffix": "s"}}),
         "truncate": scalar(p, {"Truncate": {"max_length": 3}}), "pad": scalar(p, {"Pad": {"length": 15, "char": "."}}), "json_stringify": scalar(p, "JsonStringify"), "to_int": scalar(digit, "ToInt"),
         "to_float": scalar(scalar(digit, {"Suffix": {"suffix": ".5"}}), "ToFloat"), "to_bool": scalar(status, "ToBool"), "to_string": scalar(key, "ToString"),
-        "split_join": scalar(scalar(p, {"Split": {"separator": "-"}}), {"Join": {"separator": "+"}}),
+        "strip": scalar(padded, "Strip"), "split_join": scalar(scalar(p, {"Split": {"separator": "-"}}), {"Join": {"separator": "+"}}),
     }
-    return t("orders").select("o_orderkey", *(f.column.alias(n) for n, f in made.items()))
+    parsed = scalar(scalar(scalar(status, {"Prefix": {"prefix": '{"status": "'}}), {"Suffix": {"suffix": '"}'}}), "JsonParse")
+    return t("orders").select("o_orderkey", *(f.column.alias(n) for n, f in made.items()), F.variant_get(parsed.column, "$.status", "string").alias("json_parse"))
 
 
 # languages, quality, personal data
@@ -200,7 +211,7 @@ sc as (select doc_id, 0.2 * ascii_ratio + 0.15 * entropy + 0.15 * coalesce(least
     + 0.1 * nonprint + 0.08 * bigram + 0.08 * char_run + 0.05 * coalesce(1 - least(letters / words / 20, 1), 0)
     + 0.03 * case when list_sum(br) > 0 then 1 - (abs(br[1] - br[2]) + abs(br[3] - br[4]) + abs(br[5] - br[6])) / list_sum(br) else 1 end + 0.01 * symbol as quality from q)"""
 add("quality_score", "documents", at("text"), ["doc_id"], f"with {_WORDS_SQL} select doc_id, round(least(greatest(quality, 0), 1), 6) as quality from sc", made=lambda: [F.round("quality", 6).alias("quality")])
-add("quality_filter", "graded", {"key": "quality", "min": 1}, "doc_id m:quality", "select doc_id, quality from documents join labels using (doc_id) where quality >= 1", metadata=("quality", "toxic"))
+add("quality_filter", "graded", {"key": "quality", "min": 1}, "doc_id m:quality", "select doc_id, quality from documents left join labels using (doc_id) where quality >= 1", metadata=("quality", "toxic"))
 
 _NORM = "regexp_replace(translate(w, '0123456789', 'oizeasgtbg'), '[^a-z0-9]', '', 'g')"
 _NEG = "('not', 'never', 'no', 'without', 'hardly')"
@@ -214,7 +225,22 @@ e as (select doc_id, len(ws)::double as n, len(list_filter(raw, lambda x: regexp
 select doc_id, round(case when n = 0 then 0 else least(1, 0.6 * least(coalesce(weight, 0) / 8, 1) + 0.25 * least(coalesce(hits, 0) / n, 1) + 0.15 * least(0.5 * loud + bangs / 6 * 0.3, 0.8)) end, 6) as toxicity
 from e left join m using (doc_id)""", made=lambda: [F.round("toxicity", 6).alias("toxicity")])
 
-add("pii_redact", "documents", at("text"), "doc_id text")
+_MASKED = "case when length(m) <= {n} then repeat('{c}', length(m)) else left(m, {p}) || repeat('{c}', least(greatest(length(m) - {n}, 1), 4)::int) || right(m, {s}) end"
+_MASK = lambda text, pattern, **o: f"list_reduce(list_prepend({text}, regexp_extract_all({text}, '{pattern}')), lambda x, m: replace(x, m, {_MASKED.format(**o)}))"
+_PII = rf"""
+with e as (select doc_id, regexp_replace(text, '(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{{2,}}', '<EMAIL>', 'g') as t from documents),
+p as (select doc_id, {_MASK("t", r"\b(?:[+]?[0-9]{1,3}[- ]?)?(?:[(]?[0-9]{2,4}[)]?[- ]?)?[0-9]{7,12}\b", c="*", p=2, s=2, n=4)} as t from e),
+c as (select doc_id, {_MASK("t", r"\b(?:[0-9][- ]?){13,19}\b", c="#", p=4, s=2, n=6)} as t from p)
+select doc_id, regexp_replace(t, '(?i)https?://[A-Za-z0-9_./?#%=&]+', '<URL>', 'g') as text from c"""
+add("pii_redact", "documents", at("text"), "doc_id text", _PII)
+
+
+# every rule on every page: what it finds beside what it leaves
+_PII_PAGES = _PII.replace("doc_id", "page_id").replace("from documents", "from (select page_id, 'mail me at user' || page_id || '@mail.example.org or call +49 30 12' || (1234567 + page_id) || ', card 4111 1111 1111 1' || (100 + page_id % 900) || ', see ' || url as text from pages)")
+_MADE["contacts"] = lambda t: t("pages").select("page_id", F.concat(F.lit("mail me at user"), "page_id", F.lit("@mail.example.org or call +49 30 12"), F.col("page_id") + 1234567, F.lit(", card 4111 1111 1111 1"), 100 + F.col("page_id") % 900, F.lit(", see "), "url").alias("text"))
+IDS["contacts"] = "page_id"
+add("pii_redact_all", "contacts", at("text"), "page_id text", _PII_PAGES, operator="pii.redact")
+add("pii_redact_allowed", "contacts", at("text") | {"allowlist": ["user7@mail.example.org"], "store_key": "found"}, ["page_id", "text"], _PII_PAGES.replace("regexp_replace(text, '(?i)[a-z0-9._%+-]", "case when regexp_matches(text, 'user7@') then text else regexp_replace(text, '(?i)[a-z0-9._%+-]").replace("'<EMAIL>', 'g') as t", "'<EMAIL>', 'g') end as t").replace("'<URL>', 'g') as text from c", "'<URL>', 'g') as text, case when contains(t, '<EMAIL>') then 4 else 3 end as n_found from c"), operator="pii.redact", made=lambda: [F.size("found").cast("int").alias("n_found")])
 add("pii_redact_custom", "pages", at("url") | {"custom": [{"tag": "year", "pattern": "page=[0-9]+", "placeholder": "page=<N>"}]}, "page_id url", r"""
 select page_id, regexp_replace(regexp_replace(url, 'https?://[A-Za-z0-9_./?#%=&]+', '<URL>', 'g'), 'page=[0-9]+', 'page=<N>', 'g') as url from pages""", operator="pii.redact")
 
@@ -239,10 +265,10 @@ def _ranked(by: str, table: str = "documents", more: str = "") -> str:
     return f"select *, row_number() over (partition by {by} order by md5('42:' || doc_id), doc_id) - 1 as r, count(*) over (partition by {by}) as g, count(*) over () as n from {table} {more}"
 
 
-_GRADED = "(select d.doc_id, d.source, quality from documents d join labels l on d.doc_id = l.doc_id)"
+_GRADED = "(select d.doc_id, d.source, coalesce(quality, -1) as quality from documents d left join labels l on d.doc_id = l.doc_id)"
 add("sample_random", "documents", {"ratio": 0.2, "seed": 42}, "doc_id", f"select doc_id from documents qualify {_KEY} <= round(count(*) over () * 0.2)")
 add("sample_random_weighted", "documents", {"count": 100, "seed": 42, "weight_key": "n_chars"}, "doc_id", """
-select doc_id from documents order by floor((1 - exp(ln((('0x' || substr(md5('42:' || doc_id), 1, 13))::bigint::double + 0.5) / 4503599627370496.0) / case when n_chars > 0 then n_chars else 1 end)) * 4503599627370496.0), doc_id limit 100""", operator="sample.random", metadata=_META)
+select doc_id from documents order by -ln((('0x' || substr(md5('42:' || doc_id), 1, 13))::bigint::double + 0.5) / 4503599627370496.0) / case when n_chars > 0 then n_chars else 1 end, doc_id limit 100""", operator="sample.random", metadata=_META)
 add("sample_random_grouped", "documents", {"count": 100, "seed": 42, "group_key": "source", "min_per_group": 2}, "doc_id", f"""
 with a as ({_ranked("source")}), b as (select *, row_number() over (partition by r < 2 order by md5('42:' || doc_id), doc_id) as k, count(*) filter (r < 2) over () as taken from a)
 select doc_id from b where r < 2 or k <= 100 - taken""", operator="sample.random", metadata=_META)
@@ -286,10 +312,27 @@ def _(t):
     return out.df.select("doc_id", F.explode("qa_pairs").alias("p")).select("doc_id", "p.question", "p.answer")
 
 
-@query("llm_qa_lines")
-def _(t):
-    out = apply_operator(dataset(t, "documents"), "llm.qa_extract", {"pattern": "Auto"})
-    return out.df.select("doc_id", F.size("qa_pairs").cast("bigint").alias("n_pairs"))
+_MADE["asked"] = lambda t: t("orders").select("o_orderkey", *(F.format_string(form, "o_orderkey", "o_orderpriority", "o_orderstatus").alias(n) for n, form in _ASKED.items()))
+_ASKED = {
+    "plain": "Q: what is %1$d?\n  and how\nA: %2$s\nnoted\nQuestion: and then?\nAnswer: %3$s",
+    "numbered": "Q1: what is %1$d? A1: %2$s Q2: and then? A2: %3$s",
+    "marked": "## Question: what is %1$d? ## Answer: %2$s",
+}
+
+
+def _pairs(name: str, field: str, pattern: str, sql: str) -> None:
+    @query(name, sql)
+    def run(t: Callable[[str], DataFrame]) -> DataFrame:
+        out = apply_operator(dataset(t, "asked"), "llm.qa_extract", {"pattern": pattern, "text_field": f"payload.{field}"})
+        return out.df.select("o_orderkey", F.posexplode("qa_pairs").alias("i", "p")).select("o_orderkey", F.col("i").cast("int").alias("i"), "p.question", "p.answer")
+
+
+_TWO = "select o_orderkey, 0::int as i, {0} as question, {1} as answer from orders union all select o_orderkey, 1, 'and then?', o_orderstatus from orders"
+_pairs("llm_qa_lines", "plain", "Auto", _TWO.format("'what is ' || o_orderkey || '? and how'", "o_orderpriority || ' noted'"))
+_pairs("llm_qa_heuristic", "plain", "Heuristic", _TWO.format("'what is ' || o_orderkey || '? and how'", "o_orderpriority || ' noted'"))
+_pairs("llm_qa_numbered", "numbered", "NumberedQA", _TWO.format("'what is ' || o_orderkey || '?'", "o_orderpriority"))
+_pairs("llm_qa_auto_numbered", "numbered", "Auto", _TWO.format("'what is ' || o_orderkey || '?'", "o_orderpriority"))
+_pairs("llm_qa_markdown", "marked", "MarkdownQA", "select o_orderkey, 0::int as i, '## Question: what is ' || o_orderkey || '?' as question, '## Answer: ' || o_orderpriority as answer from orders")
 
 
 add("llm_instruction_format", "orders", {"instruction_field": "payload.o_orderpriority", "input_field": "payload.o_orderstatus", "format": "Alpaca"}, "o_orderkey formatted", "select o_orderkey, '### Instruction:' || chr(10) || o_orderpriority || chr(10) || chr(10) || '### Input:' || chr(10) || o_orderstatus || chr(10) || chr(10) || '### Response:' || chr(10) as formatted from orders")
@@ -395,11 +438,49 @@ def _(t):
     return distribution.summary(dataset(t, "events"), ["payload.event_type", "payload.user_id", "payload.value"])
 
 
+def attached(name: str, table: str, id: str, op: str, config: Mapping[str, Any], key: str, shown: Callable[[Column], list[Column]], columns: str, one: str, meta: tuple[str, ...] = ()) -> None:
+    """A query of an operator that describes its table on the first row: all rows, and what the metadata say."""
+
+    @query(name, f"with one as ({one}) select {table}.{id}, {columns} from {table} left join one on {table}.{id} = (select min({id}) from {table})")
+    def run(t: Callable[[str], DataFrame]) -> DataFrame:
+        out = apply_operator(dataset(t, table), op, config)
+        return out.df.select(id, *(quoted(out.meta[m]).alias(m) for m in meta), *shown(quoted(out.meta[key])))
+
+
+_STATS = ("total_tokens", "min_tokens", "max_tokens", "median_tokens", "p25_tokens", "p75_tokens", "p95_tokens", "p99_tokens", "record_count")
+attached("token_stats_operator", "documents", "doc_id", "token.stats", {}, "token_stats", lambda c: [c[x].alias(x) for x in _STATS], f"{_WS}::bigint as token_count, {', '.join(_STATS)}", SQL["token_stats"], ("token_count",))
+attached("token_histogram_operator", "documents", "doc_id", "token.histogram", {}, "token_histogram", lambda c: [F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ", ").alias("histogram")], "histogram", f"select string_agg(bucket || '=' || n, ', ' order by bucket) as histogram from ({SQL['token_histogram']})")
+attached("distribution_analyze_operator", "events", "event_id", "distribution.analyze", {"field": "payload.value"}, "distribution", lambda c: [c["total_count"].alias("total_count"), c["unique_count"].alias("unique_count"), F.array_join(F.transform(c["percentiles"], lambda x: F.concat(x["p"], F.lit(":"), F.round(x["value"], 4))), " ").alias("percentiles"), F.array_join(F.transform(c["histogram"], lambda x: x["n"]), " ").alias("histogram"), F.array_join(F.transform(c["top_values"], lambda x: x["n"]), " ").alias("top_counts")],
+         "total_count, unique_count, percentiles, histogram, top_counts", f"""select (select count(*) from events) as total_count, (select count(distinct value) from events) as unique_count,
+    (select string_agg(p || ':' || round(value, 4), ' ' order by p) from ({SQL["distribution_percentiles"]})) as percentiles, (select string_agg(n, ' ' order by bin) from ({SQL["distribution_analyze"]})) as histogram,
+    (select string_agg(n, ' ' order by n desc, value) from (select value::varchar as value, count(*) as n from events group by 1 order by 2 desc, 1 limit 10)) as top_counts""")
+attached("distribution_report_operator", "events", "event_id", "distribution.report", {"fields": ["payload.event_type", "payload.user_id"]}, "distribution_report", lambda c: [F.array_join(F.transform(c, lambda x: F.concat_ws(",", x["field"], x["total_count"], x["null_count"], x["unique_count"])), " ").alias("report"), F.array_join(F.transform(F.get(c, F.lit(0))["top_values"], lambda x: F.concat(x["value"], F.lit("="), x["n"])), " ").alias("top_values")],
+         "report, top_values", """select (select string_agg(field || ',' || total_count || ',' || null_count || ',' || unique_count, ' ' order by field) from (
+    select 'payload.event_type' as field, count(*) as total_count, count(*) - count(event_type) as null_count, count(distinct event_type) as unique_count from events
+    union all select 'payload.user_id', count(*), count(*) - count(user_id), count(distinct user_id) from events)) as report,
+    (select string_agg(value || '=' || n, ' ' order by n desc, value) from (select event_type as value, count(*) as n from events group by 1)) as top_values""")
+
+
+@query("distribution_correlation_operator", "select l_orderkey, l_linenumber, case when (l_orderkey, l_linenumber) = (select min((l_orderkey, l_linenumber)) from lineitem) then (select round(corr(l_quantity, l_extendedprice), 6) from lineitem) end as correlation from lineitem")
+def _(t):
+    rows = t("lineitem").withColumn("line", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    out = apply_operator(Dataset.of(rows, id="line"), "distribution.correlation", {"field_x": "payload.l_quantity", "field_y": "payload.l_extendedprice"})
+    return out.df.select("l_orderkey", "l_linenumber", F.round(quoted(out.meta["correlation"])["correlation"], 6).alias("correlation"))
+
+
 @query("distribution_correlation", "select 'payload.l_quantity' as field_x, 'payload.l_extendedprice' as field_y, count(*) as n, round(corr(l_quantity, l_extendedprice), 6) as correlation from lineitem")
 def _(t):
     return distribution.correlation_of(dataset(t, "lineitem"), "payload.l_quantity", "payload.l_extendedprice").withColumn("correlation", F.round("correlation", 6))
 
 
+@query("statistic_summary", """
+with a as (select list(value order by value) as s from events where value is not null)
+select len(s)::bigint as count, round(list_avg(s), 6) as mean, (select round(stddev_pop(value), 6) from events) as std_dev, s[1] as min, s[-1] as max, s[len(s) // 2 + 1] as median,
+    s[floor(len(s) * 0.25::double)::bigint + 1] as p25, s[floor(len(s) * 0.75::double)::bigint + 1] as p75, s[floor(len(s) * 0.95::double)::bigint + 1] as p95, s[floor(len(s) * 0.99::double)::bigint + 1] as p99 from a""")
+def _(t):
+    return inspect.statistic_summary(t("events"), "value").withColumns({c: F.round(c, 6) for c in ("mean", "std_dev")})
+
+
 # near-duplicates
 
 add("dedup_minhash", "documents", at("text") | {"threshold": 0.8}, "doc_id", r"""
@@ -410,26 +491,43 @@ bands as (select doc_id, i // 8 as b, list_reduce(list_prepend(0::hugeint, list(
 sets as (select doc_id, list(tok) as ts from dt group by 1), cand as (select distinct x.doc_id as i, y.doc_id as j from bands x join bands y on x.b = y.b and x.k = y.k and x.doc_id < y.doc_id),
 dup as (select distinct j from cand join sets a on a.doc_id = i join sets b on b.doc_id = j where len(list_intersect(a.ts, b.ts))::double / len(list_distinct(list_concat(a.ts, b.ts))) >= 0.8)
 select doc_id from documents where doc_id not in (select j from dup)""")
-add("dedup_simhash", "documents", at("text"), "doc_id")
-add("dedup_semantic", "documents", at("text") | {"threshold": 0.7}, "doc_id")
-
-
-@query("simhash_signature", r"""
+_SIGNED = r"""
 with toks as (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+')) as tok from documents),
 vocab as (select tok, list_reduce(list_prepend(14695981039346656037::hugeint, list_transform(range(0, octet_length(encode(tok))), lambda i: ('0x' || substr(hex(encode(tok)), (2 * i + 1)::int, 2))::hugeint)), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616)::ubigint as h from (select distinct tok from toks)),
 bits as (select doc_id, i, sum(case when (h >> i) & 1 = 1 then 1 else -1 end) >= 0 as b from toks join vocab using (tok), range(64) r(i) group by all)
-select d.doc_id, coalesce(string_agg(case when b then '1' else '0' end, '' order by i desc), repeat('1', 64)) as signature from documents d left join bits using (doc_id) group by d.doc_id""")
+select d.doc_id, coalesce(string_agg(case when b then '1' else '0' end, '' order by i desc), repeat('1', 64)) as signature from documents d left join bits using (doc_id) group by d.doc_id"""
+
+# a scan in order of the ids that keeps what is like nothing kept
+add("dedup_simhash", "documents", at("text"), "doc_id", f"""
+with recursive sig as materialized ({_SIGNED.lstrip()}), s as materialized (select doc_id, signature::bit as h, row_number() over (order by doc_id) as i from sig where exists (select 1 from documents d where d.doc_id = sig.doc_id and text is not null)),
+scan as (select 0::bigint as i, []::bit[] as kept, null::bigint as doc_id, false as stays
+    union all select s.i, case when x.like then scan.kept else list_append(scan.kept, s.h) end, s.doc_id, not x.like
+    from scan join s on s.i = scan.i + 1, lateral (select len(list_filter(scan.kept, lambda k: bit_count(xor(k, s.h)) <= 9)) > 0 as like) x)
+select doc_id from scan where stays union all select doc_id from documents where text is null""")
+add("dedup_semantic", "documents", at("text") | {"threshold": 0.7}, "doc_id", r"""
+with recursive toks as (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+')) as tok from documents),
+tf as (select doc_id, tok, count(*)::double / sum(count(*)) over (partition by doc_id) as tf from toks group by 1, 2), total as (select count(distinct doc_id)::double as n from tf),
+idf as (select tok, ln((any_value(n) + 1) / (count(*) + 1)) + 1 as idf from tf, total group by tok), w as (select doc_id, tok, tf * idf as w from tf join idf using (tok)),
+norm as (select doc_id, sqrt(sum(w * w)) as n from w group by 1), v as materialized (select doc_id, tok, w / n as w from w join norm using (doc_id)),
+like_ as materialized (select a.doc_id as a, b.doc_id as b from v a join v b on a.tok = b.tok and a.doc_id < b.doc_id group by 1, 2 having sum(a.w * b.w) >= 0.7),
+s as materialized (select doc_id, row_number() over (order by doc_id) as i, coalesce(list(a) filter (a is not null), []) as near from documents left join like_ on b = doc_id group by doc_id),
+scan as (select 0::bigint as i, []::bigint[] as kept, null::bigint as doc_id, false as stays
+    union all select s.i, case when list_has_any(scan.kept, s.near) then scan.kept else list_append(scan.kept, s.doc_id) end, s.doc_id, not list_has_any(scan.kept, s.near) from scan join s on s.i = scan.i + 1)
+select doc_id from scan where stays""")
+
+
+@query("simhash_signature", _SIGNED)
 def _(t):
     return t("documents").select("doc_id", F.lpad(F.bin(dedup.simhash64(F.col("text"))), 64, "0").alias("signature"))
 
 
 @query("dedup_embeddings", """
 with v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings), n as (select vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) as e from v)
-select a.vec_id as a, b.vec_id as b from n a join n b on a.vec_id < b.vec_id and list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])) >= 0.9""")
+select a.vec_id as a, b.vec_id as b from n a join n b on a.vec_id < b.vec_id and list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])) >= 0.4""")
 def _(t):
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     v = F.transform("embedding", lambda x, i: F.struct(i.cast("bigint").alias("t"), (x.cast("double") / norm).alias("w")))
-    return dedup.embedding_pairs(t("embeddings").select(F.col("vec_id").alias("o"), v.alias("v")), 0.9).select("a", "b")
+    return dedup.embedding_pairs(t("embeddings").select(F.col("vec_id").alias("o"), v.alias("v")), 0.4).select("a", "b")
 
 
 # the flagship: language, quality, tokens, and a threshold, one lazy plan
@@ -447,7 +545,7 @@ with {_WORDS_SQL}, {_LANG.lstrip()}, lg as (select doc_id, case when n = 0 then
     when en >= best then 'en' when zh >= best then 'zh' when ar >= best then 'ar' when ru >= best then 'ru' when es >= best then 'es' when fr >= best then 'fr' else 'hi' end as lang_pred from g)
 select doc_id, lang_pred, round(quality, 6) as quality, {_TOKENS} as token_count from sc join lg using (doc_id) join documents using (doc_id) where quality >= 0.84""")
 def _(t):
-    out = Pipeline(FLAGSHIP).run(dataset(t, "documents"))
+    out = Pipeline(FLAGSHIP).run(dataset(lambda x: spread(t(x)), "documents"))
     return out.df.select("doc_id", "lang_pred", F.round("quality", 6).alias("quality"), "token_count")
 
 

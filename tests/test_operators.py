@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill import ConfigError, Dataset, SchemaError, apply_operator, names
 from corpusmill.dataset import quoted
@@ -337,3 +338,70 @@ def test_the_simhash_query_has_the_default_threshold(spark):
             kept.append((i, x))
     got = queries.QUERIES["dedup_simhash"](spark, sf_dir).join(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").select("doc_id").collect()
     assert sorted(x["doc_id"] for x in got) == [i for i, _ in kept]
+
+
+def test_summaries_of_few_numbers(spark):
+    from corpusmill.inspect import statistic_summary
+
+    for n in (0, 1, 3, 4, 19, 20, 99, 100):
+        x = sorted(float((i * 7) % 31) for i in range(n))
+        [got] = statistic_summary(spark.createDataFrame([(v,) for v in x] + [(None,)], "v double"), "v").collect()
+        if not n:
+            assert set(got) == {0}
+            continue
+        mean = sum(x) / n
+        place = lambda p, least: x[int(n * p)] if n >= least else x[-1]
+        want = (n, mean, (sum((v - mean) ** 2 for v in x) / n) ** 0.5, x[0], x[-1], x[n // 2], place(0.25, 4), place(0.75, 4), place(0.95, 20), place(0.99, 100))
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got, want, strict=True))
+
+
+def test_covering_masks():
+    from itertools import combinations
+
+    from corpusmill.operators.dedup import covering_masks
+
+    r = random.Random(2)
+    for distance in (0, 1, 2, 3, 9, 14, 20):
+        masks = covering_masks(distance)
+        some = list(combinations(range(64), distance)) if distance < 3 else [r.sample(range(64), distance) for _ in range(3000)]
+        assert all(any(not m & sum(1 << b for b in bits) for m in masks) for bits in some)
+
+
+def test_redaction_plans_grow_with_the_rules(spark):
+    from corpusmill.operators.redact import RULES, Rule, redact
+
+    df = spark.createDataFrame([("mail a@b.org or call 4912345678901",)], "t string")
+    for n in (0, 2, 4):
+        rules = [*RULES, *(Rule(f"r{i}", f"x{i}y", "mask") for i in range(n))]
+        for logged in (False, True):
+            text, log = redact(F.col("t"), rules, [], logged)
+            out = df.select(text.alias("t"), log.alias("m"))
+            plan = out._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("a-z]{2,}") <= 4
+            assert out.collect()[0]["t"].startswith("mail <EMAIL> or call 49")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_greedy_in_one_task_and_in_rounds(spark, seed):
+    from corpusmill.operators.dedup import later_of_greedy
+
+    r = random.Random(seed)
+    edges = {tuple(sorted(r.sample(range(60), 2))) for _ in range(r.choice((20, 90, 300)))}
+    dropped = set()
+    for a, b in sorted(edges, key=lambda e: (e[1], e[0])):
+        if a not in dropped:
+            dropped.add(b)
+    df = spark.createDataFrame(sorted(edges), "a long, b long")
+    for bound in (0, 10**6):
+        assert {x["o"] for x in later_of_greedy(df, bound).collect()} == dropped
+
+
+def test_chunks_dont_change_results(spark):
+    from corpusmill.errors import ConfigError
+    from corpusmill.pipeline import Pipeline, step
+
+    docs = spark.createDataFrame([(i, f"text {i % 3}") for i in range(9)], "id long, text string")
+    run = Pipeline([step("dedup.simhash", {"path": "payload.text", "threshold": 1.0})])
+    assert run.run_chunked(docs, 2).df.count() == run.run(docs).df.count() == 3
+    with pytest.raises(ConfigError):
+        run.run_chunked(docs, 0)
