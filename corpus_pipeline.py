@@ -56,7 +56,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     labels = table(spark, sf_dir, "labels")
     known = labels.filter("doc_id is not null and quality is not null").limit(1).count()
-    return mix_sources(docs, weight=probability(docs, labels) if known else None)
+    # fitted on documents as they were: the stages before leave too few of the bad ones
+    return mix_sources(docs, weight=probability(table(spark, sf_dir), labels) if known else None)
 
 
 def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
