@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.storage import spread
 
@@ -46,6 +47,42 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spooled(df: DataFrame) -> pa.Table:
+    """The rows of df in their order, in batches of about a slice, in a file of the driver that is mapped into memory.
+
+    One partition at a time passes the driver, so its memory doesn't depend on how long the texts are.
+    """
+    schema = to_arrow_schema(df.schema)
+    with tempfile.TemporaryDirectory(prefix="corpusmill-") as at:
+        with pa.OSFile(f"{at}/rows", "wb") as f, pa.ipc.new_file(f, schema) as out:
+            held, size = [], 0
+            for row in df.toLocalIterator():
+                held.append(row.asDict())
+                size += sum(len(x) for x in row if isinstance(x, str))
+                if size >= SLICE_BYTES:
+                    out.write_batch(pa.RecordBatch.from_pylist(held, schema))
+                    held, size = [], 0
+            out.write_batch(pa.RecordBatch.from_pylist(held, schema))
+        # the mapping outlives the file's name
+        return pa.ipc.open_file(pa.memory_map(f"{at}/rows")).read_all()
+
+
+def where(rows: pa.Table, mask: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows where mask holds, a batch at a time."""
+    at = 0
+    for batch in rows.to_batches():
+        yield batch.filter(pa.array(mask[at : at + batch.num_rows]))
+        at += batch.num_rows
+
+
+def mapped(n: int, kind: type) -> np.ndarray:
+    """n values in a file without a name that is mapped into memory: the system may write them to disk."""
+    if not n:
+        return np.zeros(0, kind)
+    with tempfile.TemporaryFile(prefix="corpusmill-") as f:
+        return np.asarray(np.memmap(f, kind, "w+", shape=(n,)))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like the given ones that no column of df has, whatever the case."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -24,8 +24,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, slices, table, tie_key
-from .ngrams import DIMS, Sparse, TextModel, fit_dense, fit_sparse, logit, matrix, platt, sigmoid
+from .common import mix, slices, table, tie_key, where
+from .ngrams import DIMS, Sparse, TextModel, features, fit_dense, fit_sparse, logit, platt, sigmoid
 from .quality_rules import halves, labelled
 
 KEEP, SURE, ROUNDS, A_ROUND = 0.5, 0.97, 3, 600
@@ -74,18 +74,18 @@ class Views:
         return t, m, sigmoid(np.column_stack([logit(t), logit(m)]) @ self.both[:2] + self.both[2])
 
 
-def _fitted(known: pa.Table, held: np.ndarray, y: np.ndarray, given: dict[str, pa.Table], features: dict, before: Views | None, last: bool) -> Views:
+def _fitted(known: pa.Table, held: np.ndarray, y: np.ndarray, given: dict[str, pa.Table], blocks: dict[str, list[Sparse]], before: Views | None, last: bool) -> Views:
     """The views fitted on what isn't held and on the rows that each was given, and calibrated on what is."""
-    cal, cal_y = known.filter(pa.array(held)), y[held]
+    cal_y = y[held]
     models = {}
     for view, dims, decay in (("text", DIMS, 1e-6), ("meta", META_DIMS, 1e-3)):
         labels = np.concatenate([y[~held], given[view].column("label").to_numpy()])
         start = None if before is None else ((before.text.weights, before.text.bias) if view == "text" else (before.meta, before.meta_bias))
-        models[view] = fit_sparse(features[view], labels, dims, 150 if start is None else 50, decay=decay, start=start)
+        models[view] = fit_sparse(blocks[view], labels, dims, 150 if start is None else 50, decay=decay, start=start)
     out = Views(TextModel(models["text"][0].astype(np.float32), models["text"][1]), models["meta"][0].astype(np.float32), models["meta"][1], 1.0, 0.0, np.zeros(3))
-    out.text.a, out.text.b = platt(out.text.score(cal.column("text").combine_chunks()), cal_y)
-    out.meta_a, out.meta_b = platt(out.meta_score(cal), cal_y)
-    t, m, _ = out.probabilities(cal)
+    out.text.a, out.text.b = platt(np.concatenate([out.text.score(part.column("text")) for part in where(known, held)]), cal_y)
+    out.meta_a, out.meta_b = platt(out.meta_score(known.select(META).filter(pa.array(held))), cal_y)
+    t, m = (np.concatenate(x) for x in zip(*(out.probabilities(part)[:2] for part in where(known, held)), strict=True))
     out.both = fit_dense(np.column_stack([logit(t), logit(m)]), cal_y, decay=1.0)
     return out
 
@@ -101,21 +101,20 @@ def train(known: pa.Table, exchange: Callable[[Views, int], pa.Table], rounds: i
     held = halves(known.column("doc_id").to_numpy())
     if any(len(np.unique(y[part])) < 2 for part in (held, ~held)):
         return None
-    fit = known.filter(pa.array(~held))
-    features = {"text": [matrix(fit.column("text").combine_chunks())], "meta": [meta_matrix(*(fit.column(c).to_pylist() for c in META))]}
+    fit = known.select(META).filter(pa.array(~held))
+    blocks = {"text": [features(part.column("text") for part in where(known, ~held))], "meta": [meta_matrix(*(fit.column(c).to_pylist() for c in META))]}
     none = pa.table({"k": pa.array([], pa.int64()), "label": pa.array([], pa.float64())})
     given = {"text": none, "meta": none}
-    views = _fitted(known, held, y, given, features, None, False)
+    views = _fitted(known, held, y, given, blocks, None, False)
     for turn in range(1, rounds + 1):
         told = exchange(views, turn)
         for view in given:
             rows = told.filter(pc.equal(told.column("to"), view))
             rows = rows.filter(pc.invert(pc.is_in(rows.column("k"), given[view].column("k").combine_chunks())))
             if rows.num_rows:
-                texts = rows.column("text").combine_chunks()
-                features[view].append(matrix(texts) if view == "text" else meta_matrix(*(rows.column(c).to_pylist() for c in META)))
+                blocks[view].append(features(rows.column("text").chunks) if view == "text" else meta_matrix(*(rows.column(c).to_pylist() for c in META)))
             given[view] = pa.concat_tables([given[view], rows.select(["k", "label"])])
-        views = _fitted(known, held, y, given, features, views, turn == rounds)
+        views = _fitted(known, held, y, given, blocks, views, turn == rounds)
     return views
 
 

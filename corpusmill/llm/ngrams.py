@@ -6,13 +6,14 @@ n-grams that fall into each bucket. A word that follows itself makes the pair fe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-from .common import mix, slices, text_bytes, word_hashes, words
+from .common import mapped, mix, slices, text_bytes, word_hashes, words
 
 BUCKET_BITS = 17
 DIMS = 4 << BUCKET_BITS
@@ -90,8 +91,17 @@ class Sparse:
 
     @staticmethod
     def stacked(parts: list[Sparse]) -> Sparse:
+        """The parts' rows one after the other, in mapped files; the single one as it is."""
+        if len(parts) == 1:
+            return parts[0]
         sizes = np.concatenate([np.zeros(1, np.int64), *(np.diff(p.ends) for p in parts)])
-        return Sparse(np.cumsum(sizes), np.concatenate([np.zeros(0, np.int32), *(p.columns for p in parts)]), np.concatenate([np.zeros(0, np.float32), *(p.values for p in parts)]))
+        ends = np.cumsum(sizes)
+        out = Sparse(ends, mapped(int(ends[-1]), np.int32), mapped(int(ends[-1]), np.float32))
+        at = 0
+        for p in parts:
+            out.columns[at : at + len(p.columns)], out.values[at : at + len(p.columns)] = p.columns, p.values
+            at += len(p.columns)
+        return out
 
 
 def pieces(texts: pa.Array, limit: int = 1 << 19) -> Iterator[pa.Array]:
@@ -121,6 +131,22 @@ def matrix(texts: pa.Array) -> Sparse:
     return Sparse.stacked(out)
 
 
+def features(parts: Iterable[pa.Array]) -> Sparse:
+    """matrix() of all parts' texts, one after the other, in mapped files: no more than a few texts are in memory."""
+    ends = [np.zeros(1, np.int64)]
+    with tempfile.TemporaryFile(prefix="corpusmill-") as columns, tempfile.TemporaryFile(prefix="corpusmill-") as values:
+        for texts in parts:
+            for x in map(matrix, pieces(texts)):
+                columns.write(x.columns.data)
+                values.write(x.values.data)
+                ends.append(ends[-1][-1] + x.ends[1:])
+        n = int(ends[-1][-1])
+        columns.flush()
+        values.flush()
+        read = [np.asarray(np.memmap(f, kind, "r", shape=(n,))) if n else np.zeros(0, kind) for f, kind in ((columns, np.int32), (values, np.float32))]
+    return Sparse(np.concatenate(ends), *read)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -138,11 +164,15 @@ def fit_sparse(blocks: list[Sparse], y: np.ndarray, dims: int = DIMS, steps: int
     share = np.where(y > 0.5, 0.5 / max(1, (y > 0.5).sum()), 0.5 / max(1, (y <= 0.5).sum()))
     x = Sparse.stacked(blocks)
     used = np.zeros(dims, bool)
-    used[x.columns] = True
+    for a, b in x.chunks():
+        used[x.columns[x.ends[a] : x.ends[b]]] = True
     used = np.flatnonzero(used)
     place = np.zeros(dims, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
-    x = Sparse(x.ends, place[x.columns], x.values)
+    columns = mapped(len(x.columns), np.int32)
+    for a, b in x.chunks():
+        columns[x.ends[a] : x.ends[b]] = place[x.columns[x.ends[a] : x.ends[b]]]
+    x = Sparse(x.ends, columns, x.values)
     whole, bias = (np.zeros(dims), np.zeros(3)) if start is None else (start[0].astype(np.float64), np.array([start[1], 0.0, 0.0]))
     w, m, v = whole[used], np.zeros(len(used)), np.zeros(len(used))
     for t in range(1, steps + 1):

@@ -1,7 +1,7 @@
 """Operator 9: a quality rule: hashed word and character n-gram logistic regression.
 
 It is trained on the driver on a bounded sample of labelled rows, calibrated on a third of it that training doesn't see,
-and scores every document in Arrow batches against fixed thresholds.
+with texts and features in mapped files, so that long texts take no more of the driver's memory; it scores every document in Arrow batches against fixed thresholds.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, slices, table
-from .ngrams import TextModel, fit_sparse, matrix, platt
+from .common import mix, slices, spooled, table, where
+from .ngrams import TextModel, features, fit_sparse, platt
 
 KEEP, SURE = 0.5, 0.9
 MAX_LABELLED = 4000
@@ -22,13 +22,14 @@ MAX_LABELLED = 4000
 
 def labelled(docs: DataFrame, labels: DataFrame, bound: int, *columns: str) -> pa.Table:
     """At most bound labelled documents, those whose ids hash lowest: (doc_id, quality, *columns). Blank texts have no
-    features and aren't used; of several texts with one id the one that hashes lowest is."""
+    features and aren't used; of several texts with one id the one that hashes lowest is. The table is a file that is mapped
+    into memory: read it in batches."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.avg("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     rows = docs.filter(F.col("text").rlike(r"\S")).select(F.col("doc_id").cast("bigint").alias("doc_id"), *columns)
     one = F.min(F.struct(F.xxhash64("text").alias("h"), *columns, "quality")).alias("one")
     rows = rows.join(known, "doc_id").groupBy("doc_id").agg(one).select("doc_id", "one.quality", *(f"one.{c}" for c in columns))
-    return rows.toArrow().sort_by("doc_id")
+    return spooled(rows.orderBy("doc_id"))
 
 
 def halves(ids: np.ndarray, part: int = 3) -> np.ndarray:
@@ -44,10 +45,9 @@ def train(rows: pa.Table) -> TextModel | None:
     held = halves(rows.column("doc_id").to_numpy())
     if any(len(np.unique(y[part])) < 2 for part in (held, ~held)):
         return None
-    texts = rows.column("text").combine_chunks()
-    model = TextModel(*fit_sparse([matrix(texts.filter(pa.array(~held)))], y[~held]))
+    model = TextModel(*fit_sparse([features(part.column("text") for part in where(rows, ~held))], y[~held]))
     model.weights = model.weights.astype(np.float32)
-    model.a, model.b = platt(model.score(texts.filter(pa.array(held))), y[held])
+    model.a, model.b = platt(np.concatenate([model.score(part.column("text")) for part in where(rows, held)]), y[held])
     return model
 
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from corpusmill.llm import common, cotraining, fingerprints, licenses, lines, mixing, packing, quality_rules, registry, secrets, simhash, suffixes
+from corpusmill.llm import common, cotraining, fingerprints, licenses, lines, mixing, ngrams, packing, quality_rules, registry, secrets, simhash, suffixes
 
 from .conftest import prose, table_of
 
@@ -287,6 +287,18 @@ def test_held_out_accuracy(spark):
     assert kept == {x["doc_id"] for x in cotraining.cotrain(docs, labels).collect() if x["keep"]}
 
 
+def test_labelled_texts_do_not_fill_the_drivers_memory(spark):
+    texts = [f"{i} " + prose(random.Random(i), 50) * 2000 for i in range(24)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(24)], "doc_id long, quality int, toxic int")
+    before = pa.total_allocated_bytes()
+    rows = quality_rules.labelled(table_of(spark, texts), labels, 24, "text")
+    assert sum(map(len, texts)) > 10e6 > 4e6 > pa.total_allocated_bytes() - before
+    assert rows.column("doc_id").to_pylist() == list(range(24)) and rows.column("text").to_pylist() == texts
+    few = pa.array([x[: 900 * i] for i, x in enumerate(texts)])
+    got, want = ngrams.features([few[:5], few[5:5], few[5:]]), ngrams.matrix(few)
+    assert all(np.array_equal(getattr(got, x), getattr(want, x)) for x in ("ends", "columns", "values"))
+
+
 def test_co_training_uses_both_views(spark):
     docs, labels, held = graded(spark)
     narrow = cotraining._narrow(docs)
