@@ -192,8 +192,15 @@ class Prefix:
 
 
 def word_hashes(buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    return mix(Prefix(_BYTE[buf]).of(begin, end) + (end - begin).astype(np.uint64))
+    """A 64-bit hash of each word's bytes. About a slice of them is worked on at a time: the hash doesn't depend on the place."""
+    out, at = np.empty(len(begin), np.uint64), 0
+    while at < len(begin):
+        zero = begin[at]
+        to = max(at + 1, int(np.searchsorted(end, zero + SLICE_BYTES, "right")))
+        b, e = begin[at:to] - zero, end[at:to] - zero
+        out[at:to] = mix(Prefix(_BYTE[buf[zero : end[to - 1]]]).of(b, e) + (e - b).astype(np.uint64))
+        at = to
+    return out
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

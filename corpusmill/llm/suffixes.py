@@ -12,24 +12,31 @@ compared byte by byte before it is reported.
 At scale: equal texts are one text; of a group of copies, however many, the first alone is searched, and the others are
 reported by a join. Texts are shuffled once, by document, for both joins that need them. The shuffle by anchor holds a
 few of them per hundred words, the one behind it only the surroundings of those that repeat; equal surroundings within a
-document travel once. Passages that many different texts hold, anchored in as many surroundings, meet in one Python worker.
+document travel once. Passages that many different texts hold, anchored in as many surroundings, meet in one Python
+worker; where these are more than SORT_BYTES, they lie in mapped files and their passages are grouped by hashes, one offset
+from the anchor after the other, so that the memory is about 100 bytes an occurrence, however long the texts are.
 """
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ROW_KEY, Prefix, row_key, slices, table, text_bytes, word_hashes, words, written
-from .simhash import by_key
+from .common import ROW_KEY, Prefix, mapped, row_key, slices, table, text_bytes, word_hashes, words, written
 
 MIN_WORDS, K = 50, 16
 CHUNK = 6 << 20
+#: Words that are compared at once, bytes of surroundings that are sorted at once, rows of a batch of results, and
+#: occurrences whose texts are read again at once.
+WORDS_AT_ONCE, SORT_BYTES, ROWS_OUT, HITS_AT_ONCE = 1 << 17, 2 << 20, 10_000, 2000
 
 
 def _window(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -196,7 +203,21 @@ class Verify:
         self.buf, self.begin, self.size = buf, begin, end - begin
 
     def same(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Whether the n words from word a on are those from b on, byte for byte."""
+        """Whether the n words from word a on are those from b on, byte for byte; equal claims are compared once, a few at a time."""
+        key = np.stack([a, b, n])
+        by = np.lexsort(key)
+        new = np.concatenate(([True], (np.diff(key[:, by]) != 0).any(0)))[: len(by)]
+        once, words = by[new], np.cumsum(n[by[new]])
+        parts, at = [np.zeros(0, bool)], 0
+        while at < len(once):
+            to = max(at + 1, int(np.searchsorted(words, (words[at - 1] if at else 0) + WORDS_AT_ONCE, "right")))
+            parts.append(self._same(*key[:, once[at:to]]))
+            at = to
+        out = np.empty(len(a), bool)
+        out[by] = np.concatenate(parts)[np.cumsum(new) - 1]
+        return out
+
+    def _same(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
         out = np.ones(len(a), bool)
         of = np.repeat(np.arange(len(a)), n)
         if not len(of):
@@ -213,6 +234,18 @@ class Verify:
         return out
 
 
+def ranks(ids: pa.Array, k: pa.Array) -> np.ndarray:
+    """Documents' places in the order of ids, null last, then keys."""
+    none = np.asarray(ids.is_null())
+    ids, ks = ids.fill_null(0).to_numpy(), [x.to_numpy() for x in k.flatten()]
+    by = np.lexsort((ks[1], ks[0], ids, none))
+    new = np.ones(len(by), bool)
+    new[1:] = (ids[by][1:] != ids[by][:-1]) | (ks[0][by][1:] != ks[0][by][:-1]) | (ks[1][by][1:] != ks[1][by][:-1]) | (none[by][1:] != none[by][:-1])
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.cumsum(new)
+    return rank
+
+
 def repeats(batch: pa.RecordBatch, min_words: int, k: int) -> dict[str, np.ndarray]:
     """The intervals around each anchor that earlier occurrences cover. batch: rows of _AROUND, all of each anchor in it."""
     buf, starts, begin, end, first, last = _texts(batch)
@@ -232,14 +265,7 @@ def repeats(batch: pa.RecordBatch, min_words: int, k: int) -> dict[str, np.ndarr
             n += 1
         near[x] = n
 
-    ids = batch.column("doc_id")
-    none = np.asarray(ids.is_null())
-    ids, ks = ids.fill_null(0).to_numpy(), [x.to_numpy() for x in batch.column("k").flatten()]
-    by = np.lexsort((ks[1], ks[0], ids, none))
-    new = np.ones(len(by), bool)
-    new[1:] = (ids[by][1:] != ids[by][:-1]) | (ks[0][by][1:] != ks[0][by][:-1]) | (ks[1][by][1:] != ks[1][by][:-1]) | (none[by][1:] != none[by][:-1])
-    rank = np.empty(len(by), np.int64)
-    rank[by] = np.cumsum(new)
+    rank = ranks(batch.column("doc_id"), batch.column("k"))
     count = np.diff(batch.column("at").offsets.to_numpy())
     of = np.repeat(np.arange(len(at)), count)
     place = batch.column("at").flatten().to_numpy().astype(np.int64)
@@ -277,7 +303,8 @@ def repeats(batch: pa.RecordBatch, min_words: int, k: int) -> dict[str, np.ndarr
     hit = np.flatnonzero(high >= 0)
     for far, which in ((high, 0), (low, 1)):
         hit = hit[check.same(at[of[hit]] - far[hit], at[source[which, hit]] - far[hit], far[hit])]
-    chars = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))
+    chars = np.zeros(len(buf) + 1, np.int32 if len(buf) < 1 << 31 else np.int64)
+    np.cumsum((buf & 0xC0) != 0x80, out=chars[1:])
     m, f = of[hit], source[0, hit]
     zero = char[hit] - chars[starts[m]]
     b, e = at[m] - high[hit], at[m] - low[hit] + min_words - 1
@@ -287,18 +314,134 @@ def repeats(batch: pa.RecordBatch, min_words: int, k: int) -> dict[str, np.ndarr
     }
 
 
-def _intervals(min_words: int, k: int):
+def repeats_of_many(rows: pa.Table, min_words: int, k: int) -> Iterator[dict[str, np.ndarray]]:
+    """What repeats() gives, in parts, of one anchor with more surroundings than are sorted in memory.
+
+    rows: a mapped file. The passages of each row are hashed, those of each offset go to a mapped file; then one offset
+    after the other the rows are grouped by them. Texts are read again, a few at a time, to compare what is claimed.
+    """
+    offsets, n = min_words - k + 1, rows.num_rows
+    left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    hashes = mapped(offsets * n, np.uint64).reshape(offsets, n)
+    done = 0
+    for batch in rows.to_batches():
+        for part in slices(batch):
+            buf, _, begin, end, first, last = _texts(part)
+            to = done + part.num_rows
+            at = first + part.column("before").to_numpy()
+            left[done:to], right[done:to] = at - first, last - at
+            prefix = Prefix(word_hashes(buf, begin, end))
+            for o in range(offsets):
+                some = np.flatnonzero((left[done:to] >= o) & (right[done:to] >= min_words - o))
+                hashes[o, done + some] = prefix.of(at[some] - o, at[some] - o + min_words)
+            done = to
+    rank = ranks(rows["doc_id"].combine_chunks(), rows["k"].combine_chunks())
+    spots, chars = rows["at"].combine_chunks(), rows["char"].combine_chunks()
+    count = spots.value_lengths().to_numpy().astype(np.int64)
+    of = np.repeat(np.arange(n), count)
+    place, char = spots.flatten().to_numpy().astype(np.int64), chars.flatten().to_numpy()
+    lowest = place[np.cumsum(count) - count]
+    when = rank << 32 | lowest
+    high, low = np.full(len(of), -1), np.full(len(of), min_words)
+    source = np.zeros((2, len(of)), np.int64)
+    for o in range(offsets):
+        member = np.flatnonzero((left >= o) & (right >= min_words - o))
+        if not len(member):
+            continue
+        h = hashes[o, member]
+        by = np.lexsort((when[member], h))
+        head = np.concatenate(([True], h[by][1:] != h[by][:-1]))
+        earliest = np.full(n, -1)
+        earliest[member[by]] = member[by][np.flatnonzero(head)][np.cumsum(head) - 1]
+        e = earliest[of]
+        spot = np.flatnonzero((e >= 0) & ((rank[of] != rank[e]) | (place - lowest[e] >= min_words)))
+        source[0, spot] = e[spot]
+        high[spot] = o
+        unset = spot[low[spot] == min_words]
+        source[1, unset] = e[unset]
+        low[unset] = o
+    hits = np.flatnonzero(high >= 0)
+    begins = np.cumsum([0, *map(len, rows["text"].chunks)])
+    for x in range(0, len(hits), HITS_AT_ONCE):
+        hit = hits[x : x + HITS_AT_ONCE]
+        used, back = np.unique(np.concatenate([of[hit], source[0, hit], source[1, hit]]), return_inverse=True)
+        m, *sources = back.reshape(3, -1)
+        cut = np.searchsorted(used, begins)
+        texts = pa.concat_arrays([c.take(pa.array(used[i:j] - z)) for c, i, j, z in zip(rows["text"].chunks, cut[:-1], cut[1:], begins[:-1], strict=True) if i < j])
+        buf, starts, begin, end, first, _ = _texts(pa.RecordBatch.from_arrays([texts], names=["text"]))
+        at, check = first + left[used], Verify(buf, begin, end)
+        ok = np.ones(len(hit), bool)
+        for far, f in zip((high[hit], low[hit]), sources, strict=True):
+            ok &= check.same(at[m] - far, at[f] - far, np.full(len(hit), min_words))
+        hit, m = hit[ok], m[ok]
+        to = np.zeros(len(buf) + 1, np.int64)
+        np.cumsum((buf & 0xC0) != 0x80, out=to[1:])
+        zero, f = char[hit] - to[starts[m]], source[0, hit]
+        b, e = at[m] - high[hit], at[m] - low[hit] + min_words - 1
+        yield {
+            "row": of[hit], "start_word": place[hit] - high[hit], "end_word": place[hit] - low[hit] + min_words, "start_char": zero + to[begin[b]], "end_char": zero + to[end[e]],
+            "first_row": f, "first_word": lowest[f] - high[hit],
+        }
+
+
+def by_anchor(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch | pa.Table]:
+    """Rows sorted by anchor, cut so that no anchor is in two parts: batches of about so many bytes of text, and of an
+    anchor that has more a table in a mapped file."""
+    held: list[pa.RecordBatch] = []
+    size, spool = 0, None
+    with tempfile.TemporaryDirectory(prefix="corpusmill-") as at:
+
+        def read() -> pa.Table:
+            spool.close()
+            out = pa.ipc.open_file(pa.memory_map(f"{at}/rows")).read_all()
+            os.unlink(f"{at}/rows")  # the mapping outlives the name
+            return out
+
+        for part in (part for batch in batches for part in slices(batch)):
+            if spool:
+                n = int(np.searchsorted(part.column(0).to_numpy(), anchor, "right"))
+                if n:
+                    spool.write_batch(part.slice(0, n))
+                if n == part.num_rows:
+                    continue
+                yield read()
+                spool, part = None, part.slice(n)
+            held.append(part)
+            size += pc.sum(pc.binary_length(part.column("text"))).as_py()
+            if size < limit:
+                continue
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            key = whole.column(0).to_numpy()
+            cut = int(np.searchsorted(key, key[-1], "left"))
+            if cut:
+                yield whole.slice(0, cut)
+            held = [whole.slice(cut)]
+            size = pc.sum(pc.binary_length(held[0].column("text"))).as_py()
+            if size >= limit:
+                spool, anchor = pa.ipc.new_file(f"{at}/rows", whole.schema), key[-1]
+                spool.write_batch(held[0])
+                held, size = [], 0
+        if spool:
+            yield read()
+        elif held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _intervals(min_words: int, k: int, limit: int = SORT_BYTES):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_key(batches, 6000):
-            got = repeats(batch, min_words, k)
-            m, f = pa.array(got["row"]), pa.array(got["first_row"])
-            columns = [batch.column("doc_id").take(m), batch.column("k").take(m), *(pa.array(got[c], pa.int64()) for c in ("start_word", "end_word", "start_char", "end_char")), batch.column("doc_id").take(f), pa.array(got["first_word"], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k", "start_word", "end_word", "start_char", "end_char", "first_doc_id", "first_word"])
+        for rows in by_anchor(batches, limit):
+            ids, ks = ((x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x) for x in (rows.column("doc_id"), rows.column("k")))
+            for got in repeats_of_many(rows, min_words, k) if isinstance(rows, pa.Table) else [repeats(rows, min_words, k)]:
+                for at in range(0, len(got["row"]), ROWS_OUT):
+                    some = {c: x[at : at + ROWS_OUT] for c, x in got.items()}
+                    m, f = pa.array(some["row"]), pa.array(some["first_row"])
+                    columns = [ids.take(m), ks.take(m), *(pa.array(some[c], pa.int64()) for c in ("start_word", "end_word", "start_char", "end_char")), ids.take(f), pa.array(some["first_word"], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k", "start_word", "end_word", "start_char", "end_char", "first_doc_id", "first_word"])
 
     return run
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K) -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, sort_bytes: int = SORT_BYTES) -> DataFrame:
     """Rows (doc_id, start_word, end_word, start_char, end_char, first_doc_id, first_word): every stretch of a document
     that consists of passages of min_words words that come earlier, and where the first of these comes first.
 
@@ -308,7 +451,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K) -
     of a passage is no repeat. Stretches that touch or overlap are one.
     Null cases: null and empty texts, and those of fewer than min_words words, repeat nothing; null ids are reported as
     null; rows equal in id and text are one document; ties of id are ordered by a hash of id and text; texts are read
-    whole, however long; an empty table gives an empty one. Other columns are not read.
+    whole, however long; an empty table gives an empty one. Other columns are not read. sort_bytes: anchors with more
+    bytes of surroundings are worked on in mapped files, with the same result.
     """
     if not 1 <= k <= min_words:
         raise ValueError("k must lie between 1 and min_words")
@@ -328,7 +472,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K) -
     found = found.withColumn("n", F.count("*").over(W.partitionBy("anchor"))).filter("n > 1")
     found = found.groupBy("k").agg(F.array_distinct(F.collect_list(F.struct("anchor", "at"))).alias("found"))
     around = rows.join(found.hint("shuffle_hash"), "k").select("doc_id", "k", "text", "found").mapInArrow(_surroundings(min_words, k), f"anchor bigint, doc_id bigint, k {ROW_KEY}, before int, text string, at array<int>, char array<bigint>")
-    parts = around.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_intervals(min_words, k), f"doc_id bigint, k {ROW_KEY}, start_word bigint, end_word bigint, start_char bigint, end_char bigint, first_doc_id bigint, first_word bigint")
+    parts = around.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_intervals(min_words, k, sort_bytes), f"doc_id bigint, k {ROW_KEY}, start_word bigint, end_word bigint, start_char bigint, end_char bigint, first_doc_id bigint, first_word bigint")
     order = W.partitionBy("k", "doc_id").orderBy("start_word", "end_word")
     reach = F.max("end_word").over(order.rowsBetween(W.unboundedPreceding, -1))
     parts = parts.withColumn("new", F.when(reach >= F.col("start_word"), 0).otherwise(1))

@@ -7,6 +7,7 @@ import json
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter, defaultdict
 from functools import reduce
 from itertools import combinations
@@ -57,6 +58,28 @@ def test_suffixes_against_brute_force(spark):
         assert texts[x["doc_id"]][x["start_char"] : x["end_char"]].split() == texts[x["doc_id"]].split()[x["start_word"] : x["end_word"]]
 
 
+def test_anchors_with_many_surroundings_in_little_memory(spark):
+    r = random.Random(11)
+    passage = prose(r, 70)
+    texts = [prose(r, 40 + i % 9) + " " + passage[i % 7 :] + " ünï " + " ".join([prose(r, 5)] * (i % 3 * 4)) + prose(r, 40) for i in range(400)]
+    got = suffixes.repeated_passages(table_of(spark, texts), min_words=12, k=5, sort_bytes=1).collect()
+    assert sorted((x["doc_id"], x["start_word"], x["end_word"], x["first_doc_id"], x["first_word"]) for x in got) == brute_repeats(texts, 12)
+    for x in got:
+        assert texts[x["doc_id"]][x["start_char"] : x["end_char"]].split() == texts[x["doc_id"]].split()[x["start_word"] : x["end_word"]]
+    # one anchor with 30,000 surroundings: what NumPy holds at most
+    texts = [f"{prose(r, 34)} {passage} {prose(r, 34)}".replace(" ", f"{i} ", 30) for i in range(30)]
+    n, part = 30_000, suffixes._AROUND
+    row = lambda i: {"anchor": 1, "doc_id": i, "k": {"a": i, "b": i}, "before": 34, "text": f"{i} {texts[i % 30]}", "at": [34], "char": [0]}
+    batches = [pa.RecordBatch.from_pylist([row(i) for i in range(x, x + 5000)], part) for x in range(0, n, 5000)]
+    tracemalloc.start()
+    found = [x.num_rows for x in suffixes._intervals(50, 16)(iter(batches))]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(found) > n - 50 and most < 150e6
+    ways = [sorted(str(y) for x in suffixes._intervals(50, 16, limit)(iter(batches[:1])) for y in x.to_pylist()) for limit in (1, 1 << 40)]
+    assert ways[0] == ways[1] and len(ways[0]) > 4900
+
+
 def test_suffix_array_is_sorted():
     r = np.random.default_rng(2)
     h = common.mix(r.integers(0, 3, 300).astype(np.uint64) + np.uint64(1))
