@@ -17,6 +17,7 @@ import regex
 SLICE = 1 << 20
 FNV_START, FNV_PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
 _WORDS = regex.compile(r"[\p{Alphabetic}\p{N}]+")
+_MARKED_WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
 
 def slices(texts: pa.Array, limit: int = SLICE) -> Iterator[pa.Array]:
@@ -77,11 +78,14 @@ def fnv(words: list[str]) -> np.ndarray:
 
 
 def hashed_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every token, and where each text's begin, and their number."""
+    """The hash of every token, and where each text's begin, and their number.
+
+    A token is a run of letters, marks and digits, each lowered by itself, as in the SQL of the near-duplicates.
+    """
     vocabulary: dict[str, int] = {}
     ids, starts = [], [0]
-    for text in texts.to_pylist():
-        ids += [vocabulary.setdefault(t, len(vocabulary)) for t in tokens(text)]
+    for text in pc.utf8_lower(texts).to_pylist():
+        ids += [vocabulary.setdefault(t, len(vocabulary)) for t in _MARKED_WORDS.findall(text or "")]
         starts.append(len(ids))
     return fnv(list(vocabulary))[np.array(ids, np.int64)] if ids else np.zeros(0, np.uint64), np.array(starts)
 
